@@ -8,12 +8,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vecloom.llm._common import table
 from vecloom.llm.near_dedup import near_duplicates
+from vecloom.llm.packing import pack
+from vecloom.llm.pii import pii
+from vecloom.llm.sharding import shard
+from vecloom.llm.substring_dedup import substring_dedup
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents"))
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op2_packing": op2_packing,
+    "op4_sharding": op4_sharding,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op10_pii": op10_pii,
 }
