@@ -90,14 +90,14 @@ def chunks(batch: pa.RecordBatch, column: str, size: int = CHUNK_BYTES) -> Itera
 class Words:
     """The words of a chunk: byte ranges, the text each belongs to, and (lazily) 64-bit hashes."""
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offs: np.ndarray, lower: bool = False, separator: np.ndarray = SEPARATOR):
         self.data = LOWER[data] if lower else data
         self.offs = offs
         n = len(data)
         if not n:
             self.start = self.end = self.doc = np.zeros(0, dtype=np.int64)
         else:
-            solid = ~SEPARATOR[self.data]
+            solid = ~separator[self.data]
             edge = solid.copy()
             edge[1:] &= ~solid[:-1]
             first = offs[:-1][offs[:-1] < offs[1:]]

@@ -10,8 +10,10 @@ from vecloom.llm._common import table
 from vecloom.llm.near_dedup import near_duplicates
 from vecloom.llm.packing import pack
 from vecloom.llm.pii import pii
+from vecloom.llm.secrets import secrets
 from vecloom.llm.sharding import shard
 from vecloom.llm.substring_dedup import substring_dedup
+from vecloom.llm.toxicity import toxicity
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +24,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
@@ -30,6 +36,10 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii(table(spark, sf_dir, "documents"))
 
@@ -37,7 +47,9 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_packing": op2_packing,
+    "op3_toxicity": op3_toxicity,
     "op4_sharding": op4_sharding,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_secret_scan": op7_secret_scan,
     "op10_pii": op10_pii,
 }
