@@ -47,6 +47,15 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """A-Z and U+00C0..U+00DE in lower case, on UTF-8 bytes."""
+    out = LOWER[data]
+    if len(out) > 1:
+        high = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+        out[1:][high] |= 0x20
+    return out
+
+
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n at least."""
     have = _powers.get(base)

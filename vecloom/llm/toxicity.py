@@ -41,20 +41,11 @@ _LETTERS_ONLY[65:91] = _LETTERS_ONLY[97:123] = False
 _LETTERS_ONLY[128:] = False
 
 
-def _lowered(data: np.ndarray) -> np.ndarray:
-    """A-Z and U+00C0..U+00DE in lower case, on UTF-8 bytes."""
-    out = T.LOWER[data]
-    if len(out) > 1:
-        high = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
-        out[1:][high] |= 0x20
-    return out
-
-
 class _Chunk:
     """Distinct words of a chunk, where they occur, and the hashes of their beginnings."""
 
     def __init__(self, data: np.ndarray, offs: np.ndarray):
-        self.words = w = T.Words(_lowered(data), offs, separator=_LETTERS_ONLY)
+        self.words = w = T.Words(T.lowered(data), offs, separator=_LETTERS_ONLY)
         prefix = w.prefix()
         self.unique, first, self.inverse = np.unique(T.span_hashes(prefix, w.start, w.end), return_index=True, return_inverse=True)
         start, size = w.start[first], (w.end - w.start)[first]
