@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from vecloom.llm import _text as T
 from vecloom.llm._common import fs_delete, partitions, shuffles_dropped, written
 
-COMBINE_BYTES = 8 << 20
+COMBINE_BYTES = 4 << 20
 _PACK = "bucket int, part int, owners binary, owner_parts binary, owner binary, hashes binary, checks binary"
 _OUT = "bucket int, part int, docs binary, hashes binary, checks binary, kind string"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -221,7 +221,7 @@ _SPACES = bytes(0x20 if T.SEPARATOR[i] else i for i in range(256))
 class FingerprintIndex:
     """Window hashes of all documents ingested so far, as immutable sorted runs of a bucketed table."""
 
-    def __init__(self, spark: SparkSession, width: int = 13, max_runs: int = 2, buckets_per_partition: int = 4):
+    def __init__(self, spark: SparkSession, width: int = 13, max_runs: int = 2, buckets_per_partition: int = 1):
         self.spark, self.width, self.max_runs = spark, width, max_runs
         self.partitions = partitions(spark)
         self.buckets = self.partitions * buckets_per_partition
