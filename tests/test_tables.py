@@ -1,0 +1,170 @@
+"""Keyed tables, sources, sinks, names and the stream."""
+
+import json
+import os
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from vecloom import schema
+from vecloom.functions import geometry, slots, text, vec
+from vecloom.operators import report as rep
+from vecloom.sources import scan, sinks, tables
+from vecloom.sources.tables import Store
+
+
+def test_path_conflict_keeps_the_old_identity(spark):
+    old = spark.createDataFrame([(1, "ann", "a.jpg", 0.9)], "id long, identity string, image_path string, det_score double")
+    new = spark.createDataFrame([("bob", "a.jpg", 0.4), ("cy", "b.jpg", 0.5)], "identity string, image_path string, det_score double")
+    got = {r["image_path"]: tuple(r) for r in tables.upsert_faces(old, new).collect()}
+    assert got == {"a.jpg": (1, "ann", "a.jpg", 0.4), "b.jpg": (2, "cy", "b.jpg", 0.5)}
+
+
+def test_stale_labels_survive_a_new_run(spark):
+    old = spark.createDataFrame([("r", 1, 4), ("r", 2, 5)], schema.CLUSTER_RESULTS)
+    new = spark.createDataFrame([("r", 1, 9)], schema.CLUSTER_RESULTS)
+    assert sorted(map(tuple, tables.upsert_labels(old, new).collect())) == [("r", 1, 9), ("r", 2, 5)]
+
+
+def test_composite_key_and_null_columns(spark):
+    kinds = "id long, identity string, image_path string, face_index int, crop_path string"
+    old = spark.createDataFrame([(1, "a", "p", 0, None)], kinds)
+    new = spark.createDataFrame([("b", "p", 0, "c0"), ("b", "p", 1, "c1")], "identity string, image_path string, face_index int, crop_path string")
+    got = sorted(map(tuple, tables.upsert_faces(old, new, ("image_path", "face_index")).collect()))
+    assert got == [(1, "a", "p", 0, "c0"), (2, "b", "p", 1, "c1")]
+
+
+def test_store_versions(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/store")
+    s.create("labels", schema.CLUSTER_RESULTS)
+    s.create("labels", schema.CLUSTER_RESULTS)
+    first = s.read("labels")
+    s.append("labels", spark.createDataFrame([("r", 1, 2)], schema.CLUSTER_RESULTS))
+    assert (first.count(), s.read("labels").count(), s.read("labels", 0).count()) == (0, 1, 0)
+    s.truncate("labels")
+    assert s.read("labels").count() == 0
+    with pytest.raises(FileNotFoundError):
+        s.read("nothing")
+
+
+def tree(root):
+    for p in ("ann/1.jpg", "ann/2.JPG", "bob/1.png", "bob/x.txt", "bob/empty.jpg", "loose.jpg", ".hid/3.jpg"):
+        os.makedirs(os.path.dirname(f"{root}/{p}"), exist_ok=True)
+        with open(f"{root}/{p}", "wb") as f:
+            f.write(b"" if "empty" in p else b"data")
+
+
+def test_scans(spark, tmp_path):
+    root = f"{tmp_path}/raw"
+    tree(root)
+    with open(f"{root}/.DS_Store", "w") as f:
+        f.write("x")
+    seen = [(r[0], os.path.basename(r[1])) for r in scan.labelled_tree(spark, root).collect()]
+    assert ("ann", "1.jpg") in seen and ("ann", "2.JPG") in seen and ("bob", "1.png") in seen and not any(b in ("x.txt", "loose.jpg") for _, b in seen)
+    valid = [(r[0], os.path.basename(r[1])) for r in scan.valid_images(spark, root).collect()]
+    assert ("Unassigned_Outlier", "loose.jpg") in valid and not any(b in ("empty.jpg", ".DS_Store") for _, b in valid)
+    assert not any(r[0].startswith(".") for r in scan.folder_images(spark, root).collect())
+
+
+def test_matrix_and_documents(spark, tmp_path):
+    np.save(f"{tmp_path}/m.npy", np.arange(6, dtype=np.float32).reshape(2, 3))
+    assert [r["vector"] for r in scan.matrix(spark, f"{tmp_path}/m.npy").orderBy("row").collect()] == [[0, 1, 2], [3, 4, 5]]
+    with open(f"{tmp_path}/d.json", "w") as f:
+        json.dump({"pred_labels": [0, -1], "best_params": {"eps": 1.0}, "per_identity": {"a": {"total": 2, "noise": 1, "n_clusters": 1}}}, f, indent=1)
+    r = scan.result_document(spark, f"{tmp_path}/d.json").head()
+    assert (r["pred_labels"], r["algorithm"], r["all_results"]) == ([0, -1], None, [])
+
+
+def test_registry_leaves_out_images_without_faces_and_reads_back(spark, tmp_path):
+    boxes = spark.createDataFrame([("a.jpg", i, f"crop_a_{i}.jpg", 1, 2, 3, 4) for i in range(2)], "filename string, box_index int, crop_filename string, x int, y int, width int, height int")
+    rows = sinks.registry(boxes).collect()
+    assert [r["filename"] for r in rows] == ["a.jpg"]
+    with open(f"{tmp_path}/r.json", "w") as f:
+        json.dump({r["filename"]: json.loads(r["entry"]) for r in rows}, f)
+    assert scan.registry(spark, f"{tmp_path}/r.json").count() == 2
+
+
+def test_unscanned_and_undetected_look_alike(spark):
+    a = spark.createDataFrame([("x", 2), ("y", 1)], "filename string, count long")
+    b = spark.createDataFrame([("y", 1), ("z", 1)], "filename string, count long")
+    assert sorted(map(tuple, rep.detector_counts(a, b).collect())) == [("x", 2, 0), ("y", 1, 1), ("z", 0, 1)]
+
+
+def test_manifest_overwrites_only_its_run(spark, tmp_path):
+    m = spark.createDataFrame([(1, "a", "d/1.jpg", -1), (2, "a", "d/2.jpg", 3)], "face_id long, identity string, image_path string, cluster_label int")
+    path = f"file://{tmp_path}/clusters"
+    for run in ("one", "two", "one"):
+        sinks.write_manifest(sinks.manifest(m, run), path)
+    back = scan.cluster_folders(spark, path)
+    assert back.count() == 4 and {r[0] for r in back.select("cluster_folder").collect()} == {"noise", "cluster_3"}
+    assert {r["dst"] for r in sinks.manifest(m, "r", capital=True).collect()} == {"r/arcface/Noise/a__1.jpg", "r/arcface/Cluster_3/a__2.jpg"}
+
+
+def test_length_check(spark):
+    f = spark.createDataFrame([(1,), (2,)], "id long")
+    ok = spark.createDataFrame([(1, 0), (2, 0)], "face_id long, cluster_label int")
+    assert sinks.checked_length(ok, f).count() == 2
+    with pytest.raises(ValueError):
+        sinks.checked_length(ok.where("face_id = 1"), f)
+
+
+def test_stored_label_lists_follow_case_insensitive_order(spark):
+    f = spark.createDataFrame([(1, "bob", "b"), (2, "Cy", "c"), (3, "ann", "a")], "id long, identity string, image_path string")
+    got = rep.zip_labels(f, spark.createDataFrame([([5, 6, 7],)], "pred_labels array<int>"))
+    assert {r["identity"]: r["cluster_label"] for r in got.collect()} == {"ann": 5, "bob": 6, "Cy": 7}
+
+
+def test_norms_and_zero_vectors(spark):
+    v = spark.createDataFrame([([0.0, 0.0],), ([3.0, 4.0],)], "v array<double>")
+    assert [r[0] for r in v.select(vec.l2_normalize(F.col("v"))).collect()] == [[0, 0], pytest.approx([0.6, 0.8])]
+    assert [r[0] for r in v.select(vec.l2_normalize_guarded(F.col("v"))).collect()][0] == [0, 0]
+
+
+def test_alignment_puts_the_eyes_where_they_belong(spark):
+    left, right = F.array(F.lit(30.0), F.lit(40.0)), F.array(F.lit(60.0), F.lit(50.0))
+    m = spark.range(1).select(geometry.eye_alignment(left, right).alias("m")).head()["m"]["matrix"]
+    put = lambda x, y: (m[0] * x + m[1] * y + m[2], m[3] * x + m[4] * y + m[5])
+    (lx, ly), (rx, ry) = put(30, 40), put(60, 50)
+    assert (ly, ry, rx - lx, (lx + rx) / 2) == pytest.approx((52, 52, 35, 56))
+    same = spark.range(1).select(geometry.eye_alignment(left, left).alias("m")).head()["m"]
+    assert same["matrix"] is None
+
+
+def test_landmark_helpers(spark):
+    pts = F.array(*[F.array(F.lit(float(i)), F.lit(float(2 * i))) for i in range(6)])
+    r = spark.range(1).select(geometry.centre(pts, 1, 2).alias("c"), geometry.out_of_frame(pts, F.lit(5.0), F.lit(99.0)).alias("o"), geometry.valid_keypoints(pts, F.array(F.lit(0.9), F.lit(0.1))).alias("k"), geometry.left_right(pts[3], pts[1])[0].alias("l"), geometry.xywh(geometry.corners(F.lit(1.0), F.lit(2.0), F.lit(3.0), F.lit(4.0))).alias("b")).head()
+    assert (r["c"], r["o"], r["k"], r["l"], r["b"]) == ([1.5, 3.0], True, False, [1.0, 2.0], [1.0, 2.0, 3.0, 4.0])
+
+
+def test_words(spark):
+    r = spark.range(1).select(text.params_text("dbscan", F.struct(F.lit(0.5).alias("eps"), F.lit(3).alias("min_samples"))).alias("p"), text.lookup(F.create_map(F.lit("a"), F.lit(1)), F.lit("b"), F.lit(0)).alias("l"), text.cluster_folder(F.lit(-1), True).alias("f")).head()
+    assert tuple(r) == ("eps=0.50, min_samples=3", 0, "Noise")
+
+
+def test_slots(spark):
+    images = spark.createDataFrame([("p", bytearray(b"abc")), ("q", bytearray(b""))], "path string, content binary")
+    found = slots.detect(images, lambda: lambda raw: [{"bbox": [0.0, 0.0, 1.0, 1.0], "landmarks": [[0.0, 0.0]], "det_score": 0.5}] * len(raw))
+    assert found.count() == 3
+    out = slots.extract(images, lambda: lambda raw: np.array([len(raw), 0.0, 4.0]))
+    assert [r["vector"] for r in out.orderBy("path").collect()] == [pytest.approx([0.6, 0.0, 0.8]), [0.0, 0.0, 1.0]]
+
+
+def test_stream_equals_the_ordered_fold(spark, sf, tmp_path):
+    from vecloom.operators import centroids as cen
+    from vecloom.operators import incremental as inc
+    from vecloom.streaming import arrivals as arr
+
+    m = schema.labelled(spark, sf).where("face_id < 150").cache()
+    c = cen.centroids(m)
+    queue = m.where("cluster_label = -1").selectExpr("run_label", "face_id AS seq", "face_id", "vector")
+    for low, high in ((0, 50), (50, 100), (100, 150)):
+        queue.where(f"seq >= {low} AND seq < {high}").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    store = Store(spark, f"file://{tmp_path}/store")
+    arr.prepare(store, m, c)
+    arr.start(arr.arrivals(spark, f"file://{tmp_path}/in"), store, f"file://{tmp_path}/check", available_now=True).awaitTermination()
+    rows = lambda df: sorted((r["face_id"], r["status"], r["cluster_label"], round(r["distance"], 9)) for r in df.collect())
+    assert rows(store.read("decisions")) == rows(inc.sequential(queue, m, c, grow=True))
+    before = store.read("decisions").count()
+    arr.apply_batch(store, queue, 0)  # delivered again
+    assert store.read("decisions").count() == before

@@ -47,7 +47,8 @@ def proportional_margin_box(box: Column, width: Column, height: Column, margin:
 def centre(points: Column, first: int, count: int) -> Column:
     """Mean point of `count` landmarks from 0-based `first`: (x, y)."""
     some = F.slice(points, first + 1, count)
-    return F.array(*[F.aggregate(some, F.lit(0.0), lambda s, p, i=i: s + p[i]) / count for i in (0, 1)])
+    mean = lambda i: F.aggregate(F.transform(some, lambda p: p[i]), F.lit(0.0), lambda s, x: s + x) / count
+    return F.array(mean(0), mean(1))
 
 
 def left_right(a: Column, b: Column) -> tuple[Column, Column]:
