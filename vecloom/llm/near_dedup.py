@@ -5,24 +5,29 @@ minimum and the maximum of the permuted set, so `permutations` evaluations make
 between two sets with the probability of their Jaccard similarity.  Bands of consecutive values are bucketed.
 
 Nothing lists all pairs of a bucket.  Equal sets fold into one representative first.  In every bucket each member is
-compared with one centre; verified links are contracted to components; only buckets that still hold several components
-go on: to a second centre, and then to the pairs across components.  Links are confirmed on full shingle sets in the
-JVM (array_intersect), and components come from alternating large-star / small-star rounds whose tables lie in the
-shared folder.
+compared with one centre, and verified links are contracted to components.  Buckets that still hold several components
+are joined across components, under a bound that is exact in one direction: a bitmap of each set shows how many
+shingles at least are missing from the other, and pairs that cannot reach the threshold are not emitted.  Links are
+confirmed on full shingle sets in the JVM (array_intersect), and components come from alternating large-star /
+small-star rounds whose tables lie in the shared folder.
 """
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.llm import _text as T
 from vecloom.llm._common import written
 
+BITMAP_BITS = 10
+BITMAP_LONGS = (1 << BITMAP_BITS) // 64
 SIGNATURE = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"
 
 
@@ -82,16 +87,25 @@ def signatures(docs: DataFrame, words: int = 5, permutations: int = 64, rows: in
 
 
 def shingle_lists(docs: DataFrame, words: int = 5) -> DataFrame:
-    """doc_id and its sorted distinct shingle hashes."""
+    """doc_id, its sorted distinct shingle hashes, and a bitmap of them: bit `top ten bits` of each is set."""
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, h, first in _sets(batch, words):
+                n = hi - lo
+                bits = np.zeros((n, BITMAP_LONGS), dtype=np.uint64)
+                doc, top = np.repeat(np.arange(n), np.diff(first)), h >> np.uint64(64 - BITMAP_BITS)
+                np.bitwise_or.at(bits, (doc, (top >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (top & np.uint64(63)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h.view(np.int64)))], names=["doc_id", "shingles"]
+                    [
+                        batch.column(0).slice(lo, n),
+                        pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h.view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BITMAP_LONGS), pa.array(bits.reshape(-1).view(np.int64))),
+                    ],
+                    names=["doc_id", "shingles", "bits"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(lists, "doc_id long, shingles array<long>")
+    return docs.select("doc_id", "text").mapInArrow(lists, "doc_id long, shingles array<long>, bits array<long>")
 
 
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
@@ -118,7 +132,7 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct(), name)
     before = state(edges)
     while before[0]:
-        edges = written(star(written(star(edges, True), name), False), name)
+        edges = written(star(star(edges, True), False), name)
         now = state(edges)
         if now == before:
             break
@@ -163,27 +177,29 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, permutat
     links = verified(star, "links")
     label = components(links)
 
-    def mixed() -> DataFrame:
-        """The rows of buckets that hold more than one component, with their component."""
-        rows_ = shared.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-        several = rows_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
-        return written(rows_.join(several, "key"), "mixed")
-
-    # A second centre: in each mixed bucket, all others meet the smallest member outside the first component.
-    rest = mixed()
-    centre = rest.where("comp != lo").groupBy("key").agg(F.min("rep").alias("b"))
-    second = rest.join(centre, "key").where("rep != b").select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b")).distinct()
-    more = verified(second, "links")
-    links = written(links.unionByName(more).distinct(), "links")
-    label = components(links)
-    # What is left: every pair across components of a bucket that has not been compared yet.
-    rest = mixed()
-    x, y = rest.select("key", F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na")), rest.select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
-    fits = (F.col("ca") > F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    pairs = x.join(y, "key").where(fits).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    last = verified(pairs, "links")
-    if last.head(1):
-        label = components(written(links.unionByName(last), "links"))
+    # Buckets that hold more than one component: pairs across components, as far as the bitmaps leave them possible.
+    # Every bit of a that b lacks stands for at least one shingle of a that b lacks.
+    rows_ = shared.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+    several = rows_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
+    bits = sets.select(F.col("doc_id").alias("rep"), *[F.col("bits")[i].alias(f"w{i}") for i in range(BITMAP_LONGS)])
+    rest = written(rows_.join(several, "key", "left_semi").join(bits, "rep"), "mixed")
+    x, y = (rest.select("key", *[F.col(c).alias(f"{c}_{v}") for c in rest.columns if c != "key"]) for v in "ab")
+
+    def common(v: str, u: str) -> Column:
+        """Shingles of v that u can have at most."""
+        lacking = [F.bit_count(F.col(f"w{i}_{v}").bitwiseAND(F.bitwise_not(F.col(f"w{i}_{u}")))) for i in range(BITMAP_LONGS)]
+        return F.col(f"n_{v}") - reduce(operator.add, lacking)
+
+    most = F.least(common("a", "b"), common("b", "a"))
+    fits = (F.col("comp_a") > F.col("comp_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & ((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b")))
+    pairs = x.join(y, (x["key"] == y["key"]) & fits).select(F.greatest("rep_a", "rep_b").alias("a"), F.least("rep_a", "rep_b").alias("b")).distinct()
+    across = verified(pairs, "links")
+    # The new links join components: contract them, and let the members follow.
+    to = label.select("node", "component")
+    bridge = across.join(to.toDF("a", "ca"), "a", "left").join(to.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    joined = components(bridge)  # roots are no nodes of label, so the two halves of old do not overlap
+    old = label.select(F.col("node").alias("rep"), F.col("component").alias("via")).unionByName(joined.select(F.col("node").alias("rep"), F.col("node").alias("via")))
+    label = old.join(joined.select(F.col("node").alias("via"), "component"), "via", "left").select(F.col("rep").alias("node"), F.coalesce("component", "via").alias("component"))
 
     out = sig.join(classes, key, "left").join(label.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "rep", "doc_id"))
