@@ -19,6 +19,7 @@ from vecloom.operators import incremental as inc
 from vecloom.operators import kmeans as km
 from vecloom.operators import metrics as met
 from vecloom.operators import pairs as prs
+from vecloom.operators import passes
 from vecloom.operators import report as rep
 from vecloom.plans.oracles import ORACLES
 from vecloom.sources import scan, sinks, tables
@@ -616,15 +617,40 @@ def pca_projection(spark, d):
     return hier.pca(schema.planted(spark, d), 2).select("face_id", F.col("vector")[0].alias("x"), F.col("vector")[1].alias("y"))
 
 
+def _with_paths(spark: SparkSession, d: str) -> DataFrame:
+    f = schema.faces(spark, d).select(F.col("id").alias("face_id"), "image_path")
+    return schema.planted(spark, d).select("face_id", "identity", "vector").join(f, "face_id")
+
+
 @query
 def cluster_pass(spark, d):
-    """Cluster, score, rebuild centroids: the whole pass over a run."""
-    p = schema.planted(spark, d)
-    labels = settled(dbs.dbscan(p, 0.6, 4), "labels")
-    m = p.join(labels, "face_id").withColumn("run_label", F.lit(schema.RUN))
-    c = cen.centroids(m).select("cluster_label", "n_members", "representative_face_id")
-    s = met.compute_metrics(m).select(rounded(F.col("ari")).alias("ari"))
-    return c.join(F.broadcast(s))  # one row of scores beside each centroid
+    """Cluster, rebuild centroids: the representatives that a whole pass over a run leaves."""
+    p = passes.cluster(_with_paths(spark, d), lambda v: dbs.dbscan(v, 0.6, 4))
+    return p.centroids.select("cluster_label", "n_members", "representative_face_id")
+
+
+@query
+def cluster_all_models(spark, d):
+    """The scores of a pass for each of two models."""
+    v = _with_paths(spark, d)
+    models = v.withColumn("model", F.lit("arcface")).unionByName(v.where("face_id % 2 = 0").withColumn("model", F.lit("facenet")))
+
+    def clusterer(x: DataFrame) -> DataFrame:
+        return dbs.dbscan(x, 0.6, 4)
+
+    done, _ = passes.cluster_models(models, clusterer)
+    out = passes.summary(done)
+    return out.select("model", "n", "n_predicted_clusters", *[rounded(F.col(c)).alias(c) for c in ("ari", "nmi", "purity", "noise_fraction")])
+
+
+@query
+def first_images(spark, d):
+    return passes.first_images(schema.faces(spark, d), 25).select("id", "identity", "image_path")
+
+
+@query
+def vectors_by_cluster(spark, d):
+    return passes.vectors_by_cluster(schema.labelled(spark, d)).select("cluster_label", F.size("vectors").alias("n"))
 
 
 @query

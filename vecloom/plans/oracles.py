@@ -66,13 +66,21 @@ def _dbscan(eps: float, least: int) -> str:
 nb AS (SELECT a.face_id AS a, b.face_id AS b FROM p a JOIN p b ON sqrt(2 * greatest(1 - list_inner_product(a.vector, b.vector), 0)) <= {eps} OR a.face_id = b.face_id),
 core AS (SELECT a AS core FROM nb GROUP BY a HAVING count(*) >= {least}),
 ed AS (SELECT a, b FROM nb WHERE a IN (SELECT core FROM core) AND b IN (SELECT core FROM core)),
-reach(a, b) AS (SELECT a, b FROM ed UNION SELECT r.a, ed.b FROM reach r JOIN ed ON ed.a = r.b WHERE ed.b < r.a),
+reach(a, b) AS (SELECT a, b FROM ed UNION SELECT r.a, ed.b FROM reach r JOIN ed ON ed.a = r.b),
 cmp AS (SELECT a AS core, min(b) AS comp FROM reach GROUP BY a),
 rk AS (SELECT comp, dense_rank() OVER (ORDER BY comp) - 1 AS k FROM (SELECT DISTINCT comp FROM cmp)),
 own AS (SELECT core AS face_id, comp FROM cmp UNION ALL SELECT nb.a, min(comp) FROM nb JOIN cmp ON cmp.core = nb.b WHERE nb.a NOT IN (SELECT core FROM core) GROUP BY nb.a),
 lab AS (SELECT p.face_id, p.identity, CAST(coalesce(k, -1) AS INTEGER) AS cluster_label FROM p LEFT JOIN own USING (face_id) LEFT JOIN rk USING (comp))"""
 
 
+def _sweep(configs: tuple[tuple[float, int], ...]) -> str:
+    rows = " UNION ALL ".join(
+        f"SELECT * FROM (WITH RECURSIVE {P}{_dbscan(e, m)}, src AS (SELECT 'x' AS model, identity, cluster_label FROM lab){SCORES} SELECT {i} AS ord, {e}::DOUBLE AS eps, {m} AS min_samples, n_predicted_clusters, noise_fraction, ari, nmi, purity FROM s)"
+        for i, (e, m) in enumerate(configs)
+    )
+    return f"WITH x AS ({rows}) SELECT * EXCLUDE (ord), ord = (SELECT ord FROM x ORDER BY ari DESC, ord LIMIT 1) AS best FROM x"
+
+
 ORACLES: dict[str, str] = {
     "emb_join_faces": f"WITH {R}, {FACES} SELECT face_id, f.identity, image_path, CAST(len(vector) AS INTEGER) AS dim FROM r JOIN f ON f.id = r.face_id",
     "cluster_members": f"WITH {CR}, {FACES} SELECT face_id, f.identity, image_path FROM cr JOIN f ON f.id = cr.face_id WHERE run_label = 'default' AND cluster_label = 3",
@@ -150,4 +158,9 @@ ORACLES: dict[str, str] = {
     "start_cluster": f"WITH {C} SELECT cluster_label, n_members, representative_face_id FROM c UNION ALL SELECT (SELECT max(cluster_label) + 1 FROM c), 1, 19",
     "assign_face": f"WITH {C}, v AS (SELECT vector AS v FROM l WHERE face_id = 19), x AS (SELECT n_members + 1 AS n, list_transform(list_zip(centroid, v), lambda z: (z[1] * n_members + z[2]) / (n_members + 1)) AS w FROM c, v WHERE cluster_label = 2), y AS (SELECT n, w, sqrt(list_inner_product(w, w)) AS q FROM x) SELECT 2 AS cluster_label, n AS n_members, CAST(generate_subscripts(w, 1) - 1 AS INTEGER) AS pos, round(unnest(w) / q, 6) + 0.0 AS value FROM y",
     "dbscan": f"WITH RECURSIVE {P}{_dbscan(0.6, 4)} SELECT face_id, cluster_label FROM lab",
+    "cluster_pass": f"WITH RECURSIVE {P}{_dbscan(0.6, 4)}, lv AS (SELECT lab.face_id, lab.cluster_label, p.vector FROM lab JOIN p USING (face_id)){_cents('lv', 'c')} SELECT cluster_label, n_members, representative_face_id FROM c",
+    "first_images": f"WITH {FACES} SELECT id, identity, image_path FROM f ORDER BY identity, image_path LIMIT 25",
+    "vectors_by_cluster": f"WITH {CR} SELECT cluster_label, CAST(count(*) AS INTEGER) AS n FROM cr GROUP BY 1",
+    "batch_apply": f"WITH {C}, b AS (SELECT list(a ORDER BY pos) AS w FROM (SELECT pos, avg(v) AS a FROM (SELECT unnest(vector) AS v, generate_subscripts(vector, 1) AS pos FROM l WHERE face_id < 5) GROUP BY pos)), x AS (SELECT cluster_label, 1 - list_inner_product(centroid, w) / sqrt(list_inner_product(w, w)) AS d FROM c, b ORDER BY d, cluster_label LIMIT 1), t AS (SELECT CASE WHEN d <= 0.40 THEN cluster_label ELSE (SELECT max(cluster_label) + 1 FROM l) END AS k FROM x), y AS (SELECT cluster_label FROM l UNION ALL SELECT k FROM t, range(0, (SELECT count(*) FROM l WHERE face_id < 5))) SELECT CAST(cluster_label AS INTEGER) AS cluster_label, count(*) AS n FROM y GROUP BY 1",
+    "dbscan_sweep": _sweep(((0.5, 2), (0.5, 4), (0.6, 2), (0.6, 4))),
 }
