@@ -53,10 +53,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("a") != F.col("b")).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, small: int = SMALL) -> DataFrame:
     """(node, component) for the nodes of edges(a, b); component is the smallest node reachable.
 
-    Every round is settled in the shared folder; the driver sees a count and a checksum.
+    Up to `small` edges one task finds them.  Above, every round is an aggregation with map-side minima and a join, and
+    is settled in the shared folder; the driver sees a count and a checksum.
     """
 
     def state(df: DataFrame) -> tuple:
@@ -65,10 +66,10 @@ def components(edges: DataFrame) -> DataFrame:
 
     edges = settled(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct(), "edges")
     before = state(edges)
-    if before[0] <= SMALL:
+    if before[0] <= small:
         return edges.select(F.col("a").cast("long"), F.col("b").cast("long")).coalesce(1).mapInArrow(_in_one, "node long, component long")
     while before[0]:
-        edges = settled(_star(settled(_star(edges, True), "edges"), False), "edges")
+        edges = settled(_star(_star(edges, True), False), "edges")
         now = state(edges)
         if now == before:
             break

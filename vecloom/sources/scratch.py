@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[int, str] = {}
 
 
@@ -16,13 +19,33 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         key = id(spark.sparkContext)
         if key not in _own:
-            _own[key] = "file://" + tempfile.mkdtemp(prefix="vecloom-core-")
+            _own[key] = "file://" + tempfile.mkdtemp(prefix="vecloom-")
         base = _own[key]
     return base.rstrip("/")
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within it, each finished SQL execution deletes its own shuffle files: what it wrote is the only copy kept."""
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, before)
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
     """The rows of df as a Parquet table: lineage ends there, and a lost executor loses nothing of it."""
     path = f"{shared_dir(df.sparkSession)}/vecloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
