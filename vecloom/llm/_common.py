@@ -1,59 +1,14 @@
-"""What the operators of this subpackage share: intermediate tables in the folder that all executors see."""
+"""What the operators of this subpackage share."""
 
 from __future__ import annotations
 
-import contextlib
-import tempfile
-import uuid
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_own: dict[int, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session names it; where it is unset, as in tests, a folder of this process."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        key = id(spark.sparkContext)
-        if key not in _own:
-            _own[key] = "file://" + tempfile.mkdtemp(prefix="vecloom-")
-        base = _own[key]
-    return base.rstrip("/")
-
-
-def fs_delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@contextlib.contextmanager
-def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """Within it, each finished SQL execution deletes its own shuffle files: what it wrote is the only copy kept."""
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(_CLEAN)
-        else:
-            spark.conf.set(_CLEAN, before)
-
+from vecloom.sources.scratch import delete as fs_delete
+from vecloom.sources.scratch import settled as written
+from vecloom.sources.scratch import shuffles_dropped
 
-def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """The rows of df as a Parquet table in the shared folder: lineage ends there and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/vecloom-{name}-{uuid.uuid4().hex}"
-    with shuffles_dropped(spark):
-        w = df.write
-        if partition_by:
-            w = w.partitionBy(*partition_by)
-        w.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["fs_delete", "partitions", "shuffles_dropped", "table", "written"]
 
 
 def partitions(spark: SparkSession) -> int:

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from vecloom.llm import _text as T
 from vecloom.llm._common import written
+from vecloom.operators.graph import components
 
 BITMAP_BITS = 10
 BITMAP_LONGS = (1 << BITMAP_BITS) // 64
@@ -108,38 +109,6 @@ def shingle_lists(docs: DataFrame, words: int = 5) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(lists, "doc_id long, shingles array<long>, bits array<long>")
 
 
-def components(edges: DataFrame, name: str = "cc") -> DataFrame:
-    """(node, component) of the nodes of edges(a, b): component is the smallest node reachable.
-
-    Alternating large-star and small-star contraction.  Each round is an aggregation with map-side minimum and a join,
-    and ends in a table of the shared folder; only a count and a checksum come to the driver.
-    """
-
-    def state(df: DataFrame) -> tuple:
-        r = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
-        return r[0], r[1]
-
-    def star(df: DataFrame, large: bool) -> DataFrame:
-        both = df.unionByName(df.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else df
-        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        linked = both.join(low, "a")
-        if large:
-            out = linked.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        else:
-            out = linked.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        return out.where(F.col("a") != F.col("b")).distinct()
-
-    edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct(), name)
-    before = state(edges)
-    while before[0]:
-        edges = written(star(star(edges, True), False), name)
-        now = state(edges)
-        if now == before:
-            break
-        before = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-
-
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, permutations: int = 64, rows: int = 4, seed: int = 17) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text, ...).
 
@@ -175,7 +144,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, permutat
 
     star = shared.where("rep != low").groupBy("rep", "low").agg(F.count(F.lit(1)).alias("c")).select(F.col("rep").alias("a"), F.col("low").alias("b"))
     links = verified(star, "links")
-    label = components(links)
+    label = components(links, small=0)
 
     # Buckets that hold more than one component: pairs across components, as far as the bitmaps leave them possible.
     # Every bit of a that b lacks stands for at least one shingle of a that b lacks.
@@ -197,7 +166,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, permutat
     # The new links join components: contract them, and let the members follow.
     to = label.select("node", "component")
     bridge = across.join(to.toDF("a", "ca"), "a", "left").join(to.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    joined = components(bridge)  # roots are no nodes of label, so the two halves of old do not overlap
+    joined = components(bridge, small=0)  # roots are no nodes of label, so the two halves of old do not overlap
     old = label.select(F.col("node").alias("rep"), F.col("component").alias("via")).unionByName(joined.select(F.col("node").alias("rep"), F.col("node").alias("via")))
     label = old.join(joined.select(F.col("node").alias("via"), "component"), "via", "left").select(F.col("rep").alias("node"), F.coalesce("component", "via").alias("component"))
 
