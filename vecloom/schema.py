@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.functions import vec
+from vecloom.sources.ship import ship
 
 FACES = "id LONG, identity STRING, image_path STRING, bbox ARRAY<FLOAT>, landmarks ARRAY<ARRAY<FLOAT>>, det_score FLOAT, created_at TIMESTAMP"
 FACES_MULTI = FACES + ", face_index INT, crop_path STRING"
@@ -20,6 +21,7 @@ RUN = "default"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
