@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,7 +170,16 @@ def test_no_safe_zone_when_the_nearest_pair_differs(spark):
     assert (r["precision_t1"], r["no_safe_auto_merge_zone"]) == (0.0, True)
 
 
-def test_equal_distances_take_same_pairs_first(spark):
-    pairs = spark.createDataFrame([(0.5, 1), (0.5, 0), (0.1, 0)], "d double, is_diff int")
-    got = [tuple(r) for r in cal.running_rate(pairs).select("d", "is_diff", "total", "diffs").orderBy("total").collect()]
-    assert got == [(0.1, 0, 1, 0), (0.5, 0, 2, 0), (0.5, 1, 3, 1)]
+def test_cutoff_and_percentiles_equal_brute_force(spark):
+    rng = np.random.default_rng(3)
+    for target in (0.0, 0.01, 0.3, 1.0):
+        d = np.round(rng.random(300) ** 2 * 1.9, 2)
+        diff = (rng.random(300) < d / 2).astype(int)
+        pairs = spark.createDataFrame([(float(a), int(b)) for a, b in zip(d, diff, strict=True)], "d double, is_diff int")
+        hist = cal.histogram(pairs)
+        order = np.lexsort((diff, d))
+        ok = np.cumsum(diff[order]) <= target * np.arange(1, 301)
+        assert cal.safe_cutoff(pairs, hist, target) == (d[order][ok].max() if ok.any() else 0.0)
+        got = cal.percentiles(pairs, hist, {"a": (0, 95.0), "b": (1, 5.0), "c": (0, 100.0), "d": (1, 0.0)})
+        want = [np.percentile(d[diff == f], p) for f, p in ((0, 95), (1, 5), (0, 100), (1, 0))]
+        assert list(got.values()) == pytest.approx(want)
