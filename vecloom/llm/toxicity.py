@@ -2,12 +2,13 @@
 
 1. Lexicons are mined from a bounded sample of labelled documents: words and word beginnings (4 to 8 bytes), each at
    the levels "occurs", "occurs twice", "occurs four times", by their chi-squared association with the label.
-2. Voters (a fixed lexicon, one mined lexicon per length of beginning, their density) vote toxic, clean or abstain on
-   every document of the table.
+2. Voters vote toxic, clean or abstain on every document of the table: a fixed lexicon; one mined lexicon per length of
+   beginning, by the likelihood ratio of its hits for the document's length, so long texts are no more suspect than
+   short ones; and all of them together.
 3. A generative label model, fitted by EM on the counts of all vote patterns of all documents, estimates each voter's
    accuracy per class; voters that agree beyond what the class explains share their weight.
-4. A logistic regression over the mined indicators is trained on the model's posteriors of the sampled documents, with
-   their labels as one more voter, and scores every document.
+4. A logistic regression over the mined indicators and the likelihood ratios is trained on the model's posteriors of the
+   sampled documents, with their labels as one more voter, and scores every document.
 
 The full texts are read once for 2 and 4 together: what a document holds of the mined features is a few bytes.  To the
 driver come the mined features (at most `max_features`), the pattern counts (3 ** voters at most) and the sample.
@@ -35,6 +36,9 @@ LEXICON = (
 LENGTHS = (4, 5, 6, 7, 8, 0)  # bytes of a word's beginning; 0: the whole word
 LEVELS = (1, 2, 4)
 VOTERS = len(LENGTHS) + 2
+DENSE = len(LENGTHS) + 3
+#: Log odds that a given label adds to a posterior, and the most that the voters add.
+LABEL_ODDS, VOTE_ODDS = 4.6, 3.0
 
 _LETTERS_ONLY = np.ones(256, dtype=bool)
 _LETTERS_ONLY[65:91] = _LETTERS_ONLY[97:123] = False
@@ -115,45 +119,63 @@ class Lexicon:
             self.table[k][at, LEVELS.index(level)] = i
 
 
-def _reader(lexicon: Lexicon):
-    """doc_id, held_out, number of words, vote pattern and active indicators of each text."""
+def _hits(chunk: _Chunk, lexicon: Lexicon, n: int):
+    """Per text: hits of the fixed lexicon and of each mined one (texts x lexicons), and the active indicators."""
+    known = np.isin(chunk.unique, lexicon.fixed)[chunk.inverse]
+    fixed = np.bincount(chunk.words.doc[known], minlength=n)
+    mined, docs, items = np.zeros((n, len(LENGTHS))), [], []
+    for k in range(len(LENGTHS)):
+        doc, f, c = chunk.counts(k, lexicon.base[k])
+        said = lexicon.votes[k][f] if len(f) else np.zeros(0, dtype=bool)
+        mined[:, k] = np.bincount(doc[said], weights=c[said], minlength=n)
+        for j, level in enumerate(LEVELS):
+            item = lexicon.table[k][f, j] if len(f) else np.zeros(0, dtype=np.int64)
+            m = (item >= 0) & (c >= level)
+            docs.append(doc[m])
+            items.append(item[m])
+    return fixed, mined, np.concatenate(docs), np.concatenate(items)
+
+
+def _counter(lexicon: Lexicon):
+    """toxic, n_words, hits of each labelled text: what the rates come from."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offs in T.chunks(batch, "text"):
+                chunk = _Chunk(data, offs)
+                _, mined, _, _ = _hits(chunk, lexicon, hi - lo)
+                cols = [batch.column("toxic").slice(lo, hi - lo), pa.array(chunk.words.per_doc)] + [pa.array(mined[:, k].astype(np.int64)) for k in range(len(LENGTHS))]
+                yield pa.RecordBatch.from_arrays(cols, names=["toxic", "n_words", *[f"h{k}" for k in range(len(LENGTHS))]])
+
+    return run
+
+
+def ratios(hits: np.ndarray, words: np.ndarray, rates: np.ndarray) -> np.ndarray:
+    """Log likelihood ratio of toxic against clean for Poisson hits; rates: (toxic, clean) per word of each lexicon."""
+    return hits * np.log(rates[0] / rates[1]) - words[:, None] * (rates[0] - rates[1])
+
+
+def _reader(lexicon: Lexicon, rates: np.ndarray):
+    """doc_id, held_out, vote pattern, active indicators and dense features of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offs in T.chunks(batch, "text"):
                 n, chunk = hi - lo, _Chunk(data, offs)
                 words = chunk.words.per_doc
-                pattern, scale, total = np.zeros(n, dtype=np.int64), 1, np.zeros(n)
-                docs, items = [], []
-
-                def vote(toxic: np.ndarray, clean: np.ndarray) -> None:
-                    nonlocal pattern, scale
-                    pattern += scale * np.where(toxic, 2, np.where(clean, 0, 1))
-                    scale *= 3
-
-                known = np.isin(chunk.unique, lexicon.fixed)[chunk.inverse]
-                fixed = np.bincount(chunk.words.doc[known], minlength=n)
-                vote(fixed >= 1, np.zeros(n, dtype=bool))
-                for k in range(len(LENGTHS)):
-                    doc, f, c = chunk.counts(k, lexicon.base[k])
-                    said = lexicon.votes[k][f] if len(f) else np.zeros(0, dtype=bool)
-                    hits = np.bincount(doc[said], weights=c[said], minlength=n)
-                    total += hits
-                    vote(hits >= 2, hits == 0)
-                    for j, level in enumerate(LEVELS):
-                        item = lexicon.table[k][f, j] if len(f) else np.zeros(0, dtype=np.int64)
-                        m = (item >= 0) & (c >= level)
-                        docs.append(doc[m])
-                        items.append(item[m])
-                vote(100 * total >= 2 * len(LENGTHS) * np.maximum(words, 1), 200 * total <= len(LENGTHS) * np.maximum(words, 1))
-                d, i = np.concatenate(docs), np.concatenate(items)
+                fixed, mined, d, i = _hits(chunk, lexicon, n)
+                llr = ratios(mined, words, rates)
+                both = llr.mean(axis=1)
+                votes = [np.where(fixed >= 1, 2, 1)] + [np.where(x > 1, 2, np.where(x < -1, 0, 1)) for x in (*llr.T, 2 * both)]
+                pattern = sum(v * 3**j for j, v in enumerate(votes))
+                dense = np.column_stack((np.log1p(words) / 10, np.minimum(100 * fixed / np.maximum(words, 1), 5), np.clip(llr, -10, 10) / 5, np.clip(both, -10, 10) / 5))
                 order = np.argsort(d, kind="stable")
                 i = i[order].astype("<u2")
                 edge = np.searchsorted(d[order], np.arange(n + 1))
                 raw = [i[a:b].tobytes() for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, n), batch.column("held_out").slice(lo, n), pa.array(words), pa.array(pattern.astype(np.int32)), pa.array(raw, type=pa.binary())],
-                    names=["doc_id", "held_out", "n_words", "pattern", "items"],
+                    [batch.column("doc_id").slice(lo, n), batch.column("held_out").slice(lo, n), pa.array(pattern.astype(np.int32)), pa.array(raw, type=pa.binary()), pa.array([x.tobytes() for x in dense.astype("<f4")], type=pa.binary())],
+                    names=["doc_id", "held_out", "pattern", "items", "dense"],
                 )
 
     return run
@@ -207,20 +229,20 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(self.log_odds(patterns), -30, 30)))
 
 
-def _dense(n_words: np.ndarray) -> np.ndarray:
-    return np.log1p(n_words.astype(float)) / 10
+def _matrix(raw: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(raw), dtype="<f4").reshape(len(raw), DENSE).astype(float)
 
 
-def _train(rows: list[np.ndarray], n_words: np.ndarray, target: np.ndarray, size: int, rounds: int = 400, decay: float = 2e-4) -> np.ndarray:
-    """Weights of the indicators, then of the text length, then the intercept: logistic loss against soft targets."""
+def _train(rows: list[np.ndarray], dense: np.ndarray, target: np.ndarray, size: int, rounds: int = 400, decay: float = 5e-4) -> np.ndarray:
+    """Weights of the indicators, then of the dense features, then the intercept: logistic loss against soft targets."""
     length = np.array([len(r) for r in rows])
     flat, row = np.concatenate([*rows, np.zeros(0, dtype=np.int64)]).astype(np.int64), np.repeat(np.arange(len(rows)), length)
-    dense, n = _dense(n_words), max(1, len(rows))
-    w, m, v = np.zeros(size + 2), np.zeros(size + 2), np.zeros(size + 2)
+    n, d = max(1, len(rows)), dense.shape[1]
+    w, m, v = np.zeros(size + d + 1), np.zeros(size + d + 1), np.zeros(size + d + 1)
     for step in range(1, rounds + 1):
-        z = np.bincount(row, weights=w[flat], minlength=len(rows)) + w[size] * dense + w[size + 1]
+        z = np.bincount(row, weights=w[flat], minlength=len(rows)) + dense @ w[size : size + d] + w[-1]
         e = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - target
-        g = np.concatenate((np.bincount(flat, weights=e[row], minlength=size), [e @ dense, e.sum()])) / n
+        g = np.concatenate((np.bincount(flat, weights=e[row], minlength=size), e @ dense, [e.sum()])) / n
         g[:size] += decay * w[:size]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
@@ -228,14 +250,14 @@ def _train(rows: list[np.ndarray], n_words: np.ndarray, target: np.ndarray, size
 
 
 def _scorer(weights: np.ndarray):
-    size = len(weights) - 2
+    size = len(weights) - 1 - DENSE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             items = [np.frombuffer(x, dtype="<u2") for x in batch.column("items").to_pylist()]
             row = np.repeat(np.arange(len(items)), [len(x) for x in items])
             flat = np.concatenate([*items, np.zeros(0, dtype="<u2")]).astype(np.int64)
-            z = np.bincount(row, weights=weights[flat], minlength=len(items)) + weights[size] * _dense(batch.column("n_words").to_numpy()) + weights[size + 1]
+            z = np.bincount(row, weights=weights[flat], minlength=len(items)) + _matrix(batch.column("dense").to_pylist()) @ weights[size:-1] + weights[-1]
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -274,19 +296,21 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, max
     best = found.where((F.col("pos") >= min_toxic) & (a * negative > b * positive)).withColumn("chi", chi).orderBy(F.desc("chi"), "k", "feature", "level").limit(max_features)
     lexicon = Lexicon(best.collect(), positive, negative)
 
-    kinds = "doc_id long, held_out boolean, n_words long, pattern int, items binary"
-    seen = written(texts.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")).mapInArrow(_reader(lexicon), kinds), "toxic-votes")
-    counts = seen.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()
-    weights = np.concatenate((np.zeros(lexicon.size + 1), [-30.0]))
+    names = [f"h{k}" for k in range(len(LENGTHS))]
+    sums = labelled.select("text", "toxic").mapInArrow(_counter(lexicon), "toxic int, n_words long, " + ", ".join(f"{x} long" for x in names))
+    by_class = {r["toxic"]: r for r in sums.groupBy("toxic").agg(*[F.sum(x).alias(x) for x in ("n_words", *names)]).collect()}
+    rates = np.array([[(by_class[y][x] + 0.5) / (by_class[y]["n_words"] + 1000) if y in by_class else 1e-3 for x in names] for y in (1, 0)])
+
+    kinds = "doc_id long, held_out boolean, pattern int, items binary, dense binary"
+    seen = written(texts.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")).mapInArrow(_reader(lexicon, rates), kinds), "toxic-votes")
+    counts = seen.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).orderBy("pattern").collect()
+    weights = np.concatenate((np.zeros(lexicon.size + DENSE), [-30.0]))
     if positive and negative and counts:
         model = LabelModel(np.array([r["pattern"] for r in counts]), np.array([r["n"] for r in counts], dtype=float))
-        rows = seen.join(F.broadcast(sample), "doc_id").select("doc_id", "n_words", "pattern", "items", "toxic").limit(2 * max_labelled).collect()
-        rows.sort(key=lambda r: (r["doc_id"], r["n_words"], r["pattern"], r["items"]))
+        rows = seen.join(F.broadcast(sample), "doc_id").select("doc_id", "pattern", "items", "dense", "toxic").limit(2 * max_labelled).collect()
+        rows.sort(key=lambda r: (r["doc_id"], r["pattern"], r["items"], r["dense"]))
         if rows:
-            odds = model.log_odds(np.array([r["pattern"] for r in rows]))
-            y = np.array([r["toxic"] for r in rows])
-            agree = float(np.clip(((odds > 0) == (y > 0)).mean(), 0.8, 0.99))
-            odds = odds + np.log(agree / (1 - agree)) * (2 * y - 1)
-            target = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-            weights = _train([np.frombuffer(r["items"], dtype="<u2") for r in rows], np.array([r["n_words"] for r in rows]), target, lexicon.size)
+            odds = np.clip(model.log_odds(np.array([r["pattern"] for r in rows])), -VOTE_ODDS, VOTE_ODDS)
+            target = 1 / (1 + np.exp(-(odds + LABEL_ODDS * (2 * np.array([r["toxic"] for r in rows]) - 1))))
+            weights = _train([np.frombuffer(r["items"], dtype="<u2") for r in rows], _matrix([r["dense"] for r in rows]), target, lexicon.size)
     return seen.mapInArrow(_scorer(weights), "doc_id long, held_out boolean, score double, predicted int")
