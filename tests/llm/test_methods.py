@@ -17,7 +17,7 @@ from vecloom.llm import ann, decontamination, line_dedup, packing, secrets, shar
 from vecloom.llm._tokens import Encoder
 from vecloom.llm.near_dedup import near_duplicates
 from vecloom.llm.pii import PATTERNS, pii
-from vecloom.llm.substring_dedup import FingerprintIndex, substring_dedup
+from vecloom.llm.substring_dedup import FingerprintIndex, partition_keys, substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TEXT = st.text(alphabet=st.sampled_from("ab é\n\t.,'’1  　ñÑ🙂<|>endoftx"), max_size=60)
@@ -100,6 +100,13 @@ def test_index_grows_batch_by_batch_and_compacts(spark):
         index.ingest(frame(4, text))
 
 
+@pytest.mark.parametrize("n", [1, 4, 49, 211])
+def test_partition_keys(spark, n):
+    keys = partition_keys(n)
+    got = spark.createDataFrame([(int(k),) for k in keys], "k int").selectExpr("pmod(hash(k), %d)" % n).collect()
+    assert [r[0] for r in got] == list(range(n))
+
+
 def brute_components(rows):
     sets = {}
     for i, t in rows:

@@ -60,14 +60,14 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n at least."""
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
-        m = max(n, CHUNK_BYTES + 4096)
+        m = 1 << max(12, (n - 1).bit_length())
         out = []
         for b in (base, pow(base, -1, 1 << 64)):
             p = np.full(m, np.uint64(b))
             p[0] = 1
             out.append(np.multiply.accumulate(p))
         have = (out[0], out[1])
-        if n <= CHUNK_BYTES + 4096:
+        if m <= 2 * CHUNK_BYTES:
             _powers[base] = have
     return have
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from vecloom.llm import _text as T
 from vecloom.llm._common import fs_delete, partitions, shuffles_dropped, written
 
-COMBINE_BYTES = 4 << 20
+COMBINE_BYTES, CHUNK_BYTES = 4 << 20, 1 << 20
 _PACK = "bucket int, part int, owners binary, owner_parts binary, owner binary, hashes binary, checks binary"
 _OUT = "bucket int, part int, docs binary, hashes binary, checks binary, kind string"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -45,6 +45,28 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def partition_keys(n: int) -> np.ndarray:
+    """keys[i] is the smallest non-negative int that hash partitioning over n partitions puts into partition i.
+
+    Spark hashes an int with Murmur3 (seed 42); numbered by these keys, n buckets fill n partitions evenly.
+    """
+    keys, start = np.full(n, -1, dtype=np.int32), 0
+    while (keys < 0).any():
+        x = np.arange(start, start + 16 * n + 64, dtype=np.uint32)
+        start += len(x)
+        turn = lambda v, r: (v << np.uint32(r)) | (v >> np.uint32(32 - r))
+        k = turn(x * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+        h = turn(np.uint32(42) ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+        h ^= np.uint32(4)
+        h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+        h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+        part = (h ^ (h >> np.uint32(16))).view(np.int32).astype(np.int64) % n
+        found, first = np.unique(part, return_index=True)
+        fresh = keys[found] < 0
+        keys[found[fresh]] = x[first[fresh]].astype(np.int32)
+    return keys
+
+
 def _windows(words: T.Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, check code, position of the first word) of every window that lies in one text."""
     wh = words.hashes()
@@ -53,13 +75,13 @@ def _windows(words: T.Words, width: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return h[keep], (T.second_hashes(wh, width)[keep] >> np.uint64(48)).astype(np.uint16), keep
 
 
-def _fingerprinter(width: int, buckets: int):
+def _fingerprinter(width: int, buckets: int, keys: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.asarray(batch.column(0))
             parts = np.asarray(batch.column(1))
             hs, cs, ds, held, lo0, hi0 = [], [], [], 0, 0, 0
-            for lo, hi, data, offs in T.chunks(batch, "text"):
+            for lo, hi, data, offs in T.chunks(batch, "text", CHUNK_BYTES):
                 w = T.Words(data, offs)
                 h, c, at = _windows(w, width)
                 hs.append(h)
@@ -89,14 +111,14 @@ def _fingerprinter(width: int, buckets: int):
             rp = parts[rd]
             for p in np.unique(rp):
                 m = rp == p
-                rows.append((int(p), int(p), ids[rd[m]].astype("<i8").tobytes(), None, None, _planes(rh[m]), None))
+                rows.append((int(keys[p]), int(p), ids[rd[m]].astype("<i8").tobytes(), None, None, _planes(rh[m]), None))
         h, c, d = h[~repeat], c[~repeat], d[~repeat]
         edge = np.searchsorted(_bucket(h, buckets), np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(edge)):
             s = slice(edge[b], edge[b + 1])
             own, local = np.unique(d[s], return_inverse=True)
             kind = np.uint16 if len(own) <= 65536 else np.uint32
-            rows.append((int(b), -1, ids[own].astype("<i8").tobytes(), parts[own].astype("<i4").tobytes(), local.astype(kind).tobytes(), _planes(h[s]), c[s].tobytes()))
+            rows.append((int(keys[b]), -1, ids[own].astype("<i8").tobytes(), parts[own].astype("<i4").tobytes(), local.astype(kind).tobytes(), _planes(h[s]), c[s].tobytes()))
         names = ["bucket", "part", "owners", "owner_parts", "owner", "hashes", "checks"]
         kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 5
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=t) for i, t in enumerate(kinds)], names=names)
@@ -163,7 +185,7 @@ def _cutter(width: int):
     """Second pass: texts of one part after the repeated windows of that part."""
 
     def finish(ids, batch, marked: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for lo, hi, data, offs in T.chunks(batch, "text"):
+        for lo, hi, data, offs in T.chunks(batch, "text", CHUNK_BYTES):
             w = T.Words(data, offs)
             drop = np.zeros(len(w), dtype=bool)
             mine = {i: marked[ids[lo + i]] for i in range(hi - lo) if ids[lo + i] in marked}
@@ -221,10 +243,10 @@ _SPACES = bytes(0x20 if T.SEPARATOR[i] else i for i in range(256))
 class FingerprintIndex:
     """Window hashes of all documents ingested so far, as immutable sorted runs of a bucketed table."""
 
-    def __init__(self, spark: SparkSession, width: int = 13, max_runs: int = 2, buckets_per_partition: int = 1):
+    def __init__(self, spark: SparkSession, width: int = 13, max_runs: int = 2):
         self.spark, self.width, self.max_runs = spark, width, max_runs
-        self.partitions = partitions(spark)
-        self.buckets = self.partitions * buckets_per_partition
+        self.buckets = partitions(spark)
+        self.keys = partition_keys(self.buckets)
         self.name = f"vecloom_fingerprints_{uuid.uuid4().hex}"
         self.runs: list[str] = []
         self.repeats: list[str] = []
@@ -238,7 +260,7 @@ class FingerprintIndex:
 
     def _append(self, df: DataFrame, step: str) -> None:
         with shuffles_dropped(self.spark):
-            df.withColumn("step", F.lit(step)).write.partitionBy("step", "kind").bucketBy(self.partitions, "bucket").option("compression", "zstd").mode("append").saveAsTable(self.name)
+            df.withColumn("step", F.lit(step)).write.partitionBy("step", "kind").bucketBy(self.buckets, "bucket").option("compression", "zstd").mode("append").saveAsTable(self.name)
 
     def ingest(self, docs: DataFrame) -> None:
         """Marks the repeated windows of docs(doc_id, text) and adds a run.
@@ -251,7 +273,7 @@ class FingerprintIndex:
         if self.highest is not None and low <= self.highest:
             raise ValueError(f"doc_id {low} is not greater than {self.highest}, which is already in the index")
         rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), self.part_of("doc_id").alias("part"), F.col("text").cast("string").alias("text"))
-        new = rows.mapInArrow(_fingerprinter(self.width, self.buckets), _PACK)
+        new = rows.mapInArrow(_fingerprinter(self.width, self.buckets, self.keys), _PACK)
         old = self._rows(self.runs, "run").select("bucket", "hashes", "checks")
         step = f"{len(self.repeats):06d}"
         self._append(new.groupBy("bucket").cogroup(old.groupBy("bucket")).applyInArrow(lambda a, b: _merge(a, b) if a.num_rows else _NOTHING, _OUT), step)
@@ -283,7 +305,7 @@ class FingerprintIndex:
         """The digest of docs without the words that repeated windows cover."""
         texts = docs.select(self.part_of("doc_id").alias("part"), F.lit(1).alias("ord"), F.lit(None).cast("binary").alias("docs"), F.lit(None).cast("binary").alias("hashes"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         marks = self.marks().select("part", F.lit(0).alias("ord"), "docs", "hashes", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
-        rows = marks.unionByName(texts).repartition(self.partitions, "part").sortWithinPartitions("part", "ord")
+        rows = marks.unionByName(texts).repartitionById(self.buckets, F.col("part")).sortWithinPartitions("part", "ord")
         return rows.mapInArrow(_cutter(self.width), RESULT)
 
 
