@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from vecloom.sources.scratch import delete as fs_delete
 from vecloom.sources.scratch import settled as written
 from vecloom.sources.scratch import shuffles_dropped
+from vecloom.sources.ship import ship
 
-__all__ = ["fs_delete", "partitions", "shuffles_dropped", "table", "written"]
+__all__ = ["fs_delete", "partitions", "ship", "shuffles_dropped", "table", "written"]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -16,4 +17,5 @@ def partitions(spark: SparkSession) -> int:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
