@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm._common import table, written
+from vecloom.llm._common import ship, table, written
 from vecloom.llm.decontamination import contaminated
 from vecloom.llm.line_dedup import line_dedup
 from vecloom.llm.near_dedup import near_duplicates
@@ -23,12 +23,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring lines go; n_chars follows the text; a document of which nothing is left goes too."""
+    ship(spark)
     cut = line_dedup(docs).withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return cut.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id stays."""
+    ship(spark)
     gone = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
 
@@ -42,6 +44,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of at most 1024 tokens."""
+    ship(spark)
     return pack(docs, with_ids=False)
 
 
