@@ -193,8 +193,7 @@ def flow1_status_counts(spark, d):
 @query
 def centroid_rank_zones(spark, d):
     m, c = _cents(spark, d)
-    probes = m.where("face_id % 25 = 0").select("face_id", "vector")
-    return dec.rank_zones(probes, c).select("face_id", "rank", "cluster_label", rounded(F.col("distance")).alias("distance"), "zone")
+    return dec.rank_zones(m.select("face_id", "vector"), c).select("face_id", "rank", "cluster_label", rounded(F.col("distance")).alias("distance"), "zone")
 
 
 @query
@@ -502,23 +501,26 @@ def missing_sources(spark, d):
 
 @query
 def upsert_faces(spark, d):
-    f = schema.faces(spark, d).where("id < 100")
-    new = schema.faces(spark, d).where("id >= 80 AND id < 120").select("image_path", F.lit("someone").alias("identity"), F.lit(0.5).alias("det_score"))
-    return tables.upsert_faces(f, new).select("id", "identity", "image_path", "det_score")
+    """Every face arrives again under another identity, and once under a path of its own."""
+    f = schema.faces(spark, d)
+    again = f.select("image_path", F.lit("someone").alias("identity"), F.lit(0.5).alias("det_score"))
+    fresh = f.select(F.concat(F.lit("new/"), "image_path").alias("image_path"), "identity", "det_score")
+    return tables.upsert_faces(f, again.unionByName(fresh)).select("id", "identity", "image_path", "det_score")
 
 
 @query
 def upsert_labels(spark, d):
+    """Every label arrives twice; the later one counts.  Labels of another run stay."""
     c = schema.cluster_results(spark, d).select("run_label", "face_id", "cluster_label")
-    new = c.where("face_id % 3 = 0").select("run_label", "face_id", F.lit(77).alias("cluster_label"), F.lit(1).alias("seq")).unionByName(c.where("face_id % 6 = 0").select("run_label", "face_id", F.lit(78).alias("cluster_label"), F.lit(2).alias("seq")))
-    return tables.upsert_labels(c, new, order="seq")
+    table = c.unionByName(c.withColumn("run_label", F.lit("other")))
+    new = c.withColumns({"cluster_label": F.col("cluster_label") + 70, "seq": F.lit(1)}).unionByName(c.withColumns({"cluster_label": F.col("cluster_label") + 80, "seq": F.lit(2)}))
+    return tables.upsert_labels(table, new, order="seq")
 
 
 @query
 def upsert_embeddings(spark, d):
     e = schema.raw(spark, d).select("face_id", F.size("vector").alias("dim"), "vector")
-    new = e.where("face_id % 4 = 0").select("face_id", F.slice("vector", 1, 8).alias("vector"))
-    return tables.upsert_embeddings(e, new).select("face_id", "dim", rounded(F.col("vector")[0]).alias("first"))
+    return tables.upsert_embeddings(e, e.select("face_id", F.slice("vector", 2, 8).alias("vector"))).select("face_id", "dim", rounded(F.col("vector")[0]).alias("first"))
 
 
 @query
@@ -530,7 +532,7 @@ def relabel(spark, d):
 @query
 def update_labels(spark, d):
     c = schema.cluster_results(spark, d).select("run_label", "face_id", "cluster_label")
-    return tables.update_labels(c, c.where("face_id % 9 = 0").select("face_id", (F.col("cluster_label") + 100).alias("cluster_label"))).select("face_id", "cluster_label")
+    return tables.update_labels(c, c.select("face_id", (F.col("cluster_label") + 100).alias("cluster_label")).unionByName(c.select((-F.col("face_id") - 1).alias("face_id"), "cluster_label"))).select("face_id", "cluster_label")
 
 
 @query

@@ -103,7 +103,7 @@ ORACLES: dict[str, str] = {
     "nearest_centroid": f"WITH {C}{NEAR} SELECT face_id, cluster_label, round(d, 6) + 0.0 AS distance FROM near WHERE rank = 1",
     "flow1_decision": f"WITH {C}{NEAR}, {FACES} {DECIDE} FROM near n JOIN f ON f.id = representative_face_id WHERE rank = 1",
     "flow1_status_counts": f"WITH {C}{NEAR}, {FACES}, x AS ({DECIDE} FROM near n JOIN f ON f.id = representative_face_id WHERE rank = 1) SELECT status, count(*) AS n FROM x GROUP BY status",
-    "centroid_rank_zones": f"WITH {C}{NEAR} SELECT face_id, CAST(rank AS INTEGER) AS rank, cluster_label, round(d, 6) + 0.0 AS distance, CASE WHEN d < 0.30 THEN 'auto_merge' WHEN d < 0.45 THEN 'ask_user' ELSE 'new_cluster' END AS zone FROM near WHERE face_id % 25 = 0",
+    "centroid_rank_zones": f"WITH {C}{NEAR} SELECT face_id, CAST(rank AS INTEGER) AS rank, cluster_label, round(d, 6) + 0.0 AS distance, CASE WHEN d < 0.30 THEN 'auto_merge' WHEN d < 0.45 THEN 'ask_user' ELSE 'new_cluster' END AS zone FROM near",
     "noise_reclaim_frozen": f"WITH {C}{NEAR}, {FACES}, x AS ({DECIDE} FROM near n JOIN f ON f.id = representative_face_id WHERE rank = 1 AND face_id % 10 = 9) SELECT *, CASE status WHEN 'auto_merge' THEN 'auto_merged' WHEN 'ask_user' THEN 'suggestions' ELSE 'left_as_noise' END AS bucket FROM x",
     "batch_tier_decision": f"WITH {C}, b AS (SELECT list(a ORDER BY pos) AS w FROM (SELECT pos, avg(v) AS a FROM (SELECT unnest(vector) AS v, generate_subscripts(vector, 1) AS pos FROM l WHERE label = 4 AND face_id % 7 = 0) GROUP BY pos)), x AS (SELECT cluster_label, 1 - list_inner_product(centroid, w) / sqrt(list_inner_product(w, w)) AS d FROM c, b ORDER BY d, cluster_label LIMIT 1) SELECT CASE WHEN d <= 0.18 THEN 'AUTO_MERGE' WHEN d <= 0.40 THEN 'USER_PROMPT' ELSE 'NEW_CLUSTER' END AS action, CASE WHEN d <= 0.40 THEN cluster_label END AS target, round(d, 6) + 0.0 AS dist FROM x",
     "flow2_pairs": FLOW2 + " SELECT cluster_a, cluster_b, round(distance, 6) + 0.0 AS distance, round(centroid_distance, 6) + 0.0 AS centroid_distance, round(min_member_distance, 6) + 0.0 AS min_member_distance, distance < 0.30 AS auto_mergeable, rep_a_image_path, rep_b_image_path, rep_a_identity, rep_b_identity FROM x WHERE x.distance < 0.45",
@@ -149,11 +149,11 @@ ORACLES: dict[str, str] = {
     "crop_names": f"WITH {FACES} SELECT id, identity || '__' || id || '__face' || id % 3 || '.jpg' AS crop, 'crop_' || id || '_' || id % 3 || '.jpg' AS detector_crop, CAST(id AS VARCHAR) AS stem, '.jpg' AS suffix FROM f",
     "folder_manifest": f"WITH {CR} SELECT CASE WHEN cluster_label = -1 THEN 'noise' ELSE 'cluster_' || cluster_label END AS cluster_folder, identity || '/' || face_id || '.jpg' AS src, 'default/arcface/' || CASE WHEN cluster_label = -1 THEN 'noise' ELSE 'cluster_' || cluster_label END || '/' || identity || '__' || face_id || '.jpg' AS dst FROM cr",
     "missing_sources": f"WITH {FACES} SELECT image_path AS src FROM f WHERE id % 4 = 1 ORDER BY src LIMIT 20",
-    "upsert_faces": f"WITH {FACES} SELECT id, identity, image_path, CASE WHEN id >= 80 THEN 0.5::DOUBLE ELSE det_score END AS det_score FROM f WHERE id < 100 UNION ALL SELECT 99 + row_number() OVER (ORDER BY image_path), 'someone', image_path, 0.5 FROM f WHERE id >= 100 AND id < 120",
-    "upsert_labels": f"WITH {CR} SELECT run_label, face_id, CASE WHEN face_id % 6 = 0 THEN 78 WHEN face_id % 3 = 0 THEN 77 ELSE cluster_label END AS cluster_label FROM cr",
-    "upsert_embeddings": f"WITH {R} SELECT face_id, CASE WHEN face_id % 4 = 0 THEN 8 ELSE CAST(len(vector) AS INTEGER) END AS dim, round(vector[1], 6) + 0.0 AS first FROM r",
+    "upsert_faces": f"WITH {FACES} SELECT id, identity, image_path, 0.5::DOUBLE AS det_score FROM f UNION ALL SELECT (SELECT max(id) FROM f) + row_number() OVER (ORDER BY 'new/' || image_path), identity, 'new/' || image_path, det_score FROM f",
+    "upsert_labels": f"WITH {CR} SELECT run_label, face_id, cluster_label + 80 AS cluster_label FROM cr UNION ALL SELECT 'other', face_id, cluster_label FROM cr",
+    "upsert_embeddings": f"WITH {R} SELECT face_id, 8 AS dim, round(vector[2], 6) + 0.0 AS first FROM r",
     "relabel": f"WITH {CR} SELECT CASE WHEN cluster_label = 5 THEN 2 ELSE cluster_label END AS cluster_label, count(*) AS n FROM cr GROUP BY 1",
-    "update_labels": f"WITH {CR} SELECT face_id, CASE WHEN face_id % 9 = 0 THEN cluster_label + 100 ELSE cluster_label END AS cluster_label FROM cr",
+    "update_labels": f"WITH {CR} SELECT face_id, cluster_label + 100 AS cluster_label FROM cr",
     "delete_centroids": f"WITH {CR} SELECT cluster_label, count(*) AS n_members FROM cr WHERE cluster_label NOT IN (-1, 3) GROUP BY 1",
     "start_cluster": f"WITH {C} SELECT cluster_label, n_members, representative_face_id FROM c UNION ALL SELECT (SELECT max(cluster_label) + 1 FROM c), 1, 19",
     "assign_face": f"WITH {C}, v AS (SELECT vector AS v FROM l WHERE face_id = 19), x AS (SELECT n_members + 1 AS n, list_transform(list_zip(centroid, v), lambda z: (z[1] * n_members + z[2]) / (n_members + 1)) AS w FROM c, v WHERE cluster_label = 2), y AS (SELECT n, w, sqrt(list_inner_product(w, w)) AS q FROM x) SELECT 2 AS cluster_label, n AS n_members, CAST(generate_subscripts(w, 1) - 1 AS INTEGER) AS pos, round(unnest(w) / q, 6) + 0.0 AS value FROM y",
