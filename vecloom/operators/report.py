@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vecloom.functions import text
 from vecloom.operators.metrics import compute_metrics
+from vecloom.operators.ranks import numbered
 from vecloom.schema import NOISE
 
 
@@ -129,14 +130,13 @@ def norm_check(vectors: DataFrame) -> DataFrame:
 def label_encode(df: DataFrame, column: str) -> DataFrame:
     """code: position of the value among the sorted distinct ones.  Ranked over distinct values, not over rows."""
     values = df.select(column).distinct()
-    code = values.withColumn("code", F.dense_rank().over(Window.orderBy(column)) - 1)
-    return df.join(code, column)
+    return df.join(numbered(values, "code", column).withColumn("code", F.col("code").cast("int")), column)
 
 
 def collated(faces: DataFrame) -> DataFrame:
     """position of faces in the case-insensitive order (identity, path) in which stored label lists are laid out."""
-    w = Window.orderBy(F.lower("identity"), F.lower("image_path"))
-    return faces.withColumn("position", F.row_number().over(w) - 1)
+    keyed = faces.withColumns({"_who": F.lower("identity"), "_path": F.lower("image_path")})
+    return numbered(keyed, "position", "_who", "_path").drop("_who", "_path").withColumn("position", F.col("position").cast("int"))
 
 
 def zip_labels(faces: DataFrame, pred_labels: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vecloom.operators.ranks import numbered
+
 
 def upsert(table: DataFrame, rows: DataFrame, keys: tuple[str, ...], keep_old: tuple[str, ...] = (), order: str | None = None) -> DataFrame:
     """table with rows written over it by key: new values win, except in the columns of keep_old.
@@ -38,9 +40,8 @@ def upsert_faces(faces: DataFrame, rows: DataFrame, keys: tuple[str, ...] = ("im
     out = upsert(faces, rows, keys, kept)
     top = faces.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     fresh = out.where(F.col("id").isNull()).join(top, F.lit(True))  # top is one row
-    w = Window.orderBy(*keys)  # over the new paths of one batch
-    numbered = fresh.withColumn("id", (F.col("top") + F.row_number().over(w)).cast("long")).drop("top")
-    return out.where(F.col("id").isNotNull()).unionByName(numbered.select(out.columns))
+    fresh = numbered(fresh, "_fresh", *keys).withColumn("id", (F.col("top") + F.col("_fresh") + 1).cast("long"))
+    return out.where(F.col("id").isNotNull()).unionByName(fresh.select(out.columns))
 
 
 def upsert_embeddings(table: DataFrame, rows: DataFrame, keys: tuple[str, ...] = ("face_id",), order: str | None = None) -> DataFrame:
