@@ -168,3 +168,12 @@ def test_stream_equals_the_ordered_fold(spark, sf, tmp_path):
     before = store.read("decisions").count()
     arr.apply_batch(store, queue, 0)  # delivered again
     assert store.read("decisions").count() == before
+
+
+def test_intermediate_tables_go_when_told(spark):
+    from vecloom.sources import scratch
+
+    df = scratch.settled(spark.range(3).toDF("x"), "mine")
+    assert df.count() == 3 and scratch.cleanup(spark) > 0 and scratch.cleanup(spark) == 0
+    with pytest.raises(Exception, match="(?i)exist|found|no such"):
+        scratch.settled(spark.range(3).toDF("x"), "mine").unionByName(df).collect()

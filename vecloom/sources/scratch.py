@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[int, str] = {}
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,6 +47,18 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
 def settled(df: DataFrame, name: str) -> DataFrame:
     """The rows of df as a Parquet table: lineage ends there, and a lost executor loses nothing of it."""
     path = f"{shared_dir(df.sparkSession)}/vecloom-{name}-{uuid.uuid4().hex}"
+    _made.append(path)
     with shuffles_dropped(df.sparkSession):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Deletes the intermediate tables that this process has made so far, and says how many they were.
+
+    Results are lazy and read them, so this is for the caller, once the results are written.
+    """
+    count = len(_made)
+    while _made:
+        delete(spark, _made.pop())
+    return count
