@@ -98,6 +98,8 @@ def test_index_grows_batch_by_batch_and_compacts(spark):
     assert [r["n_removed"] for r in index.cut(frame(5, text + " more")).collect()] == [30]
     with pytest.raises(ValueError):
         index.ingest(frame(4, text))
+    index.drop()
+    assert not spark.catalog.tableExists(index.name)
 
 
 @pytest.mark.parametrize("n", [1, 4, 49, 211])
@@ -219,6 +221,13 @@ def test_edited_copies_are_found_and_clean_texts_are_not(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(i, i) for i in range(20)}
 
 
+def test_long_parts_of_items_are_found(spark):
+    item = " ".join(f"k{i}" for i in range(60))
+    docs = [(0, "x y z " + " ".join(f"k{i}" for i in range(20, 38)) + " and more"), (1, "x y z " + " ".join(f"k{i}" for i in range(20, 28)) + " and more")]
+    got = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert [(r["doc_id"], r["item_id"]) for r in got.collect()] == [(0, 7)]
+
+
 def test_templates_generalise_fields(spark):
     lines = [f"Order shipped to customer {n} by {c} on time today" for n, c in zip(range(8), ["Ann", "Bob", "Cy", "Di", "Ed", "Flo", "Gus", "Hal"], strict=True)]
     docs = [(i, f"{'abcdefgh'[i] * 3} opens {'hgfedcba'[i] * 2}\n{x}\n{'zyxwvuts'[i] * 4} ends it") for i, x in enumerate(lines)]

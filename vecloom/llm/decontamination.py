@@ -149,7 +149,7 @@ def rare_seeds(items: Items, documents: dict[int, int], limit: int) -> np.ndarra
     return rare
 
 
-def _aligner(items: Items, rare: np.ndarray, threshold: float):
+def _aligner(items: Items, rare: np.ndarray, threshold: float, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -158,8 +158,9 @@ def _aligner(items: Items, rare: np.ndarray, threshold: float):
                 for c in r["cands"]:
                     if rare[c["seeds"]].any():
                         a = items.words[c["item"]]
-                        score = smith_waterman(a, np.frombuffer(c["words"], dtype=np.uint64)) / (2 * len(a))
-                        if score >= threshold:
+                        points = smith_waterman(a, np.frombuffer(c["words"], dtype=np.uint64))
+                        score = points / (2 * len(a))
+                        if score >= threshold or points >= 2 * overlap:
                             best[c["item"]] = max(score, best.get(c["item"], 0.0))
                 out += [(r["doc_id"], r["row_hash"], items.ids[i], s) for i, s in best.items()]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
@@ -168,11 +169,11 @@ def _aligner(items: Items, rare: np.ndarray, threshold: float):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, threshold: float = 0.5, rare_share: float = 0.01, rare_least: int = 20, slack: float = 0.25, part_bytes: int = 8 << 20) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, threshold: float = 0.5, overlap: int = 13, rare_share: float = 0.01, rare_least: int = 20, slack: float = 0.25, part_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, row_hash, item_id, score: which rows of docs(doc_id, text, ...) hold a copy of which benchmark item.
 
-    score is the alignment score over that of a full copy; pairs below `threshold` are not returned.  row_hash is
-    xxhash64(text), so that rows which repeat a doc_id can be told apart.
+    score is the alignment score over that of a full copy.  Returned are pairs of at least `threshold`, and pairs that
+    align as well as `overlap` equal words do, however long the item.  row_hash is xxhash64(text), so that rows which repeat a doc_id can be told apart.
 
     Defined cases: null and wordless texts and items match nothing; null doc_ids and item_ids are returned as null;
     items are compared by text, so repeated items give a row each.  Other columns are ignored, whatever their names.
@@ -190,6 +191,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, threshold: f
         kinds = "doc_id long, row_hash long, seeds array<int>, cands array<struct<item:int,seeds:array<int>,words:binary>>"
         seen = written(texts.mapInArrow(_seeker(items, slack), kinds), "seeds")
         df = {r[0]: r[1] for r in seen.select(F.explode("seeds").alias("s")).groupBy("s").agg(F.count(F.lit(1))).collect()}
-        part = seen.mapInArrow(_aligner(items, rare_seeds(items, df, limit), threshold), RESULT)
+        part = seen.mapInArrow(_aligner(items, rare_seeds(items, df, limit), threshold, overlap), RESULT)
         found = part if found is None else found.unionByName(part)
     return found if found is not None else spark.createDataFrame([], RESULT)
