@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.llm import _text as T
-from vecloom.llm._common import fs_delete, partitions, shuffles_dropped, written
+from vecloom.llm._common import fs_delete, partitions, shuffles_dropped
 
 COMBINE_BYTES, CHUNK_BYTES = 4 << 20, 1 << 20
 _PACK = "bucket int, part int, owners binary, owner_parts binary, owner binary, hashes binary, checks binary"
@@ -294,6 +294,11 @@ class FingerprintIndex:
             fs_delete(self.spark, f"{where}/step={s}/kind=run")
         self.spark.catalog.refreshTable(self.name)
 
+    def drop(self) -> None:
+        """Deletes the index.  What cut() returned is lazy and reads it, so first write that."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        self.runs, self.repeats, self.highest = [], [], None
+
     def part_of(self, column: str):
         return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(self.buckets)).cast("int")
 
