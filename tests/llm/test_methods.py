@@ -235,6 +235,16 @@ def test_templates_generalise_fields(spark):
     assert len(out[0]) == 3 and all(len(out[i]) == 2 and "shipped" not in " ".join(out[i]) for i in range(1, 8))
 
 
+def test_templates_of_a_crowded_leaf_are_found(spark):
+    """Eight lines of one template among hundreds of unlike lines of the same leaf."""
+    docs = [(i, f"2024 10 12 worker {string.ascii_lowercase[i] * 5} has left the building") for i in range(8)]
+    docs += [(100 + i, "2024 10 12 " + " ".join(f"{w}{string.ascii_lowercase[i // 26]}{string.ascii_lowercase[i % 26]}" for w in "qwerty")) for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for leaf_lines in (1000, 120):
+        got = line_dedup.line_dedup(df, leaf_lines=leaf_lines).where("n_dropped > 0").select("doc_id").collect()
+        assert sorted(r[0] for r in got) == list(range(1, 8))
+
+
 def test_cluster_by_hand():
     x = [np.array(v, dtype=np.uint32) for v in ([1, 2, 3, 4], [1, 2, 3, 5], [7, 8, 9, 9], [1, 2, 3, 6])]
     assert line_dedup.cluster(x, 0.7) == [0, 0, 1, 0]

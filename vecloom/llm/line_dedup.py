@@ -5,8 +5,9 @@ the start.  Lines of a leaf that agree in at least `similarity` of their positio
 positions become variable too.  Templates that recur in at least `min_docs` documents are dropped everywhere but in
 the document with the smallest doc_id.
 
-Lines travel as hashes.  Equal lines fold in each map task; only leaves with several different lines are clustered,
-and a crowded leaf is dealt out over several tasks: a template that recurs is found in each of them.
+Lines travel as hashes.  Equal lines fold in each map task; only leaves with several different lines are clustered.
+A crowded leaf takes rounds: the templates of a share of its lines, found in one task, are compared with all its other
+lines, dealt over tasks; what none of them takes goes on to the next round.  So all lines of a leaf meet.
 """
 
 from __future__ import annotations
@@ -67,40 +68,92 @@ def _parser(depth: int, min_tokens: int):
     return run
 
 
+def _best(held: np.ndarray, x: np.ndarray, similarity: float) -> int | None:
+    """Number of the template that takes a line."""
+    if not len(held):
+        return None
+    equal = held == x
+    same, fixed = (equal | (held == 0)).sum(1), equal.sum(1)
+    best = int(np.lexsort((-fixed, -same))[0])
+    return best if same[best] >= similarity * len(x) and fixed[best] * 2 >= len(x) * similarity else None
+
+
 def cluster(lines: list[np.ndarray], similarity: float) -> list[int]:
     """Number of the template of each line, in order of arrival; all lines have the same number of tokens."""
+    return _cluster(lines, similarity)[0]
+
+
+def _cluster(lines: list[np.ndarray], similarity: float) -> tuple[list[int], np.ndarray]:
+    """Numbers as of cluster, and the templates' tokens."""
     width = len(lines[0])
     held, n, out = np.zeros((16, width), dtype=np.uint32), 0, []
     for x in lines:
-        if n:
-            same = ((held[:n] == x) | (held[:n] == 0)).sum(1)
-            fixed = (held[:n] == x).sum(1)
-            best = int(np.lexsort((-fixed, -same))[0])
-            if same[best] >= similarity * width and fixed[best] * 2 >= width * similarity:
-                held[best] = np.where(held[best] == x, x, 0)
-                out.append(best)
-                continue
+        best = _best(held[:n], x, similarity)
+        if best is not None:
+            held[best] = np.where(held[best] == x, x, 0)
+            out.append(best)
+            continue
         if n == len(held):
             held = np.vstack((held, np.zeros_like(held)))
         held[n] = x
         out.append(n)
         n += 1
-    return out
+    return out, held[:n]
+
+
+def _rows(t: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(x, dtype="<u4") for x in t.column("tokens").to_pylist()]
 
 
 def _templates(similarity: float):
+    """The template of each line of a leaf; the template's tokens are on its first line."""
+
     def leaf(t: pa.Table) -> pa.Table:
         t = t.sort_by("mask")
-        number = cluster([np.frombuffer(x, dtype="<u4") for x in t.column("tokens").to_pylist()], similarity)
-        first = t.column("mask").to_numpy()
+        number, held = _cluster(_rows(t), similarity)
         names: dict[int, int] = {}
-        for i, m in zip(number, first, strict=True):
-            names.setdefault(i, int(m))
-        return pa.table({"mask": t.column("mask"), "template": pa.array([names[i] for i in number], type=pa.int64()), "docs": t.column("docs"), "low": t.column("low")})
+        shapes = []
+        for i, m in zip(number, t.column("mask").to_pylist(), strict=True):
+            shapes.append(None if i in names else held[i].tobytes())
+            names.setdefault(i, m)
+        return pa.table({"leaf": t.column("leaf"), "mask": t.column("mask"), "template": pa.array([names[i] for i in number], type=pa.int64()), "tokens": pa.array(shapes, type=pa.binary())})
 
     return leaf
 
 
+def _matcher(similarity: float):
+    """The template, of those at hand, that takes each line; tokens stay on the lines that none takes."""
+
+    def deal(t: pa.Table, templates: pa.Table) -> pa.Table:
+        templates = templates.sort_by("mask")
+        held, names = _rows(templates), templates.column("template").to_pylist()
+        held = np.stack(held) if held else np.zeros((0, 0), dtype=np.uint32)
+        best = [_best(held, x, similarity) for x in _rows(t)]
+        tokens = [x if i is None else None for i, x in zip(best, t.column("tokens").to_pylist(), strict=True)]
+        return pa.table({"leaf": t.column("leaf"), "mask": t.column("mask"), "template": pa.array([None if i is None else names[i] for i in best], type=pa.int64()), "tokens": pa.array(tokens, type=pa.binary())})
+
+    return deal
+
+
+def _crowded(rest: DataFrame, similarity: float, leaf_lines: int) -> list[DataFrame]:
+    """(mask, template) of the lines of crowded leaves, a table for each step.
+
+    A round takes about `leaf_lines` lines of each leaf, so the rounds grow with a leaf's different templates.
+    """
+    kinds, out, rounds = "leaf long, mask long, template long, tokens binary", [], 0
+    while not rest.isEmpty():
+        sizes = rest.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / leaf_lines).alias("deals"))
+        dealt = rest.join(F.broadcast(sizes), "leaf").withColumn("deal", F.pmod(F.xxhash64("mask", F.lit(rounds)), "deals"))
+        first = written(dealt.where("deal = 0").select("leaf", "mask", "tokens").groupBy("leaf").applyInArrow(_templates(similarity), kinds), "leaders")
+        shapes = first.where(F.col("tokens").isNotNull()).join(F.broadcast(sizes.where("deals > 1")), "leaf").withColumn("deal", F.explode(F.sequence(F.lit(1).cast("long"), F.col("deals") - 1)))
+        others = dealt.where("deal > 0").select("leaf", "deal", "mask", "tokens").groupBy("leaf", "deal")
+        matched = written(others.cogroup(shapes.select("leaf", "deal", "mask", "template", "tokens").groupBy("leaf", "deal")).applyInArrow(_matcher(similarity), kinds), "matched")
+        out += [first.select("mask", "template"), matched.where(F.col("template").isNotNull()).select("mask", "template")]
+        rest = matched.where(F.col("template").isNull()).select("leaf", "mask", "tokens")
+        rounds += 1
+    return out
+
+
 def recurring_lines(docs: DataFrame, min_docs: int = 5, min_tokens: int = 3, depth: int = 3, similarity: float = 0.7, leaf_lines: int = 2000) -> DataFrame:
     """(doc_id, row_hash, lines): the numbers of the lines to drop of each row of docs(doc_id, text) that has any."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("row_hash"), F.col("text").cast("string").alias("text"))
@@ -108,10 +161,13 @@ def recurring_lines(docs: DataFrame, min_docs: int = 5, min_tokens: int = 3, dep
     per_doc = lines.groupBy("leaf", "mask", "doc_id").agg(F.count(F.lit(1)).alias("c"))
     seen = written(per_doc.groupBy("leaf", "mask").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("low")), "masks")
     leaves = seen.groupBy("leaf").agg(F.count(F.lit(1)).alias("masks")).where("masks > 1")
-    crowded = seen.join(leaves, "leaf").withColumn("deal", F.pmod("mask", F.ceil(F.col("masks") / leaf_lines)).cast("long"))
     shapes = lines.where(F.col("tokens").isNotNull()).join(leaves.select("leaf"), "leaf", "left_semi").groupBy("mask").agg(F.min("tokens").alias("tokens"))
-    group = crowded.join(shapes, "mask").select("leaf", "deal", "mask", "docs", "low", "tokens")
-    found = group.groupBy("leaf", "deal").applyInArrow(_templates(similarity), "mask long, template long, docs long, low long")
+    group = written(seen.join(leaves, "leaf").join(shapes, "mask").select("leaf", "masks", "mask", "tokens"), "shapes")
+    small = group.where(F.col("masks") <= leaf_lines).select("leaf", "mask", "tokens").groupBy("leaf").applyInArrow(_templates(similarity), "leaf long, mask long, template long, tokens binary")
+    named = small.select("mask", "template")
+    for step in _crowded(group.where(F.col("masks") > leaf_lines).select("leaf", "mask", "tokens"), similarity, leaf_lines):
+        named = named.unionByName(step)
+    found = written(named.join(seen.select("mask", "docs", "low"), "mask"), "found")
     # A template's documents: at least those of its most frequent line, and at least its different first documents.
     templates = found.groupBy("template").agg(F.greatest(F.max("docs"), F.count_distinct("low")).alias("docs"), F.min("low").alias("low"))
     general = found.select("mask", "template").join(templates, "template").where(F.col("docs") >= min_docs).select("mask", "low")
