@@ -245,6 +245,15 @@ def test_templates_of_a_crowded_leaf_are_found(spark):
         assert sorted(r[0] for r in got) == list(range(1, 8))
 
 
+def test_documents_of_a_template_are_counted_exactly(spark):
+    """Two lines in documents 1, 2, 3 and 1, 4, 5: five documents; with document 3 for 5, four."""
+    a, b = "the worker alpha has left the building", "the worker beta has left the building"
+    for last, gone in ((5, [2, 3, 4, 5]), (3, [])):
+        docs = [(1, f"{a}\n{b}"), (2, a), (3, a), (4, b), (last, b)]
+        got = line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string"), depth=2).where("n_dropped > 0").select("doc_id").collect()
+        assert sorted(r[0] for r in got) == gone
+
+
 def test_cluster_by_hand():
     x = [np.array(v, dtype=np.uint32) for v in ([1, 2, 3, 4], [1, 2, 3, 5], [7, 8, 9, 9], [1, 2, 3, 6])]
     assert line_dedup.cluster(x, 0.7) == [0, 0, 1, 0]

@@ -168,9 +168,12 @@ def recurring_lines(docs: DataFrame, min_docs: int = 5, min_tokens: int = 3, dep
     for step in _crowded(group.where(F.col("masks") > leaf_lines).select("leaf", "mask", "tokens"), similarity, leaf_lines):
         named = named.unionByName(step)
     found = written(named.join(seen.select("mask", "docs", "low"), "mask"), "found")
-    # A template's documents: at least those of its most frequent line, and at least its different first documents.
-    templates = found.groupBy("template").agg(F.greatest(F.max("docs"), F.count_distinct("low")).alias("docs"), F.min("low").alias("low"))
-    general = found.select("mask", "template").join(templates, "template").where(F.col("docs") >= min_docs).select("mask", "low")
+    # Only templates that their most frequent line does not settle are counted document by document.
+    templates = found.groupBy("template").agg(F.max("docs").alias("most"), F.sum("docs").alias("docs"), F.min("low").alias("low"))
+    unclear = found.join(templates.where((F.col("most") < min_docs) & (F.col("docs") >= min_docs)).select("template"), "template", "left_semi").select("mask", "template")
+    counted = lines.select("mask", "doc_id").join(unclear, "mask").groupBy("template", "doc_id").agg(F.count(F.lit(1)).alias("c")).groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
+    sure = templates.where(F.col("most") >= min_docs).select("template").unionByName(counted.select("template"))
+    general = found.select("mask", "template").join(templates.select("template", "low").join(sure, "template", "left_semi"), "template").select("mask", "low")
     single = seen.where(F.col("docs") >= min_docs).select("mask", "low")
     drop = general.unionByName(single).groupBy("mask").agg(F.min("low").alias("low"))
     hit = lines.select("doc_id", "row_hash", "line", "mask").join(written(drop, "templates"), "mask").where(~F.col("doc_id").eqNullSafe(F.col("low")))
