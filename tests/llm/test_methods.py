@@ -228,6 +228,17 @@ def test_long_parts_of_items_are_found(spark):
     assert [(r["doc_id"], r["item_id"]) for r in got.collect()] == [(0, 7)]
 
 
+def test_hot_passages_and_even_edits_are_found(spark):
+    """The first half of an item in a third of all documents, and copies with every fourth word edited."""
+    rng = random.Random(9)
+    item = [f"k{i}" for i in range(40)]
+    noise = lambda k: [f"v{rng.randrange(5000)}" for _ in range(k)]
+    docs = [(i, " ".join(noise(30) + (item[:20] if i % 3 == 0 else []) + noise(30))) for i in range(300)]
+    docs.append((1000, " ".join(noise(30) + ["edited" if i % 4 == 3 else x for i, x in enumerate(item)] + noise(30))))
+    got = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string"))
+    assert {r["doc_id"] for r in got.collect()} == {*range(0, 300, 3), 1000}
+
+
 def test_templates_generalise_fields(spark):
     lines = [f"Order shipped to customer {n} by {c} on time today" for n, c in zip(range(8), ["Ann", "Bob", "Cy", "Di", "Ed", "Flo", "Gus", "Hal"], strict=True)]
     docs = [(i, f"{'abcdefgh'[i] * 3} opens {'hgfedcba'[i] * 2}\n{x}\n{'zyxwvuts'[i] * 4} ends it") for i, x in enumerate(lines)]

@@ -1,17 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: gapped word pairs as seeds, then Smith-Waterman alignment.
 
-One pass over the documents finds every n-gram that a benchmark item also has and keeps, for each item hit, the words
-around the hits.  How many documents hold each n-gram is counted over the whole corpus; an item's seeds are its rare
-n-grams, or its rarest ones where all are common.  What a seed joins to an item is aligned with it, so edited and
-paraphrased copies score by how much of the item they still carry.
+One pass over the documents.  Seeds are pairs of words one or two apart in an item that stand one or two apart in a
+text.  An alignment of m words with edits that cost e has m - 1 steps from one matched word to the next, and a step
+that is no seed costs 2 at least; so 2m - e points need at least half the points less one seeds, whatever the edits and
+however common the words.  Stretches with that many are aligned: the bound loses nothing that the alignment accepts.
 
-The benchmark is read in parts of at most `part_bytes`; each part is one pass.  To the driver come a part's items and
-the document counts of its n-grams, both bounded by that.
+The benchmark is read in parts of at most `part_bytes`; each part is one pass, and comes to the driver.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +18,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.llm import _text as T
-from vecloom.llm._common import written
 
 RESULT = "doc_id long, row_hash long, item_id long, score double"
 _SEPARATOR = np.ones(256, dtype=bool)
@@ -33,8 +30,13 @@ def _words(data: np.ndarray, offs: np.ndarray) -> T.Words:
     return T.Words(T.lowered(data), offs, separator=_SEPARATOR)
 
 
+def _pairs(words: np.ndarray, gap: int) -> np.ndarray:
+    """Hash of each word and the one `gap` places after it."""
+    return T.mix(words[:-gap] * np.uint64(0x9E3779B97F4A7C15) ^ T.mix(words[gap:])) if len(words) > gap else np.zeros(0, dtype=np.uint64)
+
+
 class Items:
-    """Word hashes of a part of the benchmark and the n-grams that lead to them."""
+    """Word hashes of a part of the benchmark and the seeds that lead to them."""
 
     def __init__(self, rows: list[tuple[int, str]], n: int):
         raw = [t.encode() for _, t in rows]
@@ -44,25 +46,24 @@ class Items:
         self.ids = [i for i, _ in rows]
         self.words = [h[a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
         self.n = n
-        grams, items, at = [], [], []
+        seeds, items, at = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         for i, x in enumerate(self.words):
-            g = seeds_of(x, n)
-            grams.append(g)
-            items.append(np.full(len(g), i))
-            at.append(np.arange(len(g)))
-        g = np.concatenate([*grams, np.zeros(0, dtype=np.uint64)])
-        items, at = (np.concatenate([*x, np.zeros(0, dtype=np.int64)]) for x in (items, at))
+            for g in (_pairs(x, 1), _pairs(x, 2)) if len(x) >= n else (whole(x),):
+                seeds.append(g)
+                items.append(np.full(len(g), i))
+                at.append(np.arange(len(g)))
+        g = np.concatenate(seeds)
         order = np.argsort(g, kind="stable")
-        self.posting_item, self.posting_at = items[order].astype(np.int64), at[order].astype(np.int64)
+        self.posting_item, self.posting_at = (np.concatenate(x)[order].astype(np.int64) for x in (items, at))
         self.seeds, first = np.unique(g[order], return_index=True)
         self.border = np.append(first, len(g))
         self.filter = np.zeros(1 << 20, dtype=bool)
         self.filter[(self.seeds >> np.uint64(44)).astype(np.int64)] = True
 
 
-def seeds_of(words: np.ndarray, n: int) -> np.ndarray:
-    """n-gram hashes; an item of fewer words has one seed, all of it, which only texts equal to it can hold."""
-    return T.gram_hashes(words, n) if len(words) >= n else (T.gram_hashes(words, len(words)) if len(words) else np.zeros(0, dtype=np.uint64))
+def whole(words: np.ndarray) -> np.ndarray:
+    """The only seed of an item of fewer than n words: all of it."""
+    return T.gram_hashes(words, len(words)) if len(words) else np.zeros(0, dtype=np.uint64)
 
 
 def smith_waterman(a: np.ndarray, b: np.ndarray, match: int = 2, mismatch: int = 1, gap: int = 1) -> int:
@@ -78,105 +79,93 @@ def smith_waterman(a: np.ndarray, b: np.ndarray, match: int = 2, mismatch: int =
     return best
 
 
-def _seeker(items: Items, slack: float):
+def _finder(items: Items, threshold: float, overlap: int, slack: float):
     n = items.n
     size = np.array([len(x) for x in items.words], dtype=np.int64)
-    least = int(min([n, *size[size > 0]])) if len(size) else n
+    short = sorted({int(x) for x in size if 0 < x < n})
+    points = np.minimum(np.ceil(2 * size * threshold), 2 * overlap)
+    need = np.where(size < n, 1, np.maximum(np.ceil(points / 2) - 1, 1)).astype(np.int64)
+    # An accepted alignment's edits cost at most 2 * size - points: so far may its ends be off a seed's place.
+    pad = np.maximum(np.ceil(slack * size), 2 * size - points).astype(np.int64) + 2
+
+    span = 3 * size - points  # words of a text that an accepted alignment reaches over, at most
+
+    def hits(w: T.Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place in the texts, item and place in the item of each seed that a text holds."""
+        place, posting = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for reach, g in ((1, _pairs(h, 1)), (2, _pairs(h, 2)), *((k - 1, T.gram_hashes(h, k)) for k in short)):
+            p = np.flatnonzero(items.filter[(g >> np.uint64(44)).astype(np.int64)])
+            p = p[w.doc[p] == w.doc[p + reach]]
+            s = np.minimum(np.searchsorted(items.seeds, g[p]), len(items.seeds) - 1)
+            same = items.seeds[s] == g[p]
+            p, s = p[same], s[same]
+            many = items.border[s + 1] - items.border[s]
+            place.append(np.repeat(p, many))
+            posting.append(np.repeat(items.border[s], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
+        place, posting = np.concatenate(place), np.concatenate(posting)
+        return place, items.posting_item[posting], items.posting_at[posting]
+
+    def stretches(w: T.Words, h: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """Text, item and the words from and to of each stretch with enough seeds."""
+        place, item, at = hits(w, h)
+        doc = w.doc[place]
+        order = np.lexsort((place, item, doc))
+        place, item, at, doc = place[order], item[order], at[order], doc[order]
+        group = np.ones(len(place), dtype=bool)
+        group[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])
+        fresh = group.copy()
+        fresh[1:] |= place[1:] != place[:-1]  # seeds of an alignment start at different words
+        u, of = np.flatnonzero(fresh), np.cumsum(group)[fresh]
+        last = np.arange(len(u)) + need[item[u]] - 1
+        inside = np.minimum(last, len(u) - 1)
+        near = np.flatnonzero((last < len(u)) & (of[inside] == of) & (place[u[inside]] - place[u] <= span[item[u]]))
+        mark = np.zeros(len(u) + 1, dtype=np.int64)
+        np.add.at(mark, near, 1)
+        np.add.at(mark, last[near] + 1, -1)
+        dense = (np.cumsum(mark[:-1]) > 0)[np.cumsum(fresh) - 1]
+        place, item, at, doc = place[dense], item[dense], at[dense], doc[dense]
+        lo = np.maximum(w.first[doc], place - at - pad[item])
+        hi = np.minimum(w.first[doc + 1], place - at + size[item] + pad[item])
+        first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]))) if len(doc) else np.zeros(0, dtype=np.int64)
+        for a, b in zip(first.tolist(), np.append(first, len(place))[1:].tolist(), strict=True):
+            o = a + np.argsort(lo[a:b], kind="stable")
+            top = np.maximum.accumulate(hi[o])
+            cut = np.flatnonzero(np.concatenate(([True], lo[o][1:] > top[:-1], [True])))
+            for c, d in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                if len(np.unique(place[o[c:d]])) >= need[item[a]]:
+                    yield int(doc[a]), int(item[a]), int(lo[o[c]]), int(top[d - 1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offs in T.chunks(batch, "text"):
+            out: list[tuple[int, int, float]] = []
+            for first, _, data, offs in T.chunks(batch, "text") if len(items.seeds) else ():
                 w = _words(data, offs)
                 h = w.hashes()
-                per: dict[int, list] = defaultdict(list)
-                for k in range(least, n + 1):  # lengths below n only serve items shorter than n
-                    g = T.gram_hashes(h, k)
-                    hit = np.flatnonzero(items.filter[(g >> np.uint64(44)).astype(np.int64)])
-                    hit = hit[w.doc[hit] == w.doc[hit + k - 1]]
-                    at = np.minimum(np.searchsorted(items.seeds, g[hit]), max(0, len(items.seeds) - 1))
-                    same = items.seeds[at] == g[hit] if len(items.seeds) else np.zeros(len(hit), dtype=bool)
-                    hit, at = hit[same], at[same]
-                    for p, s in zip(hit.tolist(), at.tolist(), strict=True):
-                        per[int(w.doc[p])].append((p, s))
-                out = []
-                for d, hits in per.items():
-                    first, last = int(w.first[d]), int(w.first[d + 1])
-                    spans: dict[int, list] = defaultdict(list)
-                    for p, s in hits:
-                        for j in range(items.border[s], items.border[s + 1]):
-                            i, at_ = int(items.posting_item[j]), int(items.posting_at[j])
-                            pad = int(np.ceil(slack * size[i])) + 2
-                            spans[i].append((max(first, p - at_ - pad), min(last, p - at_ + int(size[i]) + pad), s))
-                    cands = []
-                    for i, x in spans.items():
-                        x.sort()
-                        a, b, s = x[0][0], x[0][1], {x[0][2]}
-                        for a2, b2, s2 in x[1:]:
-                            if a2 <= b:
-                                b, s = max(b, b2), s | {s2}
-                            else:
-                                cands.append((i, a, b, s))
-                                a, b, s = a2, b2, {s2}
-                        cands.append((i, a, b, s))
-                    out.append((lo + d, sorted({s for _, s in hits}), [{"item": i, "seeds": sorted(s), "words": h[a:b].tobytes()} for i, a, b, s in cands]))
-                take = pa.array([o[0] for o in out], type=pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").take(take),
-                        batch.column("row_hash").take(take),
-                        pa.array([o[1] for o in out], type=pa.list_(pa.int32())),
-                        pa.array([o[2] for o in out], type=pa.list_(pa.struct([("item", pa.int32()), ("seeds", pa.list_(pa.int32())), ("words", pa.binary())]))),
-                    ],
-                    names=["doc_id", "row_hash", "seeds", "cands"],
-                )
-
-    return run
-
-
-def rare_seeds(items: Items, documents: dict[int, int], limit: int) -> np.ndarray:
-    """Which n-grams are seeds: those in at most `limit` documents, and each item's rarest quarter in any case."""
-    df = np.zeros(len(items.seeds), dtype=np.int64)
-    for s, c in documents.items():
-        df[s] = c
-    rare = df <= limit
-    of_item: dict[int, list[int]] = defaultdict(list)
-    for s in range(len(items.seeds)):
-        for j in range(items.border[s], items.border[s + 1]):
-            of_item[int(items.posting_item[j])].append(s)
-    for x in of_item.values():
-        x.sort(key=lambda s: (df[s], s))
-        rare[x[: -(-len(x) // 4)]] = True
-    return rare
-
-
-def _aligner(items: Items, rare: np.ndarray, threshold: float, overlap: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                best: dict[int, float] = {}
-                for c in r["cands"]:
-                    if rare[c["seeds"]].any():
-                        a = items.words[c["item"]]
-                        points = smith_waterman(a, np.frombuffer(c["words"], dtype=np.uint64))
-                        score = points / (2 * len(a))
-                        if score >= threshold or points >= 2 * overlap:
-                            best[c["item"]] = max(score, best.get(c["item"], 0.0))
-                out += [(r["doc_id"], r["row_hash"], items.ids[i], s) for i, s in best.items()]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], type=t) for j, t in enumerate(kinds)], names=["doc_id", "row_hash", "item_id", "score"])
+                best: dict[tuple[int, int], float] = {}
+                for d, i, a, b in stretches(w, h):
+                    x, y = items.words[i], h[a:b]
+                    if 2 * np.isin(x, y).sum() < points[i]:
+                        continue
+                    got = smith_waterman(x, y)
+                    score = got / (2 * len(x))
+                    if score >= threshold or got >= 2 * overlap:
+                        best[d, i] = max(score, best.get((d, i), 0.0))
+                out += [(first + d, i, s) for (d, i), s in best.items()]
+            take = pa.array([o[0] for o in out], type=pa.int64())
+            found = [pa.array([items.ids[o[1]] for o in out], type=pa.int64()), pa.array([o[2] for o in out], type=pa.float64())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("row_hash").take(take), *found], names=["doc_id", "row_hash", "item_id", "score"])
 
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, threshold: float = 0.5, overlap: int = 13, rare_share: float = 0.01, rare_least: int = 20, slack: float = 0.25, part_bytes: int = 8 << 20) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, threshold: float = 0.5, overlap: int = 13, slack: float = 0.25, part_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, row_hash, item_id, score: which rows of docs(doc_id, text, ...) hold a copy of which benchmark item.
 
     score is the alignment score over that of a full copy.  Returned are pairs of at least `threshold`, and pairs that
     align as well as `overlap` equal words do, however long the item.  row_hash is xxhash64(text), so that rows which repeat a doc_id can be told apart.
 
     Defined cases: null and wordless texts and items match nothing; null doc_ids and item_ids are returned as null;
-    items are compared by text, so repeated items give a row each.  Other columns are ignored, whatever their names.
+    items of fewer than `n` words are found whole; items are compared by text, so repeated items give a row each.  Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("row_hash"), F.col("text").cast("string").alias("text"))
@@ -184,13 +173,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, threshold: f
     size = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
     parts = -(-size // part_bytes)
     found = None
-    limit = max(rare_least, int(rare_share * docs.count())) if parts else 0
     for p in range(parts):
         rows = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).orderBy("item_id", "text").collect()
         items = Items([(r["item_id"], r["text"]) for r in rows], n)
-        kinds = "doc_id long, row_hash long, seeds array<int>, cands array<struct<item:int,seeds:array<int>,words:binary>>"
-        seen = written(texts.mapInArrow(_seeker(items, slack), kinds), "seeds")
-        df = {r[0]: r[1] for r in seen.select(F.explode("seeds").alias("s")).groupBy("s").agg(F.count(F.lit(1))).collect()}
-        part = seen.mapInArrow(_aligner(items, rare_seeds(items, df, limit), threshold, overlap), RESULT)
+        part = texts.mapInArrow(_finder(items, threshold, overlap, slack), RESULT)
         found = part if found is None else found.unionByName(part)
     return found if found is not None else spark.createDataFrame([], RESULT)
