@@ -308,6 +308,13 @@ def test_checksums_and_context(spark):
     assert got[4]["scores"] == "1.00" and list(PATTERNS)[:4] == ["email", "ip", "card", "phone"]
 
 
+def test_account_numbers_before_and_after_capitals(spark):
+    texts = ["IBAN GB82WEST12345698765432 Please pay", "IBAN DE89370400440532013000 Konto", "IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFF", "GB82 WEST 1234 5698 7654 32 DE89 3704 0044 0532 0130 00", "AB12 GB82WEST12345698765432 OK"]
+    got = {r["doc_id"]: r for r in pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i]["n_iban"] for i in range(5)] == [1, 1, 1, 2, 1]
+    assert "iban:5:32" in got[2]["spans"].split(",")
+
+
 def test_secrets_equal_brute_force_and_random_strings_are_found(spark, sf):
     rng = random.Random(6)
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
