@@ -331,6 +331,15 @@ def test_secrets_equal_brute_force_and_random_strings_are_found(spark, sf):
     assert sum(r["n_rand"] for i, r in got.items() if i < 10_000) <= 2
 
 
+def test_few_long_texts_give_enough_decoys(spark):
+    rng = random.Random(5)
+    words = "the of and water house people through because little another between country should school never".split()
+    key = lambda: "".join(rng.choices(string.ascii_letters + string.digits, k=40))
+    rows = [(i, " ".join(rng.choices(words, k=4000)) + f" {key()} " + " ".join(rng.choices(words, k=4000))) for i in range(4)]
+    got = secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r["n_rand"] for r in got) >= 3
+
+
 def test_statistic_tells_noise_from_text():
     rng = np.random.default_rng(2)
     noise = secrets.statistic(rng.integers(0, 64, size=(500, 40)), 64)

@@ -3,7 +3,7 @@
 Base spans come from fixed patterns.  Every other long run of secret-like characters is a candidate: its encoding is
 inferred, its characters become numbers of that alphabet, and three tests ask whether they could be uniform noise:
 chi-squared uniformity, runs above and below the middle, and serial correlation.  Their z scores add up to one
-statistic; small means random.  Ordinary text of the same encoding and length class, one stretch of every document,
+statistic; small means random.  Ordinary text of the same encoding and length class, all stretches of every document,
 gives the law of the statistic for things that are not secrets; from it follow p-values, and the Benjamini-Hochberg
 step over all candidates of all documents decides per class which are reported.  To the driver come only histograms.
 """
@@ -32,6 +32,7 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX, MIN_RUN = 6, 20, 24, 20
 ALPHABETS = ("0123456789abcdef", "abcdefghijklmnopqrstuvwxyz234567", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
 CLASSES = (20, 28, 40, 64)
 BINS = 96
+WINDOWS = 4096  # decoys that are tested at once
 
 _CODE = np.full((len(ALPHABETS), 256), -1, dtype=np.int16)
 for _i, _a in enumerate(ALPHABETS):
@@ -54,7 +55,7 @@ def uniformity(codes: np.ndarray, size: int, cells: int) -> np.ndarray:
     counts = np.bincount((rows * cells + codes * cells // size).ravel(), minlength=len(codes) * cells).reshape(-1, cells)
     share = np.bincount(np.arange(size) * cells // size, minlength=cells) / size
     df = cells - 1
-    chi = ((counts - n * share) ** 2 / (n * share)).sum(1)
+    chi = (counts * counts) @ (1 / (n * share)) - n
     return (np.cbrt(chi / df) - (1 - 2 / (9 * df))) / np.sqrt(2 / (9 * df))
 
 
@@ -112,8 +113,8 @@ def _candidate(run: np.ndarray) -> tuple[int, int] | None:
 
 
 def _decoys(data: np.ndarray, offs: np.ndarray, long_runs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Histogram (encoding x class, bin) of the statistic over ordinary text: the first characters of the encoding of
-    each text, letters and digits run together, without the runs that may be secrets themselves.
+    """Histogram (encoding x class, bin) of the statistic over ordinary text: successive windows over the characters of
+    the encoding of each text, run together, without the runs that may be secrets themselves.
     """
     inside = np.zeros(len(data) + 1, dtype=np.int32)
     np.add.at(inside, long_runs[0], 1)
@@ -125,9 +126,10 @@ def _decoys(data: np.ndarray, offs: np.ndarray, long_runs: tuple[np.ndarray, np.
         at = np.flatnonzero((codes >= 0) & ordinary)
         first = np.searchsorted(at, offs)
         for c, n in enumerate(CLASSES):
-            texts = np.flatnonzero(np.diff(first) >= n)
-            if len(texts):
-                rows = codes[at[first[texts][:, None] + np.arange(n)]].astype(np.int64)
+            many = np.diff(first) // n
+            start = np.repeat(first[:-1], many) + (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)) * n
+            for k in range(0, len(start), WINDOWS):
+                rows = codes[at[start[k : k + WINDOWS, None] + np.arange(n)]].astype(np.int64)
                 out[e * len(CLASSES) + c] += np.bincount(bins(statistic(rows, len(letters))), minlength=BINS)
     return out
 
@@ -210,8 +212,9 @@ def secrets(docs: DataFrame, rate: float = 0.01) -> DataFrame:
 
     rate is the expected share of false reports among the spans of kind rand, which never overlap base spans.
 
-    Defined cases: null text is empty and has no spans; null and repeated doc_ids are rows like all others; without
-    decoys of a class nothing of that class is reported.  Other columns of docs are ignored, whatever their names.
+    Defined cases: null text is empty and has no spans; null and repeated doc_ids are rows like all others; the
+    smallest p-value of a class is one by its decoys and one, so below about 1 / rate decoys, or more where candidates
+    are many, nothing of that class is reported.  Other columns of docs are ignored, whatever their names.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kinds = "doc_id long, spans array<struct<start:int,kind:int,end:int>>, cands array<struct<start:int,end:int,cls:int,bin:int>>, hist array<struct<cls:int,bin:int,n:bigint>>"
