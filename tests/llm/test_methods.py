@@ -354,27 +354,67 @@ def test_false_discovery_step():
     assert secrets.thresholds({}, {}, 0.01) == {}
 
 
+def patterns_of(votes):
+    return (votes * 3 ** np.arange(toxicity.VOTERS)).sum(1)
+
+
 def test_label_model_recovers_accuracies():
     rng = np.random.default_rng(3)
     y = rng.random(20_000) < 0.2
-    right = np.array([0.95, 0.9, 0.85, 0.8, 0.75, 0.9, 0.85, 0.8])[: toxicity.VOTERS]
+    right = np.resize([0.95, 0.9, 0.85, 0.8, 0.75], toxicity.VOTERS)
     votes = np.where(rng.random((20_000, toxicity.VOTERS)) < right, y[:, None], ~y[:, None]) * 2
-    patterns, n = np.unique((votes * 3 ** np.arange(toxicity.VOTERS)).sum(1), return_counts=True)
+    patterns, n = np.unique(patterns_of(votes), return_counts=True)
     model = toxicity.LabelModel(patterns, n.astype(float))
     assert model.prior == pytest.approx(0.2, abs=0.05)
     assert np.abs(model.table[1, :, 2] - right).max() < 0.08
     post = dict(zip(patterns, model.posterior(patterns), strict=True))
-    assert np.mean([(post[p] > 0.5) == t for p, t in zip((votes * 3 ** np.arange(toxicity.VOTERS)).sum(1), y, strict=True)]) > 0.95
+    assert np.mean([(post[p] > 0.5) == t for p, t in zip(patterns_of(votes), y, strict=True)]) > 0.95
 
 
-def test_voters_that_copy_each_other_share_weight():
+def test_voters_that_copy_each_other_count_once():
     rng = np.random.default_rng(4)
-    y = rng.random(5000) < 0.3
-    votes = np.where(rng.random((5000, toxicity.VOTERS)) < 0.85, y[:, None], ~y[:, None]) * 2
+    y = rng.random(20_000) < 0.3
+    votes = np.where(rng.random((20_000, toxicity.VOTERS)) < 0.85, y[:, None], ~y[:, None]) * 2
     votes[:, 1] = votes[:, 2] = votes[:, 0]
-    patterns, n = np.unique((votes * 3 ** np.arange(toxicity.VOTERS)).sum(1), return_counts=True)
-    w = toxicity.LabelModel(patterns, n.astype(float)).weight
-    assert w[:3].max() < 0.6 * w[3:].min()
+    patterns, n = np.unique(patterns_of(votes), return_counts=True)
+    model = toxicity.LabelModel(patterns, n.astype(float))
+    links = {frozenset((j, p)) for j, p in enumerate(model.parent) if p >= 0}
+    assert len(links & {frozenset(x) for x in ((0, 1), (1, 2), (0, 2))}) == 2
+    flip = lambda *who: patterns_of(np.where(np.isin(np.arange(toxicity.VOTERS), who), 2, 0)[None, :])
+    base = model.log_odds(flip())[0]
+    assert model.log_odds(flip(0, 1, 2))[0] - base < 1.3 * (model.log_odds(flip(5))[0] - base)
+
+
+def test_tree_links_what_gains_most():
+    gain = np.zeros((4, 4))
+    for i, j, g in ((0, 1, 0.1), (1, 2, 0.5), (0, 2, 0.3)):
+        gain[i, j] = gain[j, i] = g
+    assert toxicity._tree(gain) == [-1, 2, 0, -1]
+
+
+def test_pattern_voters():
+    lexicon = toxicity.Lexicon([], {})
+    texts = ["you are such an idiot", "an idiot " + "and more " * 5 + "you", "just shut up now", "shut it up", "THIS IS ALL SHOUTING, DO LISTEN", "no!! no!! no!!", "what a f*ck", "stars*** here", ""]
+    raw = [t.encode() for t in texts]
+    data, offs = np.frombuffer(b"".join(raw), dtype=np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int64)
+    chunk = toxicity._Chunk(data, offs)
+    got = toxicity._patterns(chunk, lexicon, toxicity._hits(chunk, lexicon, len(texts))[4], data, offs)
+    assert [np.flatnonzero(x).tolist() for x in got] == [[0], [], [1], [], [2], [2], [3], [], []]
+
+
+def test_noise_for_votes_ruins_the_classifier(spark, monkeypatch):
+    """The classifier learns from the label model's posteriors alone: with posteriors of noise it knows nothing."""
+    base = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+
+    def auc():
+        rows = toxicity.toxicity(docs, labels).join(labels, "doc_id").select("score", "toxic").collect()
+        pos, neg = ([r["score"] for r in rows if r["toxic"] == t] for t in (1, 0))
+        return np.mean([np.mean([(p > q) + 0.5 * (p == q) for q in neg]) for p in pos])
+
+    assert auc() > 0.9
+    monkeypatch.setattr(toxicity.LabelModel, "posterior", lambda self, patterns: np.random.default_rng(1).random(len(patterns)))
+    assert auc() < 0.75
 
 
 def test_toxicity_on_held_out_labels(spark):
