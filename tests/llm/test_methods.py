@@ -8,6 +8,7 @@ import string
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -267,7 +268,53 @@ def test_documents_of_a_template_are_counted_exactly(spark):
 
 def test_cluster_by_hand():
     x = [np.array(v, dtype=np.uint32) for v in ([1, 2, 3, 4], [1, 2, 3, 5], [7, 8, 9, 9], [1, 2, 3, 6])]
-    assert line_dedup.cluster(x, 0.7) == [0, 0, 1, 0]
+    assert line_dedup.cluster(x, 0.7) == [0, 0, 2, 0]
+
+
+def lines_by_hand(docs, min_docs=5, depth=3, similarity=0.7):
+    """Texts after a plain template tree over lists of tokens; only the order of the lines is the operator's."""
+    batch = pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in docs], "row_hash": [0] * len(docs), "text": [t for _, t in docs]})
+    mask = {(r["doc_id"], r["line"]): r["mask"] for b in line_dedup._parser(depth, 3)([batch]) for r in b.to_pylist()}
+    shape = {}
+    for i, t in docs:
+        for k, line in enumerate(t.split("\n")):
+            w = ["*" if re.search("[0-9]", x) else x for x in WORD.findall(line)]
+            if len(w) >= 3:
+                shape.setdefault(tuple(w), [mask[i, k], set()])[1].add((i, k))
+    leaders, members = {}, {}
+    for w in sorted(shape, key=lambda w: shape[w][0]):
+        leaf = leaders.setdefault((len(w), w[:depth]), [])
+        for x in leaf:
+            if sum(a == b or "*" in (a, b) for a, b in zip(w, x, strict=True)) >= similarity * len(w) and 2 * sum(a == b for a, b in zip(w, x, strict=True)) >= similarity * len(w):
+                break
+        else:
+            leaf.append(x := w)
+        members.setdefault(x, []).append(w)
+    gone = set()
+    for group in (*members.values(), *([w] for w in shape)):
+        at = set().union(*(shape[w][1] for w in group))
+        if len({i for i, _ in at}) >= min_docs:
+            gone |= {(i, k) for i, k in at if i > min(at)[0]}
+    return {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in docs}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_line_dedup_equals_brute_force_for_rounds_of_any_size(spark, seed):
+    rng = random.Random(seed)
+    word = lambda: rng.choice(["log", "user", "file", "opened", "by", "at", "x1", "22", *"abcdefgh"])
+    base = [[rng.choice(["the log was", "a b c"])] + [word() for _ in range(rng.randint(3, 7))] for _ in range(12)]
+
+    def line():
+        w = list(rng.choice(base))
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(1, len(w))] = word()
+        return " ".join(w)
+
+    docs = [(i, "\n".join(line() for _ in range(rng.randint(0, 8)))) for i in range(60)]
+    want, df = lines_by_hand(docs), spark.createDataFrame(docs, "doc_id long, text string")
+    assert sum(want[i] != t for i, t in docs) > 20
+    for leaf_lines in (2, 100, 10**6):
+        assert {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(df, leaf_lines=leaf_lines).collect()} == want
 
 
 def test_line_options_do_not_change_clean_texts(spark, sf):
@@ -394,7 +441,7 @@ def test_tree_links_what_gains_most():
 
 def test_pattern_voters():
     lexicon = toxicity.Lexicon([], {})
-    texts = ["you are such an idiot", "an idiot " + "and more " * 5 + "you", "just shut up now", "shut it up", "THIS IS ALL SHOUTING, DO LISTEN", "no!! no!! no!!", "what a f*ck", "stars*** here", ""]
+    texts = ["you are an idiot", "an idiot " + "and more " * 5 + "you", "just shut up now", "shut it up", "THIS IS ALL SHOUTING, DO LISTEN", "no!! no!! no!!", "what a f*ck", "stars*** here", ""]
     raw = [t.encode() for t in texts]
     data, offs = np.frombuffer(b"".join(raw), dtype=np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int64)
     chunk = toxicity._Chunk(data, offs)

@@ -1,18 +1,21 @@
 """Line deduplication by a log-template tree.
 
 A line is parsed to a fixed depth: its token count, then its first tokens.  Tokens with digits are variable fields from
-the start.  Lines of a leaf that agree in at least `similarity` of their positions share a template, whose differing
-positions become variable too.  Templates that recur in at least `min_docs` documents are dropped everywhere but in
-the document with the smallest doc_id.
+the start.  In a leaf, lines are taken in the order of their hashes: a line joins the first leader with which it agrees
+in at least `similarity` of its positions, or becomes a leader.  A template is a leader with the lines that joined it;
+positions in which they differ are its variable fields.  Templates that recur in at least `min_docs` documents are
+dropped everywhere but in the document with the smallest doc_id.
 
 Lines travel as hashes.  Equal lines fold in each map task; only leaves with several different lines are clustered.
-A crowded leaf takes rounds: the templates of a share of its lines, found in one task, are compared with all its other
-lines, dealt over tasks; what none of them takes goes on to the next round.  So all lines of a leaf meet.
+A crowded leaf takes rounds: the first lines of its order meet in one task, and the leaders they leave are compared with
+all its other lines, dealt over tasks; what none of them takes goes on to the next round.  Later leaders come later in
+the order, so templates are the same whatever the size of a round.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.llm import _text as T
-from vecloom.llm._common import written
+from vecloom.llm._common import partitions, written
 
 _DIGIT = np.zeros(256, dtype=bool)
 _DIGIT[48:58] = True
@@ -68,37 +71,29 @@ def _parser(depth: int, min_tokens: int):
     return run
 
 
-def _best(held: np.ndarray, x: np.ndarray, similarity: float) -> int | None:
-    """Number of the template that takes a line."""
-    if not len(held):
-        return None
-    equal = held == x
-    same, fixed = (equal | (held == 0)).sum(1), equal.sum(1)
-    best = int(np.lexsort((-fixed, -same))[0])
-    return best if same[best] >= similarity * len(x) and fixed[best] * 2 >= len(x) * similarity else None
+def _first(leaders: np.ndarray, x: np.ndarray, similarity: float) -> int:
+    """Number of the first leader that takes a line, -1 if none does.  Variable tokens agree with any other."""
+    if not len(leaders):
+        return -1
+    equal = leaders == x
+    fits = (equal | (leaders == 0) | (x == 0)).sum(1) >= similarity * len(x)
+    fits &= equal.sum(1) * 2 >= similarity * len(x)
+    at = int(np.argmax(fits))
+    return at if fits[at] else -1
 
 
 def cluster(lines: list[np.ndarray], similarity: float) -> list[int]:
-    """Number of the template of each line, in order of arrival; all lines have the same number of tokens."""
-    return _cluster(lines, similarity)[0]
-
-
-def _cluster(lines: list[np.ndarray], similarity: float) -> tuple[list[int], np.ndarray]:
-    """Numbers as of cluster, and the templates' tokens."""
-    width = len(lines[0])
-    held, n, out = np.zeros((16, width), dtype=np.uint32), 0, []
-    for x in lines:
-        best = _best(held[:n], x, similarity)
-        if best is not None:
-            held[best] = np.where(held[best] == x, x, 0)
-            out.append(best)
-            continue
-        if n == len(held):
-            held = np.vstack((held, np.zeros_like(held)))
-        held[n] = x
-        out.append(n)
-        n += 1
-    return out, held[:n]
+    """Number of the line that leads each line, in order of arrival; all lines have the same number of tokens."""
+    leaders, lead, out = np.zeros((16, len(lines[0])), dtype=np.uint32), [], []
+    for i, x in enumerate(lines):
+        best = _first(leaders[: len(lead)], x, similarity)
+        if best < 0:
+            if len(lead) == len(leaders):
+                leaders = np.vstack((leaders, np.zeros_like(leaders)))
+            leaders[len(lead)] = x
+            lead.append(i)
+        out.append(lead[best])
+    return out
 
 
 def _rows(t: pa.Table) -> list[np.ndarray]:
@@ -106,67 +101,71 @@ def _rows(t: pa.Table) -> list[np.ndarray]:
 
 
 def _templates(similarity: float):
-    """The template of each line of a leaf; the template's tokens are on its first line."""
+    """The leader of each line of a leaf, by its mask."""
 
     def leaf(t: pa.Table) -> pa.Table:
         t = t.sort_by("mask")
-        number, held = _cluster(_rows(t), similarity)
-        names: dict[int, int] = {}
-        shapes = []
-        for i, m in zip(number, t.column("mask").to_pylist(), strict=True):
-            shapes.append(None if i in names else held[i].tobytes())
-            names.setdefault(i, m)
-        return pa.table({"leaf": t.column("leaf"), "mask": t.column("mask"), "template": pa.array([names[i] for i in number], type=pa.int64()), "tokens": pa.array(shapes, type=pa.binary())})
+        return t.append_column("template", t.column("mask").take(pa.array(cluster(_rows(t), similarity)))).select(["leaf", "mask", "tokens", "template"])
 
     return leaf
 
 
 def _matcher(similarity: float):
-    """The template, of those at hand, that takes each line; tokens stay on the lines that none takes."""
+    """The leader, of those at hand, that takes each line, or null."""
 
-    def deal(t: pa.Table, templates: pa.Table) -> pa.Table:
-        templates = templates.sort_by("mask")
-        held, names = _rows(templates), templates.column("template").to_pylist()
+    def deal(t: pa.Table, leaders: pa.Table) -> pa.Table:
+        leaders = leaders.sort_by("mask")
+        held, names = _rows(leaders), leaders.column("mask").to_pylist()
         held = np.stack(held) if held else np.zeros((0, 0), dtype=np.uint32)
-        best = [_best(held, x, similarity) for x in _rows(t)]
-        tokens = [x if i is None else None for i, x in zip(best, t.column("tokens").to_pylist(), strict=True)]
-        return pa.table({"leaf": t.column("leaf"), "mask": t.column("mask"), "template": pa.array([None if i is None else names[i] for i in best], type=pa.int64()), "tokens": pa.array(tokens, type=pa.binary())})
+        best = [_first(held, x, similarity) for x in _rows(t)]
+        return t.select(["leaf", "mask", "tokens"]).append_column("template", pa.array([names[i] if i >= 0 else None for i in best], type=pa.int64()))
 
     return deal
 
 
-def _crowded(rest: DataFrame, similarity: float, leaf_lines: int) -> list[DataFrame]:
-    """(mask, template) of the lines of crowded leaves, a table for each step.
+TAKEN = "leaf long, mask long, tokens binary, template long"
+
+
+def _rounds(rest: DataFrame, similarity: float, leaf_lines: int, leaf_bytes: int) -> list[DataFrame]:
+    """(mask, template) of the lines of rest(leaf, mask, tokens), a table for each step.
 
-    A round takes about `leaf_lines` lines of each leaf, so the rounds grow with a leaf's different templates.
+    A round takes about `leaf_lines` lines of each leaf, or `leaf_bytes`, so the rounds grow with a leaf's templates.
     """
-    kinds, out, rounds = "leaf long, mask long, template long, tokens binary", [], 0
+    out, width = [], partitions(rest.sparkSession)
     while not rest.isEmpty():
-        sizes = rest.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / leaf_lines).alias("deals"))
-        dealt = rest.join(F.broadcast(sizes), "leaf").withColumn("deal", F.pmod(F.xxhash64("mask", F.lit(rounds)), "deals"))
-        first = written(dealt.where("deal = 0").select("leaf", "mask", "tokens").groupBy("leaf").applyInArrow(_templates(similarity), kinds), "leaders")
-        shapes = first.where(F.col("tokens").isNotNull()).join(F.broadcast(sizes.where("deals > 1")), "leaf").withColumn("deal", F.explode(F.sequence(F.lit(1).cast("long"), F.col("deals") - 1)))
-        others = dealt.where("deal > 0").select("leaf", "deal", "mask", "tokens").groupBy("leaf", "deal")
-        matched = written(others.cogroup(shapes.select("leaf", "deal", "mask", "template", "tokens").groupBy("leaf", "deal")).applyInArrow(_matcher(similarity), kinds), "matched")
-        out += [first.select("mask", "template"), matched.where(F.col("template").isNotNull()).select("mask", "template")]
+        share = F.least(F.lit(leaf_lines), F.greatest(F.lit(1), F.floor(leaf_bytes / F.max(F.octet_length("tokens"))))).cast("long")
+        sizes = rest.groupBy("leaf").agg(F.min("mask").alias("low"), F.count(F.lit(1)).alias("n"), share.alias("share"))
+        # Masks are hashes: of the n above the lowest, about `share` lie in this part of what is above it.
+        top = F.col("low") + (float(2**63 - 1) - F.col("low").cast("double")) * F.col("share") / F.col("n")
+        border = F.when(F.col("n") <= F.col("share"), F.lit(2**63 - 1)).otherwise(F.greatest("low", top.cast("long")))
+        dealt = rest.join(sizes.select("leaf", border.alias("border"), F.ceil(F.col("n") / F.col("share")).alias("deals")), "leaf")
+        first = dealt.where("mask <= border").select("leaf", "mask", "tokens").repartition(width, "leaf")
+        first = written(first.groupBy("leaf").applyInArrow(_templates(similarity), TAKEN), "leaders")
+        out.append(first.select("mask", "template"))
+        others = dealt.where("mask > border").withColumn("deal", F.pmod(F.xxhash64("mask"), "deals"))
+        others = written(others.select("leaf", "deal", "deals", "mask", "tokens"), "others")
+        if others.isEmpty():
+            break
+        leaders = first.where("mask = template").join(others.select("leaf", "deals").distinct(), "leaf")
+        leaders = leaders.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1))).select("leaf", "deal", "mask", "tokens")
+        keys = ["leaf", "deal"]
+        both = others.drop("deals").repartition(width, *keys).groupBy(*keys).cogroup(leaders.repartition(width, *keys).groupBy(*keys))
+        matched = written(both.applyInArrow(_matcher(similarity), TAKEN), "matched")
+        out.append(matched.where(F.col("template").isNotNull()).select("mask", "template"))
         rest = matched.where(F.col("template").isNull()).select("leaf", "mask", "tokens")
-        rounds += 1
     return out
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = 5, min_tokens: int = 3, depth: int = 3, similarity: float = 0.7, leaf_lines: int = 2000) -> DataFrame:
+def recurring_lines(docs: DataFrame, min_docs: int = 5, min_tokens: int = 3, depth: int = 3, similarity: float = 0.7, leaf_lines: int = 1000, leaf_bytes: int = 16 << 20) -> DataFrame:
     """(doc_id, row_hash, lines): the numbers of the lines to drop of each row of docs(doc_id, text) that has any."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("row_hash"), F.col("text").cast("string").alias("text"))
     lines = written(texts.mapInArrow(_parser(depth, min_tokens), LINES), "lines")
     per_doc = lines.groupBy("leaf", "mask", "doc_id").agg(F.count(F.lit(1)).alias("c"))
     seen = written(per_doc.groupBy("leaf", "mask").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("low")), "masks")
     leaves = seen.groupBy("leaf").agg(F.count(F.lit(1)).alias("masks")).where("masks > 1")
-    shapes = lines.where(F.col("tokens").isNotNull()).join(leaves.select("leaf"), "leaf", "left_semi").groupBy("mask").agg(F.min("tokens").alias("tokens"))
-    group = written(seen.join(leaves, "leaf").join(shapes, "mask").select("leaf", "masks", "mask", "tokens"), "shapes")
-    small = group.where(F.col("masks") <= leaf_lines).select("leaf", "mask", "tokens").groupBy("leaf").applyInArrow(_templates(similarity), "leaf long, mask long, template long, tokens binary")
-    named = small.select("mask", "template")
-    for step in _crowded(group.where(F.col("masks") > leaf_lines).select("leaf", "mask", "tokens"), similarity, leaf_lines):
-        named = named.unionByName(step)
+    shapes = lines.where(F.col("tokens").isNotNull()).join(leaves.select("leaf"), "leaf", "left_semi").groupBy("leaf", "mask").agg(F.min("tokens").alias("tokens"))
+    steps = _rounds(written(shapes, "shapes"), similarity, leaf_lines, leaf_bytes)
+    named = reduce(DataFrame.unionByName, steps) if steps else seen.where("false").select("mask", F.col("mask").alias("template"))
     found = written(named.join(seen.select("mask", "docs", "low"), "mask"), "found")
     # Only templates that their most frequent line does not settle are counted document by document.
     templates = found.groupBy("template").agg(F.max("docs").alias("most"), F.sum("docs").alias("docs"), F.min("low").alias("low"))
