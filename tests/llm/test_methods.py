@@ -240,6 +240,46 @@ def test_hot_passages_and_even_edits_are_found(spark):
     assert {r["doc_id"] for r in got.collect()} == {*range(0, 300, 3), 1000}
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_decontamination_equals_alignment_of_all_pairs(spark, seed):
+    rng = random.Random(seed)
+    vocabulary = [*"the of a in to and".split() * 6, *(f"v{i}" for i in range(60))]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([2, 3, 5, 9, 16, 33])))) for i in range(25)]
+    items += [(25, items[0][1]), (26, items[5][1])]
+    docs = []
+    for i in range(60):
+        w = rng.choices(vocabulary, k=rng.randint(0, 80))
+        if i % 2:
+            copy = rng.choice(items)[1].split()
+            copy = [rng.choice(vocabulary) if rng.random() < 0.25 else x for x in copy if rng.random() < 0.9]
+            w[len(w) // 2 : len(w) // 2] = copy
+        docs.append((i, " ".join(w)))
+    code = {x: k for k, x in enumerate(sorted(set(vocabulary)))}
+    want = {}
+    for (i, t), (j, x) in itertools.product(docs, items):
+        a, b = x.split(), t.split()
+        if len(a) < 4:
+            if any(b[k : k + len(a)] == a for k in range(len(b))):
+                want[i, j] = 1.0
+            continue
+        got = decontamination.smith_waterman(np.array([code[y] for y in a]), np.array([code[y] for y in b], dtype=np.int64))
+        if got >= len(a) or got >= 26:
+            want[i, j] = got / (2 * len(a))
+    found = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in found.collect()} == want and len(want) > 15
+
+
+def test_common_words_of_items_give_no_seeds():
+    """A thousand items that share a passage, which a thousand texts hold: the passage leads to none of them."""
+    shared = "one and the same start"
+    items = decontamination.Items([(i, shared + "".join(f" k{i}x{j}" for j in range(20))) for i in range(1000)], 4, 0.5, 13)
+    counts = np.ones(len(items.seeds))
+    counts[np.diff(items.border) > 1] = 1000
+    items.keep_rare(counts)
+    w = words_of([f"{shared} and so on"] * 50)
+    assert not len(items.found(w, w.hashes())[0]) and (items.need >= 5).all()
+
+
 def test_templates_generalise_fields(spark):
     lines = [f"Order shipped to customer {n} by {c} on time today" for n, c in zip(range(8), ["Ann", "Bob", "Cy", "Di", "Ed", "Flo", "Gus", "Hal"], strict=True)]
     docs = [(i, f"{'abcdefgh'[i] * 3} opens {'hgfedcba'[i] * 2}\n{x}\n{'zyxwvuts'[i] * 4} ends it") for i, x in enumerate(lines)]

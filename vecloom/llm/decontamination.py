@@ -1,11 +1,15 @@
-"""Benchmark decontamination: gapped word pairs as seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare gapped word pairs as seeds, then Smith-Waterman alignment.
 
-One pass over the documents.  Seeds are pairs of words one or two apart in an item that stand one or two apart in a
+Two passes over the documents.  Seeds are pairs of words one or two apart in an item that stand one or two apart in a
 text.  An alignment of m words with edits that cost e has m - 1 steps from one matched word to the next, and a step
-that is no seed costs 2 at least; so 2m - e points need at least half the points less one seeds, whatever the edits and
-however common the words.  Stretches with that many are aligned: the bound loses nothing that the alignment accepts.
+that is no seed costs 2 at least; so 2m - e points need at least half the points less one seeds, whatever the edits.
 
-The benchmark is read in parts of at most `part_bytes`; each part is one pass, and comes to the driver.
+The first pass counts how often each seed of the benchmark occurs in the corpus, which is all that leaves its tasks.
+Of the seeds that an alignment needs, `need` at different words of the item, half may be missing: so the `need` // 2
+words of an item whose seeds are most common give no seeds, and stretches that hold the rest of the need in rare seeds
+are aligned.  Common words cost nothing, and the bound loses nothing that the alignment accepts.
+
+The benchmark is read in parts of at most `part_bytes`; each part is two passes, and comes to the driver.
 """
 
 from __future__ import annotations
@@ -36,30 +40,66 @@ def _pairs(words: np.ndarray, gap: int) -> np.ndarray:
 
 
 class Items:
-    """Word hashes of a part of the benchmark and the seeds that lead to them."""
+    """Word hashes of a part of the benchmark and the seeds that lead to them; items of equal words are one."""
 
-    def __init__(self, rows: list[tuple[int, str]], n: int):
+    def __init__(self, rows: list[tuple[int, str]], n: int, threshold: float, overlap: int):
         raw = [t.encode() for _, t in rows]
         offs = np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int64)
         w = _words(np.frombuffer(b"".join(raw), dtype=np.uint8), offs)
-        h = w.hashes()
-        self.ids = [i for i, _ in rows]
-        self.words = [h[a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
+        h, same = w.hashes(), {}
+        for (i, _), a, b in zip(rows, w.first[:-1], w.first[1:], strict=True):
+            same.setdefault(h[a:b].tobytes(), []).append(i)
+        self.ids = list(same.values())
+        self.words = [np.frombuffer(x, dtype=np.uint64) for x in same]
         self.n = n
+        self.size = size = np.array([len(x) for x in self.words], dtype=np.int64)
+        self.short = sorted({int(x) for x in size if 0 < x < n})
+        self.points = np.minimum(np.ceil(2 * size * threshold), 2 * overlap)
+        self.need = np.where(size < n, 1, np.maximum(np.ceil(self.points / 2) - 1, 1)).astype(np.int64)
         seeds, items, at = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         for i, x in enumerate(self.words):
             for g in (_pairs(x, 1), _pairs(x, 2)) if len(x) >= n else (whole(x),):
                 seeds.append(g)
                 items.append(np.full(len(g), i))
                 at.append(np.arange(len(g)))
-        g = np.concatenate(seeds)
-        order = np.argsort(g, kind="stable")
-        self.posting_item, self.posting_at = (np.concatenate(x)[order].astype(np.int64) for x in (items, at))
-        self.seeds, first = np.unique(g[order], return_index=True)
-        self.border = np.append(first, len(g))
+        self._index(*(np.concatenate(x) for x in (seeds, items, at)))
+
+    def _index(self, seed: np.ndarray, item: np.ndarray, at: np.ndarray) -> None:
+        order = np.argsort(seed, kind="stable")
+        seed = seed[order]
+        self.posting_item, self.posting_at = item[order].astype(np.int64), at[order].astype(np.int64)
+        self.seeds, first = np.unique(seed, return_index=True)
+        self.border = np.append(first, len(seed))
         self.filter = np.zeros(1 << 20, dtype=bool)
         self.filter[(self.seeds >> np.uint64(44)).astype(np.int64)] = True
 
+    def keep_rare(self, counts: np.ndarray) -> None:
+        """Drops the half of each item's need at the words whose seeds the corpus has most often."""
+        seed = np.repeat(np.arange(len(self.seeds)), np.diff(self.border))
+        start = np.concatenate(([0], np.cumsum(np.maximum(self.size, 1))))
+        place = start[self.posting_item] + self.posting_at
+        cost = np.bincount(place, weights=counts[seed], minlength=start[-1])
+        item = np.repeat(np.arange(len(self.size)), np.diff(start))
+        order = np.lexsort((-cost, item))
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        drop = self.need // 2
+        kept = rank[place] - start[self.posting_item] >= drop[self.posting_item]
+        self.need = self.need - drop
+        self._index(self.seeds[seed[kept]], self.posting_item[kept], self.posting_at[kept])
+
+    def found(self, w: T.Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place in the texts and number of each seed that a text holds."""
+        place, seed = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for reach, g in ((1, _pairs(h, 1)), (2, _pairs(h, 2)), *((k - 1, T.gram_hashes(h, k)) for k in self.short)):
+            p = np.flatnonzero(self.filter[(g >> np.uint64(44)).astype(np.int64)])
+            p = p[w.doc[p] == w.doc[p + reach]]
+            s = np.minimum(np.searchsorted(self.seeds, g[p]), len(self.seeds) - 1)
+            same = self.seeds[s] == g[p]
+            place.append(p[same])
+            seed.append(s[same])
+        return np.concatenate(place), np.concatenate(seed)
+
 
 def whole(words: np.ndarray) -> np.ndarray:
     """The only seed of an item of fewer than n words: all of it."""
@@ -79,31 +119,33 @@ def smith_waterman(a: np.ndarray, b: np.ndarray, match: int = 2, mismatch: int =
     return best
 
 
+def _counter(items: Items):
+    """(seed, n): how often each seed occurs in the texts of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(items.seeds), dtype=np.int64)
+        for batch in batches:
+            for _, _, data, offs in T.chunks(batch, "text"):
+                w = _words(data, offs)
+                total += np.bincount(items.found(w, w.hashes())[1], minlength=len(total))
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["seed", "n"])
+
+    return run
+
+
 def _finder(items: Items, threshold: float, overlap: int, slack: float):
-    n = items.n
-    size = np.array([len(x) for x in items.words], dtype=np.int64)
-    short = sorted({int(x) for x in size if 0 < x < n})
-    points = np.minimum(np.ceil(2 * size * threshold), 2 * overlap)
-    need = np.where(size < n, 1, np.maximum(np.ceil(points / 2) - 1, 1)).astype(np.int64)
+    size, points, need = items.size, items.points, items.need
     # An accepted alignment's edits cost at most 2 * size - points: so far may its ends be off a seed's place.
     pad = np.maximum(np.ceil(slack * size), 2 * size - points).astype(np.int64) + 2
-
     span = 3 * size - points  # words of a text that an accepted alignment reaches over, at most
 
     def hits(w: T.Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Place in the texts, item and place in the item of each seed that a text holds."""
-        place, posting = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-        for reach, g in ((1, _pairs(h, 1)), (2, _pairs(h, 2)), *((k - 1, T.gram_hashes(h, k)) for k in short)):
-            p = np.flatnonzero(items.filter[(g >> np.uint64(44)).astype(np.int64)])
-            p = p[w.doc[p] == w.doc[p + reach]]
-            s = np.minimum(np.searchsorted(items.seeds, g[p]), len(items.seeds) - 1)
-            same = items.seeds[s] == g[p]
-            p, s = p[same], s[same]
-            many = items.border[s + 1] - items.border[s]
-            place.append(np.repeat(p, many))
-            posting.append(np.repeat(items.border[s], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
-        place, posting = np.concatenate(place), np.concatenate(posting)
-        return place, items.posting_item[posting], items.posting_at[posting]
+        place, seed = items.found(w, h)
+        many = items.border[seed + 1] - items.border[seed]
+        posting = np.repeat(items.border[seed], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        return np.repeat(place, many), items.posting_item[posting], items.posting_at[posting]
 
     def stretches(w: T.Words, h: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """Text, item and the words from and to of each stretch with enough seeds."""
@@ -138,7 +180,7 @@ def _finder(items: Items, threshold: float, overlap: int, slack: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple[int, int, float]] = []
-            for first, _, data, offs in T.chunks(batch, "text") if len(items.seeds) else ():
+            for first, _, data, offs in T.chunks(batch, "text"):
                 w = _words(data, offs)
                 h = w.hashes()
                 best: dict[tuple[int, int], float] = {}
@@ -150,9 +192,9 @@ def _finder(items: Items, threshold: float, overlap: int, slack: float):
                     score = got / (2 * len(x))
                     if score >= threshold or got >= 2 * overlap:
                         best[d, i] = max(score, best.get((d, i), 0.0))
-                out += [(first + d, i, s) for (d, i), s in best.items()]
+                out += [(first + d, x, s) for (d, i), s in best.items() for x in items.ids[i]]
             take = pa.array([o[0] for o in out], type=pa.int64())
-            found = [pa.array([items.ids[o[1]] for o in out], type=pa.int64()), pa.array([o[2] for o in out], type=pa.float64())]
+            found = [pa.array([o[1] for o in out], type=pa.int64()), pa.array([o[2] for o in out], type=pa.float64())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("row_hash").take(take), *found], names=["doc_id", "row_hash", "item_id", "score"])
 
     return run
@@ -175,7 +217,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, threshold: f
     found = None
     for p in range(parts):
         rows = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).orderBy("item_id", "text").collect()
-        items = Items([(r["item_id"], r["text"]) for r in rows], n)
+        items = Items([(r["item_id"], r["text"]) for r in rows], n, threshold, overlap)
+        if not len(items.seeds):
+            continue
+        seen = texts.select("text").mapInArrow(_counter(items), "seed int, n long").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()
+        counts = np.zeros(len(items.seeds))
+        counts[seen.column("seed").to_numpy()] = seen.column("n").to_numpy()
+        items.keep_rare(counts)
         part = texts.mapInArrow(_finder(items, threshold, overlap, slack), RESULT)
         found = part if found is None else found.unionByName(part)
     return found if found is not None else spark.createDataFrame([], RESULT)
