@@ -144,5 +144,6 @@ def test_ann_cases(spark):
     rows = [(0, v), (100, [0.0, 1.0]), (3, v), (2, v), (1, [0.0, 0.0]), (4, None), (5, [1.0, None]), (6, [float("nan"), 1.0]), (7, [float("inf"), 0.0]), (None, v), (8, [1.0, 2.0, 3.0]), (9, []), (2, v)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"block": F.lit(1), "rank": F.lit("x"), "v": F.lit(2)})
     got = [(r["query_id"], r["rank"], r["vec_id"]) for r in nearest(df, every=100, k=3).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 2), (0, 2, 3), (0, 3, 100), (100, 1, 0), (100, 2, 2), (100, 3, 3)]
+    assert got == [(0, 1, 2), (0, 2, 2), (0, 3, 3), (100, 1, 0), (100, 2, 2), (100, 3, 2)]
     assert nearest(df.where("false")).count() == 0 and nearest(df.where("vec_id = 0")).count() == 0
+    assert [r["vec_id"] for r in nearest(df.where("vec_id IN (0, 3, 8)")).collect()] == [3]

@@ -532,6 +532,42 @@ def test_recall_of_the_search(spark):
     assert hit / total >= 0.9
 
 
+@pytest.mark.parametrize("clusters", [0, 20])
+def test_recall_on_other_vectors(spark, clusters):
+    """Vectors that no parameter was chosen on; in clusters, with one vector in a third of all rows."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(3000, 24))
+    if clusters:
+        x += 6 * rng.normal(size=(clusters, 24))[np.arange(3000) % clusters]
+        x[2000:] = x[5]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, block_rows=300, query_rows=16, sample_rows=1000).collect():
+        got.setdefault(r["query_id"], []).append(r["score"])
+    hit = total = 0
+    for q in range(0, 3000, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        limit = np.partition(d, 9)[9]
+        assert len(got[q]) == 10
+        hit += sum(s <= limit + 1e-12 for s in got[q])
+        total += 10
+    assert hit / total >= 0.9
+
+
+def test_blocks_out_of_reach_hold_no_candidates():
+    """What pruning by the ends of the arrays skips has fewer collisions than needed."""
+    rng = np.random.default_rng(12)
+    x = np.concatenate((rng.normal(size=(300, 8)), 50 + rng.normal(size=(300, 8))))
+    fit = ann.Fit(x, 16, 0.75, 0.1, 1, 3)
+    leaf = fit.leaf(x @ fit.p)
+    assert len(set(leaf[:300])) == len(set(leaf[300:])) == 1 and leaf[0] != leaf[300]
+    y, r = x[:5] @ fit.p, fit.radius(x[:5] @ fit.p)
+    far = x[300:] @ fit.p
+    met = ((y - r[:, None]).min(0) <= far.max(0)) & ((y + r[:, None]).max(0) >= far.min(0))
+    assert met.sum() < fit.need and all((np.abs(far - y[i]) <= r[i]).sum(1).max() < fit.need for i in range(5))
+
+
 def test_equal_texts_have_equal_checksums(spark):
     rows = sharding.shard(spark.createDataFrame([(1, "é"), (2, "é")], "doc_id long, text string")).collect()
     assert {(r["size"], r["text_crc32"]) for r in rows} == {(3, zlib.crc32("é".encode()))}
