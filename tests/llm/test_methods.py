@@ -149,6 +149,36 @@ def test_links_across_components_of_a_bucket(spark):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("cell_rows", [3, 1000])
+def test_crowded_buckets_are_compared_in_cells(spark, cell_rows):
+    """Many texts of several lengths around one passage: every bucket holds several components."""
+    rng = random.Random(7)
+    core = [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(120):
+        w = core[: rng.choice([24, 30, 36, 40])] + [f"t{i % 17}x{j}" for j in range(rng.choice([0, 3, 8, 14]))]
+        rows.append((i, " ".join(w)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), cell_rows=cell_rows).collect()}
+    assert got == brute_components(rows)
+
+
+def test_small_sets_miss_no_link():
+    """Every pair of small sets of similarity 0.75 or more shares a key of its first shingles."""
+    from vecloom.llm.near_dedup import SMALL_SET, _signer
+
+    rng = random.Random(8)
+    texts = []
+    for _ in range(3000):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(5, 24))]
+        texts += [" ".join(w), " ".join(w + [f"z{rng.randrange(10**6)}"] * rng.randint(1, 2))]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    rows = [r for b in _signer(5, 75, 2, 4, 17)([batch]) for r in b.to_pylist()]  # one band: the rest are first shingles
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(max(1, len(t.split()) - 4))} for t in texts]
+    close = [i for i in range(0, len(texts), 2) if 4 * len(sets[i] & sets[i + 1]) >= 3 * len(sets[i] | sets[i + 1]) and len(sets[i + 1]) <= SMALL_SET]
+    assert len(close) > 500 and all(set(rows[i]["bands"][1:]) & set(rows[i + 1]["bands"][1:]) for i in close)
+    assert all(len(r["bands"]) <= 1 + 7 for r in rows)
+
+
 def test_min_max_agreement_is_the_jaccard_similarity():
     from vecloom.llm.near_dedup import T as text
 

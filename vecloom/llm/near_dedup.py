@@ -4,16 +4,21 @@ Each text is its set of distinct word shingles.  One multiplication per permutat
 minimum and the maximum of the permuted set, so `permutations` evaluations make 2 * permutations values; both agree
 between two sets with the probability of their Jaccard similarity.  Bands of consecutive values are bucketed.
 
+Minimum and maximum of few shingles depend on each other, so sets of up to `SMALL_SET` shingles also have their first
+shingles in hash order as keys, as many as a similar set cannot avoid all of: among them no link is missed.
+
 Nothing lists all pairs of a bucket.  Equal sets fold into one representative first.  In every bucket each member is
 compared with one centre, and verified links are contracted to components.  Buckets that still hold several components
-are joined across components, under a bound that is exact in one direction: a bitmap of each set shows how many
-shingles at least are missing from the other, and pairs that cannot reach the threshold are not emitted.  Links are
+are dealt into cells by size class and, where many are of one class, by hash; cells of sizes that can be similar meet,
+each two in a key of their own, so no bucket is one task's work.  Across components pairs are emitted under a bound that
+is exact in one direction: a bitmap of each set shows how many shingles at least are missing from the other.  Links are
 confirmed on full shingle sets in the JVM (array_intersect), and components come from alternating large-star /
 small-star rounds whose tables lie in the shared folder.
 """
 
 from __future__ import annotations
 
+import math
 import operator
 from collections.abc import Iterator
 from functools import reduce
@@ -29,6 +34,7 @@ from vecloom.operators.graph import components
 
 BITMAP_BITS = 10
 BITMAP_LONGS = (1 << BITMAP_BITS) // 64
+SMALL_SET = 26  # shingles; sets of up to three quarters of it are similar to none larger
 SIGNATURE = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"
 
 
@@ -39,7 +45,7 @@ def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, int, np.ndar
         yield lo, hi, h, first
 
 
-def _signer(words: int, permutations: int, rows: int, seed: int):
+def _signer(words: int, percent: int, permutations: int, rows: int, seed: int):
     factors = T._split_mix(permutations, seed) | np.uint64(1)
     weights = T._split_mix(2 * permutations, seed + 1) | np.uint64(1)
     bands = 2 * permutations // rows
@@ -52,7 +58,7 @@ def _signer(words: int, permutations: int, rows: int, seed: int):
                 size = np.diff(first)
                 full = np.flatnonzero(size)
                 h1, h2 = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint64)
-                keys, border = np.zeros((0, bands), dtype=np.uint64), np.zeros(n + 1, dtype=np.int32)
+                keys, border = np.zeros(0, dtype=np.uint64), np.zeros(n + 1, dtype=np.int32)
                 if len(full):
                     at = first[full]
                     h1[full] = np.add.reduceat(T.mix(h), at)
@@ -64,15 +70,22 @@ def _signer(words: int, permutations: int, rows: int, seed: int):
                         sig[:, 2 * k + 1] = np.maximum.reduceat(x, at)
                     keys = T.mix(sig) * weights
                     keys = keys[:, : bands * rows].reshape(len(full), bands, rows).sum(axis=2, dtype=np.uint64)
-                    keys = T.mix(keys + np.arange(bands, dtype=np.uint64))
-                    border = np.concatenate(([0], np.cumsum(np.where(size > 0, bands, 0)))).astype(np.int32)
+                    keys = T.mix(keys + np.arange(bands, dtype=np.uint64)).reshape(-1)
+                    # The first shingles of small sets, in hash order.
+                    first_few = np.where((size > 0) & (size <= SMALL_SET), size - (percent * size + 99) // 100 + 1, 0)
+                    place = np.arange(len(h)) - np.repeat(first[:-1], size)
+                    early = place < np.repeat(first_few, size)
+                    doc = np.concatenate((np.repeat(full, bands), np.repeat(np.arange(n), size)[early]))
+                    order = np.argsort(doc, kind="stable")
+                    keys = np.concatenate((keys, T.mix(h[early] ^ np.uint64(0x71EF))))[order]
+                    border = np.searchsorted(doc[order], np.arange(n + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(lo, n),
                         pa.array(size.astype(np.int64)),
                         pa.array(h1.view(np.int64)),
                         pa.array(h2.view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(border), pa.array(keys.reshape(-1).view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(border), pa.array(keys.view(np.int64))),
                     ],
                     names=["doc_id", "n_shingles", "h1", "h2", "bands"],
                 )
@@ -80,10 +93,10 @@ def _signer(words: int, permutations: int, rows: int, seed: int):
     return sign
 
 
-def signatures(docs: DataFrame, words: int = 5, permutations: int = 64, rows: int = 4, seed: int = 17) -> DataFrame:
+def signatures(docs: DataFrame, words: int = 5, percent: int = 75, permutations: int = 64, rows: int = 4, seed: int = 17) -> DataFrame:
     """One row per document: set size, a 128-bit hash of the set, and its band keys (none for an empty set)."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _signer(words, permutations, rows, seed), SIGNATURE
+        _signer(words, percent, permutations, rows, seed), SIGNATURE
     )
 
 
@@ -109,7 +122,7 @@ def shingle_lists(docs: DataFrame, words: int = 5) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(lists, "doc_id long, shingles array<long>, bits array<long>")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, permutations: int = 64, rows: int = 4, seed: int = 17) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, permutations: int = 64, rows: int = 4, seed: int = 17, cell_rows: int = 1000) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text, ...).
 
     Two documents are linked when 100 * |A and B| >= percent * |A or B| for their distinct `words`-word shingles
@@ -117,10 +130,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, permutat
 
     Defined cases: null or wordless text: n_shingles 0, linked with nothing, kept.  A null doc_id cannot be named by
     others: component_id is null and the row is kept.  Rows that repeat a doc_id each get a row and count as one node.
-    Other columns of docs are ignored, whatever their names.  A similarity of 0.75 is missed by all bands with
-    probability below 1e-5 at the default 64 permutations and 4 rows.
+    Other columns of docs are ignored, whatever their names.  A similarity of 0.75 between sets of
+    more than 19 shingles is missed by all bands with probability below 1e-5 at the default 64 permutations and 4 rows;
+    between smaller sets none is missed.
     """
-    sig = written(signatures(docs, words, permutations, rows, seed), "sig")
+    sig = written(signatures(docs, words, percent, permutations, rows, seed), "sig")
     full = sig.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     key = ["h1", "h2", "n_shingles"]
     classes = written(full.groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
@@ -151,8 +165,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, permutat
     rows_ = shared.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
     several = rows_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
     bits = sets.select(F.col("doc_id").alias("rep"), *[F.col("bits")[i].alias(f"w{i}") for i in range(BITMAP_LONGS)])
-    rest = written(rows_.join(several, "key", "left_semi").join(bits, "rep"), "mixed")
-    x, y = (rest.select("key", *[F.col(c).alias(f"{c}_{v}") for c in rest.columns if c != "key"]) for v in "ab")
+    rest = rows_.join(several, "key", "left_semi").withColumn("size", F.floor(F.log("n") / (math.log(100 / percent) or 1.0) + 1e-9))
+    cells = rest.groupBy("key", "size").agg(F.ceil(F.count(F.lit(1)) / cell_rows).alias("cells"))
+    rest = rest.join(cells, ["key", "size"]).withColumn("cell", F.pmod(F.xxhash64("rep"), "cells"))
+    above = cells.select("key", (F.col("size") - 1).alias("size"), F.col("cells").alias("more"))
+    below = cells.select("key", (F.col("size") + 1).alias("size"), F.col("cells").alias("less"))
+    rest = written(rest.join(above, ["key", "size"], "left").join(below, ["key", "size"], "left").join(bits, "rep"), "mixed")
+    # Cells of one size class meet themselves and later ones, and all cells of the next class.
+    size, cell, zero = F.col("size"), F.col("cell"), F.lit(0).cast("long")
+    none = F.array().cast("array<struct<size:bigint,x:bigint,y:bigint>>")
+
+    def meet(size: Column, x: Column, y: Column) -> Column:
+        return F.struct(size.alias("size"), x.alias("x"), y.alias("y"))
+
+    def over(low: Column, high: Column, f) -> Column:
+        return F.when(high.isNotNull(), F.transform(F.sequence(low, high), f)).otherwise(none)
+
+    def side(same: Column, other: Column, v: str) -> DataFrame:
+        rows = rest.withColumn("meet", F.explode(F.concat(same, other)))
+        return rows.select("key", "meet", *[F.col(c).alias(f"{c}_{v}") for c in ("rep", "n", "comp", *(f"w{i}" for i in range(BITMAP_LONGS)))])
+
+    x = side(over(cell, F.col("cells") - 1, lambda c: meet(size, cell, c)), over(zero, F.col("more") - 1, lambda c: meet(size, -1 - cell, c)), "a")
+    y = side(over(zero, cell, lambda c: meet(size, c, cell)), over(zero, F.col("less") - 1, lambda c: meet(size - 1, -1 - c, cell)), "b")
 
     def common(v: str, u: str) -> Column:
         """Shingles of v that u can have at most."""
@@ -160,8 +194,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, permutat
         return F.col(f"n_{v}") - reduce(operator.add, lacking)
 
     most = F.least(common("a", "b"), common("b", "a"))
-    fits = (F.col("comp_a") > F.col("comp_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & ((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b")))
-    pairs = x.join(y, (x["key"] == y["key"]) & fits).select(F.greatest("rep_a", "rep_b").alias("a"), F.least("rep_a", "rep_b").alias("b")).distinct()
+    # Within one cell each pair meets twice, elsewhere once.
+    once = (x["meet"]["x"] != x["meet"]["y"]) | (F.col("rep_a") > F.col("rep_b"))
+    fits = once & (F.col("comp_a") != F.col("comp_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & ((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b")))
+    pairs = x.join(y, (x["key"] == y["key"]) & (x["meet"] == y["meet"]) & fits).select(F.greatest("rep_a", "rep_b").alias("a"), F.least("rep_a", "rep_b").alias("b")).distinct()
     across = verified(pairs, "links")
     # The new links join components: contract them, and let the members follow.
     to = label.select("node", "component")
