@@ -18,7 +18,7 @@ from vecloom.llm import ann, decontamination, line_dedup, packing, secrets, shar
 from vecloom.llm._tokens import Encoder
 from vecloom.llm.near_dedup import near_duplicates
 from vecloom.llm.pii import PATTERNS, pii
-from vecloom.llm.substring_dedup import FingerprintIndex, partition_keys, substring_dedup
+from vecloom.llm.substring_dedup import FingerprintIndex, due, partition_keys, substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TEXT = st.text(alphabet=st.sampled_from("ab é\n\t.,'’1  　ñÑ🙂<|>endoftx"), max_size=60)
@@ -92,10 +92,10 @@ def test_substring_dedup_equals_brute_force(spark):
 def test_index_grows_batch_by_batch_and_compacts(spark):
     text = " ".join(f"w{i}" for i in range(30))
     frame = lambda i, t: spark.createDataFrame([(i, t)], "doc_id long, text string")
-    index = FingerprintIndex(spark, max_runs=2)
+    index = FingerprintIndex(spark, fan=2)
     for i, t in ((1, text), (2, "other " + text), (5, text + " more")):
         index.ingest(frame(i, t))
-    assert len(index.runs) == 2
+    assert sorted(level for _, level in index.runs) == [0, 1]
     assert [r["n_removed"] for r in index.cut(frame(5, text + " more")).collect()] == [30]
     with pytest.raises(ValueError):
         index.ingest(frame(4, text))
@@ -103,6 +103,43 @@ def test_index_grows_batch_by_batch_and_compacts(spark):
     assert not spark.catalog.tableExists(index.name)
 
 
+def test_another_session_opens_the_index(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    frame = lambda i, t: spark.createDataFrame([(i, t)], "doc_id long, text string")
+    first = FingerprintIndex(spark, fan=2)
+    first.ingest(frame(1, text))
+    first._append(first._rows([first.runs[0][0]], "run").selectExpr("*", "'run' AS kind"))  # a step that was never committed
+    folder = first.folder
+    again = FingerprintIndex.open(spark, folder, fan=2)
+    assert (again.runs, again.highest, again.buckets) == (first.runs, 1, first.buckets)
+    again.ingest(frame(3, text))
+    assert [r["n_removed"] for r in again.cut(frame(3, text)).collect()] == [30]
+    last = FingerprintIndex.open(spark, folder, fan=2)
+    assert [level for _, level in last.runs] == [1] and last.highest == 3
+    last.drop()
+
+
+def test_windows_are_rewritten_once_per_level():
+    runs, rewritten = [], 0  # (level, size)
+    for _ in range(64):
+        runs.append((0, 1))
+        while old := due([level for level, _ in runs], 4):
+            size = sum(runs[i][1] for i in old)
+            rewritten += size
+            runs = [r for i, r in enumerate(runs) if i not in old] + [(runs[old[0]][0] + 1, size)]
+    assert runs == [(3, 64)] and rewritten == 64 * 3
+
+
+def test_runs_lie_in_rows_of_bounded_size(monkeypatch):
+    from vecloom.llm import substring_dedup as sd
+
+    monkeypatch.setattr(sd, "ROW_WINDOWS", 10)
+    h = np.sort(np.random.default_rng(0).integers(0, 2**63, 25).astype(np.uint64))
+    rows = sd._run(4, h, np.arange(25, dtype=np.uint16))
+    assert [len(r[4]) // 2 for r in rows] == [10, 10, 5] and np.concatenate([sd._unplanes(r[3]) for r in rows]).tolist() == h.tolist()
+    assert sd._union(sd._table(rows[::-1])).column("hashes").to_pylist() == [r[3] for r in rows]
+
+
 @pytest.mark.parametrize("n", [1, 4, 49, 211])
 def test_partition_keys(spark, n):
     keys = partition_keys(n)

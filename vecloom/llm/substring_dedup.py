@@ -1,7 +1,10 @@
 """Incremental substring deduplication over a log-structured fingerprint index.
 
-The index is a bucketed table.  A run is a set of immutable rows (bucket, sorted window hashes, check codes); runs are
-only ever added, or merged into a larger run by compact().  A new batch is hashed, shuffled once by hash range and
+The index is a bucketed table.  A run is a set of immutable rows (bucket, sorted window hashes, check codes), of at most
+`ROW_WINDOWS` windows each; runs are only ever added, or merged.  Compaction is tiered: `fan` runs of one level become
+one run of the next, so a window is rewritten once per level, and levels grow with the logarithm of the batches.
+What the index consists of is a small state table of numbered versions, written last: what a lost driver left half done
+is not in it, and another session opens the index by its folder.  A new batch is hashed, shuffled once by hash range and
 merge-joined with the runs, which are read where they lie: the table is bucketed like the shuffle, so history is not
 moved.  A match counts only if the 64-bit fingerprint and an independently computed check code agree.
 
@@ -23,9 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.llm import _text as T
-from vecloom.llm._common import fs_delete, partitions, shuffles_dropped
+from vecloom.llm._common import fs_delete, partitions, shuffles_dropped, written
 
 COMBINE_BYTES, CHUNK_BYTES = 4 << 20, 1 << 20
+ROW_WINDOWS = 4 << 20
 _PACK = "bucket int, part int, owners binary, owner_parts binary, owner binary, hashes binary, checks binary"
 _OUT = "bucket int, part int, docs binary, hashes binary, checks binary, kind string"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -164,21 +168,43 @@ def _merge(new: pa.Table, old: pa.Table) -> pa.Table:
         for s in np.split(np.arange(len(rp)), np.flatnonzero(np.diff(rp)) + 1) if len(rp) else []:
             out.append((bucket, int(rp[s[0]]), rd[s].tobytes(), _planes(rh[s]), None, "repeat"))
         fresh = at[~known]
-        if len(fresh):
-            out.append((bucket, -1, None, _planes(h[fresh]), c[fresh].tobytes(), "run"))
-    names = ["bucket", "part", "docs", "hashes", "checks", "kind"]
-    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.string()]
-    return pa.table([pa.array([r[i] for r in out], type=t) for i, t in enumerate(kinds)], names=names)
+        out += _run(bucket, h[fresh], c[fresh])
+    return _table(out)
+
+
+def _run(bucket: int, h: np.ndarray, c: np.ndarray) -> list[tuple]:
+    """Rows of a run: consecutive stretches of the sorted windows of a bucket."""
+    return [(bucket, -1, None, _planes(h[i : i + ROW_WINDOWS]), c[i : i + ROW_WINDOWS].tobytes(), "run") for i in range(0, len(h), ROW_WINDOWS)]
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    """Rows of _OUT, in batches of bounded size: one Arrow array holds 2 GB at most."""
+    schema = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("docs", pa.binary()), ("hashes", pa.binary()), ("checks", pa.binary()), ("kind", pa.string())])
+    batches, held, size = [], [], 0
+    for r in rows:
+        held.append(r)
+        size += len(r[3]) + len(r[2] or b"")
+        if size > 1 << 28:
+            batches.append(held)
+            held, size = [], 0
+    return pa.Table.from_batches([pa.RecordBatch.from_arrays([pa.array([r[i] for r in b], type=t) for i, t in enumerate(schema.types)], schema=schema) for b in (*batches, held)], schema)
 
 
 def _union(runs: pa.Table) -> pa.Table:
-    """The rows of one bucket of several runs as one sorted row."""
+    """The rows of one bucket of several runs as one sorted run."""
     h = np.concatenate([_unplanes(x) for x in runs.column("hashes").to_pylist()])
     c = np.concatenate([np.frombuffer(x, dtype=np.uint16) for x in runs.column("checks").to_pylist()])
     order = np.lexsort((c, h))
-    row = (runs.column("bucket")[0].as_py(), -1, None, _planes(h[order]), c[order].tobytes(), "run")
-    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.string()]
-    return pa.table([pa.array([x], type=t) for x, t in zip(row, kinds, strict=True)], names=["bucket", "part", "docs", "hashes", "checks", "kind"])
+    return _table(_run(runs.column("bucket")[0].as_py(), h[order], c[order]))
+
+
+def due(levels: list[int], fan: int) -> list[int]:
+    """Numbers of the runs to merge next, of runs with these levels: the `fan` oldest of the lowest level that has so many."""
+    for level in sorted(set(levels)):
+        same = [i for i, x in enumerate(levels) if x == level]
+        if len(same) >= fan:
+            return same[:fan]
+    return []
 
 
 def _cutter(width: int):
@@ -241,16 +267,39 @@ _SPACES = bytes(0x20 if T.SEPARATOR[i] else i for i in range(256))
 
 
 class FingerprintIndex:
-    """Window hashes of all documents ingested so far, as immutable sorted runs of a bucketed table."""
+    """Window hashes of all documents ingested so far, as immutable sorted runs of a bucketed table.
+
+    A task holds one bucket of a batch and of the history, about ten bytes a window; `buckets` sets how many there are.
+    """
 
-    def __init__(self, spark: SparkSession, width: int = 13, max_runs: int = 2):
-        self.spark, self.width, self.max_runs = spark, width, max_runs
-        self.buckets = partitions(spark)
+    def __init__(self, spark: SparkSession, width: int = 13, fan: int = 4, buckets: int | None = None):
+        self.spark, self.width, self.fan = spark, width, fan
+        self.buckets = buckets or partitions(spark)
         self.keys = partition_keys(self.buckets)
         self.name = f"vecloom_fingerprints_{uuid.uuid4().hex}"
-        self.runs: list[str] = []
+        self.runs: list[tuple[str, int]] = []  # step, level
         self.repeats: list[str] = []
         self.highest: int | None = None
+        self.version = -1
+
+    @property
+    def folder(self) -> str:
+        """Where the table lies: what open() takes."""
+        return self.spark.sql(f"DESCRIBE FORMATTED {self.name}").where("col_name = 'Location'").head()[1]
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str, fan: int = 4) -> FingerprintIndex:
+        """The index that an earlier session left in a folder."""
+        states = spark.read.parquet(f"{folder}_state")
+        r = states.orderBy(F.desc("version")).head()
+        index = cls(spark, r["width"], fan, r["buckets"])
+        index.name = folder.rstrip("/").rsplit("/", 1)[1]
+        index.runs = [(x["step"], x["level"]) for x in r["runs"]]
+        index.repeats, index.highest, index.version = list(r["repeats"]), r["highest"], r["version"]
+        if not spark.catalog.tableExists(index.name):
+            spark.sql(f"CREATE TABLE {index.name} (bucket int, part int, docs binary, hashes binary, checks binary, step string, kind string) USING parquet PARTITIONED BY (step, kind) CLUSTERED BY (bucket) INTO {index.buckets} BUCKETS LOCATION '{folder}'")
+            spark.sql(f"MSCK REPAIR TABLE {index.name}")
+        return index
 
     def _rows(self, steps: list[str], kind: str) -> DataFrame:
         if not self.runs and not self.repeats:
@@ -258,9 +307,17 @@ class FingerprintIndex:
         t = self.spark.table(self.name).where(F.col("step").isin(steps) & (F.col("kind") == kind))
         return t.select("bucket", "part", "docs", "hashes", "checks")
 
-    def _append(self, df: DataFrame, step: str) -> None:
+    def _append(self, df: DataFrame) -> str:
+        step = f"s{uuid.uuid4().hex}"  # a step that a lost driver left behind is never written again
         with shuffles_dropped(self.spark):
             df.withColumn("step", F.lit(step)).write.partitionBy("step", "kind").bucketBy(self.buckets, "bucket").option("compression", "zstd").mode("append").saveAsTable(self.name)
+        return step
+
+    def _commit(self) -> None:
+        self.version += 1
+        row = (self.version, self.width, self.buckets, self.highest, self.runs, self.repeats)
+        state = self.spark.createDataFrame([row], "version long, width int, buckets int, highest long, runs array<struct<step:string,level:int>>, repeats array<string>")
+        state.coalesce(1).write.mode("append").parquet(f"{self.folder}_state")
 
     def ingest(self, docs: DataFrame) -> None:
         """Marks the repeated windows of docs(doc_id, text) and adds a run.
@@ -274,29 +331,33 @@ class FingerprintIndex:
             raise ValueError(f"doc_id {low} is not greater than {self.highest}, which is already in the index")
         rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), self.part_of("doc_id").alias("part"), F.col("text").cast("string").alias("text"))
         new = rows.mapInArrow(_fingerprinter(self.width, self.buckets, self.keys), _PACK)
-        old = self._rows(self.runs, "run").select("bucket", "hashes", "checks")
-        step = f"{len(self.repeats):06d}"
-        self._append(new.groupBy("bucket").cogroup(old.groupBy("bucket")).applyInArrow(lambda a, b: _merge(a, b) if a.num_rows else _NOTHING, _OUT), step)
-        self.runs.append(step)
+        old = self._rows([s for s, _ in self.runs], "run").select("bucket", "hashes", "checks")
+        step = self._append(new.groupBy("bucket").cogroup(old.groupBy("bucket")).applyInArrow(lambda a, b: _merge(a, b) if a.num_rows else _NOTHING, _OUT))
+        self.runs.append((step, 0))
         self.repeats.append(step)
         self.highest = high
-        if len(self.runs) > self.max_runs:
-            self.compact()
+        self._commit()
+        self.compact()
 
     def compact(self) -> None:
-        """Merges the two youngest runs into one; buckets lie together, so nothing is shuffled."""
-        young = self.runs[-2:]
-        step = f"{young[0]}_{young[1]}"
-        self._append(self._rows(young, "run").groupBy("bucket").applyInArrow(_union, _OUT), step)
-        self.runs[-2:] = [step]
-        where = self.spark.sql(f"DESCRIBE FORMATTED {self.name}").where("col_name = 'Location'").head()[1]
-        for s in young:
-            fs_delete(self.spark, f"{where}/step={s}/kind=run")
-        self.spark.catalog.refreshTable(self.name)
+        """Merges runs of one level until no level has `fan` of them; buckets lie together, so nothing is shuffled."""
+        while old := due([level for _, level in self.runs], self.fan):
+            gone = [self.runs[i] for i in old]
+            step = self._append(self._rows([s for s, _ in gone], "run").groupBy("bucket").applyInArrow(_union, _OUT))
+            self.runs = [r for r in self.runs if r not in gone]
+            self.runs.insert(old[0], (step, gone[0][1] + 1))
+            self._commit()
+            for s, _ in gone:  # after the commit: a lost driver leaves files, but no state that lacks them
+                fs_delete(self.spark, f"{self.folder}/step={s}/kind=run")
+            self.spark.catalog.refreshTable(self.name)
 
     def drop(self) -> None:
         """Deletes the index.  What cut() returned is lazy and reads it, so first write that."""
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        if self.spark.catalog.tableExists(self.name):
+            folder = self.folder
+            self.spark.sql(f"DROP TABLE {self.name}")
+            fs_delete(self.spark, folder)
+            fs_delete(self.spark, f"{folder}_state")
         self.runs, self.repeats, self.highest = [], [], None
 
     def part_of(self, column: str):
@@ -314,20 +375,21 @@ class FingerprintIndex:
         return rows.mapInArrow(_cutter(self.width), RESULT)
 
 
-_NOTHING = pa.table([pa.array([], type=t) for t in (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.string())], names=["bucket", "part", "docs", "hashes", "checks", "kind"])
+_NOTHING = _table([])
 
 
-def substring_dedup(docs: DataFrame, width: int = 13, generations: int = 3, max_runs: int = 2) -> DataFrame:
+def substring_dedup(docs: DataFrame, width: int = 13, generations: int = 3, fan: int = 2) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of each row of docs(doc_id, text, ...).
 
-    The documents enter a fresh FingerprintIndex in `generations` batches of ascending doc_id.
+    The documents enter a fresh FingerprintIndex in `generations` batches of ascending doc_id.  The result is written;
+    the index is dropped.
 
     Defined cases: null text has no words.  A null doc_id has no place in the order: the row is returned whole and
     others are not compared with it.  Rows that repeat a doc_id do not count as earlier than each other, and a window
     marked in one of them is cut from all of them.  Texts of fewer than `width` words are returned whole.
     Other columns of docs are ignored, whatever their names.
     """
-    index = FingerprintIndex(docs.sparkSession, width, max_runs)
+    index = FingerprintIndex(docs.sparkSession, width, fan)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     steps = [i / generations for i in range(1, generations)]
     borders = sorted(set(docs.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, steps)), 1000)).head()[0] or [])) if steps else []
@@ -338,4 +400,6 @@ def substring_dedup(docs: DataFrame, width: int = 13, generations: int = 3, max_
         if high is not None:
             part = part.where(F.col("doc_id") <= high)
         index.ingest(part)
-    return index.cut(docs)
+    out = written(index.cut(docs), "substring-dedup")
+    index.drop()
+    return out
