@@ -83,6 +83,33 @@ def test_stages_take_awkward_rows(spark, docs, sf, name, stage):
     assert stage(spark, docs.where("false"), sf).count() == 0
 
 
+def test_stages_judge_rows_by_their_own_text(spark):
+    """Toxic rows with a null or shared doc_id go, their clean namesakes stay."""
+    base = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{base}/documents.parquet")
+    labels_ = spark.read.parquet(f"{base}/labels.parquet")
+    bad = toxicity(docs, labels_).where("predicted = 1").join(docs, "doc_id").select("text").first()[0]
+    clean = "a note on the weather of the day"
+    more = spark.createDataFrame([(None, bad), (10**9, bad), (10**9, clean), (None, clean)], "doc_id long, text string")
+    more = more.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"))
+    out = dict(corpus_pipeline.STAGES)["toxicity"](spark, docs.unionByName(more), base)
+    assert sorted(map(str, out.where("doc_id IS NULL OR doc_id = 1000000000").select("doc_id", "text").collect())) == sorted(map(str, more.where(F.col("text") == clean).select("doc_id", "text").collect()))
+
+
+def test_stage_keeps_one_of_each_copy(spark, docs, sf):
+    out = [r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf).select("doc_id").collect()]
+    assert sorted(out, key=str) == sorted([1, 3, 4, 5, 6, 8, 9, 10, None, None], key=str)
+    twice = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (1, "u v w x y z"), (2, "a b c d e f")], "doc_id long, text string")
+    assert sorted(map(tuple, corpus_pipeline.drop_near_duplicates(spark, twice, sf).collect())) == [(1, "a b c d e f"), (1, "u v w x y z")]
+
+
+def test_contaminated_rows_go_by_their_own_text(spark, sf):
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").where("length(text) > 100").first()["text"]
+    rows = spark.createDataFrame([(None, item), (5, item), (5, "clean words"), (None, None)], "doc_id long, text string")
+    out = corpus_pipeline.drop_contaminated(spark, rows, sf).collect()
+    assert sorted(map(str, out)) == sorted(map(str, rows.where("text IS NULL OR length(text) < 20").collect()))
+
+
 def test_substring_cases(spark, docs):
     got = [(r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup(docs).collect()]
     assert sorted(x for x in got if x[0] in (1, 2)) == [(1, 15, 0), (2, 15, 15), (2, 15, 15)]

@@ -214,8 +214,8 @@ def _reader(lexicon: Lexicon, rates: np.ndarray):
                 edge = np.searchsorted(d[order], np.arange(n + 1))
                 raw = [i[a:b].tobytes() for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, n), batch.column("held_out").slice(lo, n), pa.array(pattern.astype(np.int32)), pa.array(raw, type=pa.binary()), pa.array([x.tobytes() for x in dense.astype("<f4")], type=pa.binary())],
-                    names=["doc_id", "held_out", "pattern", "items", "dense"],
+                    [*(batch.column(c).slice(lo, n) for c in ("doc_id", "held_out", "row_hash")), pa.array(pattern.astype(np.int32)), pa.array(raw, type=pa.binary()), pa.array([x.tobytes() for x in dense.astype("<f4")], type=pa.binary())],
+                    names=["doc_id", "held_out", "row_hash", "pattern", "items", "dense"],
                 )
 
     return run
@@ -325,7 +325,7 @@ def _scorer(weights: np.ndarray):
             flat = np.concatenate([*items, np.zeros(0, dtype="<u2")]).astype(np.int64)
             z = np.bincount(row, weights=weights[flat], minlength=len(items)) + _matrix(batch.column("dense").to_pylist()) @ weights[size:-1] + weights[-1]
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), batch.column("row_hash")], names=["doc_id", "held_out", "score", "predicted", "row_hash"])
 
     return run
 
@@ -335,7 +335,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, max_features: int = 4096, min_toxic: int = 4, max_train: int = 12_000) -> DataFrame:
-    """doc_id, held_out, score, predicted of each row of docs(doc_id, text, ...).
+    """doc_id, held_out, score, predicted, row_hash (xxhash64 of the text) of each row of docs(doc_id, text, ...).
 
     labels(doc_id, toxic) are read only where crc32(doc_id) mod 5 is not 0.  Lexicons and the voters' calibration come
     from at most `max_labelled` of them, those of the smallest xxhash64(doc_id), half of each class where there are
@@ -375,8 +375,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, max
     by_class = {r["toxic"]: r for r in sums.groupBy("toxic").agg(*[F.sum(x).alias(x) for x in ("n_words", *names)]).collect()}
     rates = np.array([[(by_class[y][x] + 0.5) / (by_class[y]["n_words"] + 1000) if y in by_class else 1e-3 for x in names] for y in (1, 0)])
 
-    kinds = "doc_id long, held_out boolean, pattern int, items binary, dense binary"
-    seen = written(texts.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")).mapInArrow(_reader(lexicon, rates), kinds), "toxic-votes")
+    kinds = "doc_id long, held_out boolean, row_hash long, pattern int, items binary, dense binary"
+    seen = written(texts.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"), F.xxhash64("text").alias("row_hash")).mapInArrow(_reader(lexicon, rates), kinds), "toxic-votes")
     counts = seen.join(F.broadcast(sample), "doc_id", "left").groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("toxic") == 0).alias("clean"), F.count_if(F.col("toxic") == 1).alias("toxic")).orderBy("pattern").collect()
     weights = np.concatenate((np.zeros(lexicon.size + DENSE), [-30.0]))
     if counts:
@@ -393,4 +393,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, max
         if rows:
             items, dense = [np.frombuffer(r["items"], dtype="<u2") for r in rows], _matrix([r["dense"] for r in rows])
             weights = _train(items, dense, np.array([r["target"] for r in rows]), lexicon.size, np.array(weight))
-    return seen.mapInArrow(_scorer(weights), "doc_id long, held_out boolean, score double, predicted int")
+    return seen.mapInArrow(_scorer(weights), "doc_id long, held_out boolean, score double, predicted int, row_hash long")
