@@ -15,9 +15,11 @@ _made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session names it; where it is unset, as in tests, a folder of this process."""
+    """spark.checkpoint.dir as the session names it; where it is unset, a folder of this process, in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         key = id(spark.sparkContext)
         if key not in _own:
             _own[key] = "file://" + tempfile.mkdtemp(prefix="vecloom-")
@@ -56,9 +58,21 @@ def settled(df: DataFrame, name: str) -> DataFrame:
 def cleanup(spark: SparkSession) -> int:
     """Deletes the intermediate tables that this process has made so far, and says how many they were.
 
-    Results are lazy and read them, so this is for the caller, once the results are written.
+    All lazy results that still read them fail afterwards: this is for the end of a job, once everything is written.
+    `made()` within a job deletes only what that job made.
     """
     count = len(_made)
     while _made:
         delete(spark, _made.pop())
     return count
+
+
+@contextlib.contextmanager
+def made(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the intermediate tables that were made within it; results must be written by then."""
+    start = len(_made)
+    try:
+        yield
+    finally:
+        while len(_made) > start:
+            delete(spark, _made.pop())
