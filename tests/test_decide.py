@@ -170,16 +170,44 @@ def test_no_safe_zone_when_the_nearest_pair_differs(spark):
     assert (r["precision_t1"], r["no_safe_auto_merge_zone"]) == (0.0, True)
 
 
-def test_cutoff_and_percentiles_equal_brute_force(spark):
+@pytest.mark.parametrize("few", [100_000, 4])
+def test_cutoff_and_percentiles_equal_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(cal, "FEW", few)
     rng = np.random.default_rng(3)
-    for target in (0.0, 0.01, 0.3, 1.0):
+    for target in (0.0, 0.01, 0.3, 1.0) if few > 4 else (0.01,):
         d = np.round(rng.random(300) ** 2 * 1.9, 2)
         diff = (rng.random(300) < d / 2).astype(int)
-        pairs = spark.createDataFrame([(float(a), int(b)) for a, b in zip(d, diff, strict=True)], "d double, is_diff int")
-        hist = cal.histogram(pairs)
+        pairs = cal.listed(spark.createDataFrame([(float(a), int(b)) for a, b in zip(d, diff, strict=True)], "d double, is_diff int"))
+        hist = pairs.cut([cal.ROOT])[0]
         order = np.lexsort((diff, d))
         ok = np.cumsum(diff[order]) <= target * np.arange(1, 301)
-        assert cal.safe_cutoff(pairs, hist, target) == (d[order][ok].max() if ok.any() else 0.0)
+        assert cal.safe_cutoff(pairs, hist, target) == pytest.approx(d[order][ok].max() if ok.any() else 0.0, abs=1e-9)
         got = cal.percentiles(pairs, hist, {"a": (0, 95.0), "b": (1, 5.0), "c": (0, 100.0), "d": (1, 0.0)})
         want = [np.percentile(d[diff == f], p) for f, p in ((0, 95), (1, 5), (0, 100), (1, 0))]
         assert list(got.values()) == pytest.approx(want)
+
+
+def test_all_pairs_are_counted_where_they_are_made(spark, monkeypatch):
+    """Repeated vectors among others, in small blocks of pairs: the same figures as from a list of all pairs."""
+    monkeypatch.setattr(cal, "FEW", 10)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 4))
+    x[40:] = x[3]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    who = rng.integers(0, 4, 60)
+    r = cal.calibrate(vectors(spark, [(i, f"p{w}", v.tolist()) for i, (v, w) in enumerate(zip(x, who, strict=True))]), max_pairs=None).head()
+    i, j = np.triu_indices(60, 1)
+    d, diff = 1 - (x[i] * x[j]).sum(1), who[i] != who[j]
+    assert (r["n_same"], r["n_diff"]) == ((~diff).sum(), diff.sum())
+    assert (r["t1"], r["t2"], r["mean_same"], r["mean_diff"]) == pytest.approx((np.percentile(d[~diff], 95), np.percentile(d[diff], 5), d[~diff].mean(), d[diff].mean()), abs=1e-9)
+
+
+def test_drawn_pairs_are_pairs_and_repeatable(spark):
+    v = vectors(spark, [(i, f"p{i % 5}", at(i / 40)) for i in range(120)])
+    used = v.selectExpr("face_id", "vector", "xxhash64(identity) AS grp")
+    from vecloom.operators.pairs import drawn_pairs
+
+    one, two = (sorted(map(tuple, drawn_pairs(used, "grp", 500, s).collect())) for s in (1, 1))
+    assert one == two and len(one) == 500
+    assert abs(np.mean([f for _, f in one]) - 0.806) < 0.08 and sorted(map(tuple, drawn_pairs(used, "grp", 500, 2).collect())) != one
+    assert drawn_pairs(used, "grp", 10**6, 1).count() == 120 * 119 // 2

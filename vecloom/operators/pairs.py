@@ -135,15 +135,80 @@ def pair_histogram(vectors: DataFrame, group: str, digits: int) -> DataFrame:
     return out.groupBy("bucket", "is_diff").agg(F.sum("n").alias("n"))
 
 
-def all_pairs(vectors: DataFrame, group: str) -> DataFrame:
-    """a < b, d, is_diff of every unordered pair."""
+Span = tuple[float, float]
+
+
+def edges(span: Span, parts: int) -> np.ndarray:
+    """Borders of equal stretches of a span; they are the spans to look into next."""
+    out = span[0] + (span[1] - span[0]) * np.arange(parts + 1) / parts
+    out[-1] = span[1]
+    return out
+
+
+def _stretch(d: np.ndarray, border: np.ndarray) -> np.ndarray:
+    """Number of the stretch that holds each distance, by the borders as they are stored."""
+    parts = len(border) - 1
+    at = np.clip(((d - border[0]) * (parts / (border[-1] - border[0]))).astype(np.int64), 0, parts - 1)
+    at -= d < border[at]
+    at += (at < parts - 1) & (d >= border[np.minimum(at + 1, parts)])
+    return at
+
+
+def pair_counts(vectors: DataFrame, group: str, spans: list[Span], parts: int) -> DataFrame:
+    """span, part, is_diff, n, total: how many pairs, and the sum of their distances, in each stretch of some spans.
+
+    The pairs stay in the tasks: a piece of work returns at most two rows for each stretch.
+    """
+    borders = [edges(s, parts) for s in spans]
 
     def use(ids_a, ga, x, ids_b, gb, y):
         d = 1.0 - x @ y.T
         i, j = np.nonzero(_unordered(ids_a, ids_b))
-        yield {"a": np.minimum(ids_a[i], ids_b[j]), "b": np.maximum(ids_a[i], ids_b[j]), "d": d[i, j], "is_diff": (ga[i] != gb[j]).astype(np.int32)}
+        d, diff = d[i, j], ga[i] != gb[j]
+        for k, border in enumerate(borders):
+            m = np.flatnonzero((d >= border[0]) & (d < border[-1]))
+            key = _stretch(d[m], border) * 2 + diff[m]
+            n, total = np.bincount(key, minlength=2 * parts), np.bincount(key, weights=d[m], minlength=2 * parts)
+            u = np.flatnonzero(n)
+            yield {"span": np.full(len(u), k, dtype=np.int32), "part": (u >> 1).astype(np.int32), "is_diff": (u & 1).astype(np.int32), "n": n[u], "total": total[u]}
+
+    out = block_pairs(vectors, use, "span int, part int, is_diff int, n long, total double", group=group)
+    return out.groupBy("span", "part", "is_diff").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+
+def pairs_in(vectors: DataFrame, group: str, spans: list[Span]) -> DataFrame:
+    """span, d, is_diff of the pairs whose distance lies in one of some spans; for spans that are known to hold few."""
+
+    def use(ids_a, ga, x, ids_b, gb, y):
+        d = 1.0 - x @ y.T
+        free = _unordered(ids_a, ids_b)
+        for k, (low, high) in enumerate(spans):
+            i, j = np.nonzero(free & (d >= low) & (d < high))
+            yield {"span": np.full(len(i), k, dtype=np.int32), "d": d[i, j], "is_diff": (ga[i] != gb[j]).astype(np.int32)}
+
+    return block_pairs(vectors, use, "span int, d double, is_diff int", group=group)
+
+
+def drawn_pairs(vectors: DataFrame, group: str, count: int, seed: int) -> DataFrame:
+    """d, is_diff of `count` pairs drawn by a seeded hash of their ids; about twice as many leave the tasks."""
+    n = vectors.count()
+    share = min(1.0, 2.0 * count / max(1, n * (n - 1) // 2) + 1e-12)
+    limit = min(2**64 - 1, int(share * 2**64))
+
+    def mixed(h: np.ndarray) -> np.ndarray:
+        h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+        h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+        return h ^ (h >> np.uint64(33))
+
+    def use(ids_a, ga, x, ids_b, gb, y):
+        d = 1.0 - x @ y.T
+        lo, hi = (f(ids_a[:, None], ids_b[None, :]).view(np.uint64) for f in (np.minimum, np.maximum))
+        draw = mixed(mixed(lo + np.uint64(seed)) ^ hi)
+        i, j = np.nonzero(_unordered(ids_a, ids_b) & (draw <= np.uint64(limit)))
+        yield {"draw": draw[i, j].view(np.int64) ^ np.int64(-(2**63)), "a": lo[i, j].view(np.int64), "b": hi[i, j].view(np.int64), "d": d[i, j], "is_diff": (ga[i] != gb[j]).astype(np.int32)}
 
-    return block_pairs(vectors, use, "a long, b long, d double, is_diff int", group=group)
+    found = block_pairs(vectors, use, "draw long, a long, b long, d double, is_diff int", group=group)
+    return found.orderBy("draw", "a", "b").limit(count).select("d", "is_diff")
 
 
 def group_minima(vectors: DataFrame, group: str) -> DataFrame:
