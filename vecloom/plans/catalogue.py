@@ -205,7 +205,7 @@ def noise_reclaim_frozen(spark, d):
 @query
 def batch_tier_decision(spark, d):
     m = schema.labelled(spark, d)
-    return dec.batch_tier(m.where("label = 4 AND face_id % 7 = 0"), m).select("action", "target", rounded(F.col("dist")).alias("dist"))
+    return dec.batch_tier(m.where("label = 4"), m).select("action", "target", rounded(F.col("dist")).alias("dist"))
 
 
 @query
@@ -556,8 +556,10 @@ def assign_face(spark, d):
 
 @query
 def batch_apply(spark, d):
-    m = schema.labelled(spark, d).select("run_label", "face_id", "cluster_label", "vector")
-    batch = m.where("face_id < 5").select("run_label", (F.col("face_id") + 1_000_000).alias("face_id"), "vector")
+    """All vectors of one identity arrive once more, under ids of their own."""
+    known = schema.labelled(spark, d)
+    m = known.select("run_label", "face_id", "cluster_label", "vector")
+    batch = known.where("label = 4").select("run_label", (-1 - F.col("face_id")).alias("face_id"), "vector")
     decision = dec.batch_tier(batch, m)
     return inc.apply_batch(batch, m, decision).groupBy("cluster_label").agg(F.count(F.lit(1)).alias("n"))
 
@@ -573,19 +575,19 @@ def dbscan(spark, d):
 @query
 def dbscan_sweep(spark, d):
     p = schema.planted(spark, d)
-    s = km.best_of(dbs.sweep(p, (0.5, 0.6), (2, 4)), p, ("eps", "min_samples"))
+    s = km.best_of(dbs.sweep(p), p, ("eps", "min_samples"))
     return s.select("eps", "min_samples", "n_predicted_clusters", rounded(F.col("noise_fraction")).alias("noise_fraction"), rounded(F.col("ari")).alias("ari"), rounded(F.col("nmi")).alias("nmi"), rounded(F.col("purity")).alias("purity"), "best")
 
 
 @query
 def kmeans_best_of_seeds(spark, d):
-    return km.kmeans(schema.planted(spark, d), 10, n_init=5, max_iter=100)[0]
+    return km.kmeans(schema.planted(spark, d), 10)[0]
 
 
 @query
 def kmeans_sweep(spark, d):
     p = schema.planted(spark, d)
-    return km.best_of(km.sweep(p, (2, 4, 6), n_init=2, max_iter=50), p, ("k",))
+    return km.best_of(km.sweep(p), p, ("k",))
 
 
 @query
@@ -596,7 +598,7 @@ def hdbscan(spark, d):
 @query
 def hdbscan_sweep(spark, d):
     p = schema.planted(spark, d)
-    return km.best_of(hier.hdbscan_sweep(p, (3, 5), (1, 3)), p, ("min_cluster_size", "min_samples"))
+    return km.best_of(hier.hdbscan_sweep(p), p, ("min_cluster_size", "min_samples"))
 
 
 @query

@@ -81,6 +81,13 @@ def _sweep(configs: tuple[tuple[float, int], ...]) -> str:
     return f"WITH x AS ({rows}) SELECT * EXCLUDE (ord), ord = (SELECT ord FROM x ORDER BY ari DESC, ord LIMIT 1) AS best FROM x"
 
 
+def _all_models() -> str:
+    """Scores of DBSCAN over all vectors and over the even ones."""
+    even = P.replace("FROM embeddings)", "FROM embeddings WHERE vec_id % 2 = 0)")
+    one = lambda model, source: f"SELECT * FROM (WITH RECURSIVE {source}{_dbscan(0.6, 4)}, src AS (SELECT '{model}' AS model, identity, cluster_label FROM lab){SCORES} SELECT model, n, n_predicted_clusters, ari, nmi, purity, noise_fraction FROM s)"
+    return f"{one('arcface', P)} UNION ALL {one('facenet', even)}"
+
+
 ORACLES: dict[str, str] = {
     "emb_join_faces": f"WITH {R}, {FACES} SELECT face_id, f.identity, image_path, CAST(len(vector) AS INTEGER) AS dim FROM r JOIN f ON f.id = r.face_id",
     "cluster_members": f"WITH {CR}, {FACES} SELECT face_id, f.identity, image_path FROM cr JOIN f ON f.id = cr.face_id WHERE run_label = 'default' AND cluster_label = 3",
@@ -105,7 +112,7 @@ ORACLES: dict[str, str] = {
     "flow1_status_counts": f"WITH {C}{NEAR}, {FACES}, x AS ({DECIDE} FROM near n JOIN f ON f.id = representative_face_id WHERE rank = 1) SELECT status, count(*) AS n FROM x GROUP BY status",
     "centroid_rank_zones": f"WITH {C}{NEAR} SELECT face_id, CAST(rank AS INTEGER) AS rank, cluster_label, round(d, 6) + 0.0 AS distance, CASE WHEN d < 0.30 THEN 'auto_merge' WHEN d < 0.45 THEN 'ask_user' ELSE 'new_cluster' END AS zone FROM near",
     "noise_reclaim_frozen": f"WITH {C}{NEAR}, {FACES}, x AS ({DECIDE} FROM near n JOIN f ON f.id = representative_face_id WHERE rank = 1 AND face_id % 10 = 9) SELECT *, CASE status WHEN 'auto_merge' THEN 'auto_merged' WHEN 'ask_user' THEN 'suggestions' ELSE 'left_as_noise' END AS bucket FROM x",
-    "batch_tier_decision": f"WITH {C}, b AS (SELECT list(a ORDER BY pos) AS w FROM (SELECT pos, avg(v) AS a FROM (SELECT unnest(vector) AS v, generate_subscripts(vector, 1) AS pos FROM l WHERE label = 4 AND face_id % 7 = 0) GROUP BY pos)), x AS (SELECT cluster_label, 1 - list_inner_product(centroid, w) / sqrt(list_inner_product(w, w)) AS d FROM c, b ORDER BY d, cluster_label LIMIT 1) SELECT CASE WHEN d <= 0.18 THEN 'AUTO_MERGE' WHEN d <= 0.40 THEN 'USER_PROMPT' ELSE 'NEW_CLUSTER' END AS action, CASE WHEN d <= 0.40 THEN cluster_label END AS target, round(d, 6) + 0.0 AS dist FROM x",
+    "batch_tier_decision": f"WITH {C}, b AS (SELECT list(a ORDER BY pos) AS w FROM (SELECT pos, avg(v) AS a FROM (SELECT unnest(vector) AS v, generate_subscripts(vector, 1) AS pos FROM l WHERE label = 4) GROUP BY pos)), x AS (SELECT cluster_label, 1 - list_inner_product(centroid, w) / sqrt(list_inner_product(w, w)) AS d FROM c, b ORDER BY d, cluster_label LIMIT 1) SELECT CASE WHEN d <= 0.18 THEN 'AUTO_MERGE' WHEN d <= 0.40 THEN 'USER_PROMPT' ELSE 'NEW_CLUSTER' END AS action, CASE WHEN d <= 0.40 THEN cluster_label END AS target, round(d, 6) + 0.0 AS dist FROM x",
     "flow2_pairs": FLOW2 + " SELECT cluster_a, cluster_b, round(distance, 6) + 0.0 AS distance, round(centroid_distance, 6) + 0.0 AS centroid_distance, round(min_member_distance, 6) + 0.0 AS min_member_distance, distance < 0.30 AS auto_mergeable, rep_a_image_path, rep_b_image_path, rep_a_identity, rep_b_identity FROM x WHERE x.distance < 0.45",
     "flow2_dismissed": FLOW2 + " SELECT cluster_a, cluster_b, distance < 0.30 AS auto_mergeable FROM x WHERE distance < 0.45 AND cluster_a <> 0",
     "merge_clusters": f"WITH {C}, l2 AS (SELECT * REPLACE (CASE WHEN cluster_label = 5 THEN 2 ELSE cluster_label END AS cluster_label) FROM l){_cents('l2', 'c2')}, pick AS (SELECT * FROM c2 WHERE cluster_label = 2 UNION ALL SELECT * FROM c WHERE cluster_label NOT IN (2, 5)) SELECT cluster_label, n_members, n_members AS n_present, representative_face_id, round(centroid[1], 6) + 0.0 AS first FROM pick",
@@ -161,6 +168,7 @@ ORACLES: dict[str, str] = {
     "cluster_pass": f"WITH RECURSIVE {P}{_dbscan(0.6, 4)}, lv AS (SELECT lab.face_id, lab.cluster_label, p.vector FROM lab JOIN p USING (face_id)){_cents('lv', 'c')} SELECT cluster_label, n_members, representative_face_id FROM c",
     "first_images": f"WITH {FACES} SELECT id, identity, image_path FROM f ORDER BY identity, image_path LIMIT 25",
     "vectors_by_cluster": f"WITH {CR} SELECT cluster_label, CAST(count(*) AS INTEGER) AS n FROM cr GROUP BY 1",
-    "batch_apply": f"WITH {C}, b AS (SELECT list(a ORDER BY pos) AS w FROM (SELECT pos, avg(v) AS a FROM (SELECT unnest(vector) AS v, generate_subscripts(vector, 1) AS pos FROM l WHERE face_id < 5) GROUP BY pos)), x AS (SELECT cluster_label, 1 - list_inner_product(centroid, w) / sqrt(list_inner_product(w, w)) AS d FROM c, b ORDER BY d, cluster_label LIMIT 1), t AS (SELECT CASE WHEN d <= 0.40 THEN cluster_label ELSE (SELECT max(cluster_label) + 1 FROM l) END AS k FROM x), y AS (SELECT cluster_label FROM l UNION ALL SELECT k FROM t, range(0, (SELECT count(*) FROM l WHERE face_id < 5))) SELECT CAST(cluster_label AS INTEGER) AS cluster_label, count(*) AS n FROM y GROUP BY 1",
-    "dbscan_sweep": _sweep(((0.5, 2), (0.5, 4), (0.6, 2), (0.6, 4))),
+    "batch_apply": f"WITH {C}, b AS (SELECT list(a ORDER BY pos) AS w FROM (SELECT pos, avg(v) AS a FROM (SELECT unnest(vector) AS v, generate_subscripts(vector, 1) AS pos FROM l WHERE label = 4) GROUP BY pos)), x AS (SELECT cluster_label, 1 - list_inner_product(centroid, w) / sqrt(list_inner_product(w, w)) AS d FROM c, b ORDER BY d, cluster_label LIMIT 1), t AS (SELECT CASE WHEN d <= 0.40 THEN cluster_label ELSE (SELECT max(cluster_label) + 1 FROM l) END AS k FROM x), y AS (SELECT cluster_label FROM l UNION ALL SELECT k FROM t, range(0, (SELECT count(*) FROM l WHERE label = 4))) SELECT CAST(cluster_label AS INTEGER) AS cluster_label, count(*) AS n FROM y GROUP BY 1",
+    "cluster_all_models": _all_models(),
+    "dbscan_sweep": _sweep(tuple((e, m) for e in (0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0) for m in (1, 2, 3))),
 }
