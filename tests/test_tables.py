@@ -2,6 +2,7 @@
 
 import json
 import os
+import shutil
 
 import numpy as np
 import pytest
@@ -101,6 +102,77 @@ def test_manifest_overwrites_only_its_run(spark, tmp_path):
     assert {r["dst"] for r in sinks.manifest(m, "r", capital=True).collect()} == {"r/arcface/Noise/a__1.jpg", "r/arcface/Cluster_3/a__2.jpg"}
 
 
+def test_registry_document_reads_back(spark, tmp_path):
+    rows = [('a "b".jpg', 0, "a_0.jpg", 1, 2, 3, 4), ('a "b".jpg', 1, "a_1.jpg", 5, 6, 7, 8), ("z.jpg", 0, "z_0.jpg", 9, 9, 9, 9)]
+    boxes = spark.createDataFrame(rows, "filename string, box_index int, crop_filename string, x int, y int, width int, height int")
+    path = f"file://{tmp_path}/registry"
+    sinks.write_registry(boxes, path)
+    back = scan.registry(spark, path)
+    assert sorted(map(tuple, back.drop("total_faces_found").collect())) == rows
+    assert {r["filename"]: r["total_faces_found"] for r in back.collect()} == {'a "b".jpg': 2, "z.jpg": 1}
+    sinks.write_registry(boxes.where("false"), path)
+    assert scan.registry(spark, path).count() == 0
+
+
+def test_latency_document_reads_back(spark, tmp_path):
+    rows = [("a", 2, 1.5), ("b", 0, None)]
+    df = spark.createDataFrame(rows, "file string, faces_aligned int, latency_ms double")
+    path = f"file://{tmp_path}/latency"
+    sinks.write_latency(df, path)
+    assert sorted(map(tuple, scan.latency(spark, path).collect())) == rows
+    part = next(f for f in os.listdir(tmp_path / "latency") if f.startswith("part"))
+    with open(tmp_path / "latency" / part) as f:
+        assert json.load(f) == [{"file": "a", "faces_aligned": 2, "latency_ms": 1.5}, {"file": "b", "faces_aligned": 0, "latency_ms": None}]
+
+
+def test_result_document_reads_back(spark, tmp_path):
+    from vecloom.operators import report
+
+    faces = spark.createDataFrame([(1, "bob", "b.jpg", 0), (2, "Ann", "a.jpg", -1), (3, "bob", "c.jpg", 0)], "face_id long, identity string, image_path string, cluster_label int")
+    scored = spark.createDataFrame([(0, 0.5, 2, 0.25, 0.5, False), (1, 0.6, 2, 0.75, 0.5, True)], "ord int, eps double, min_samples int, ari double, nmi double, best boolean")
+    path = f"file://{tmp_path}/result"
+    sinks.write_document(sinks.result_document("dbscan", scored, report.per_identity(faces), faces), path)
+    r = scan.result_document(spark, path).head()
+    assert (r["algorithm"], r["pred_labels"]) == ("dbscan", [-1, 0, 0])  # Ann, then bob b, then bob c
+    assert r["best_params"] == {"ord": 1.0, "eps": 0.6, "min_samples": 2.0, "ari": 0.75, "nmi": 0.5} and len(r["all_results"]) == 2
+    assert tuple(r["per_identity"]["bob"]) == (2, 0, 1) and tuple(r["per_identity"]["Ann"]) == (1, 1, 0)
+    ids = faces.withColumnRenamed("face_id", "id").drop("cluster_label")
+    assert {x["id"]: x["cluster_label"] for x in report.zip_labels(ids, scan.result_document(spark, path)).collect()} == {1: 0, 2: -1, 3: 0}
+
+
+def test_matrix_parts_read_back(spark, tmp_path):
+    df = spark.createDataFrame([(i, [float(i), 0.5]) for i in range(5)], "row int, vector array<double>")
+    sinks.write_matrix(df, f"file://{tmp_path}/m")
+    assert sorted(map(tuple, spark.read.parquet(f"file://{tmp_path}/m").collect())) == [(i, [float(i), 0.5]) for i in range(5)]
+
+
+def test_chips_and_flat_names(spark, tmp_path):
+    for name in ("ann_1.jpg", "bob_2.png", "plain.txt"):
+        (tmp_path / name).write_bytes(b"x")
+    got = scan.chips(spark, f"file://{tmp_path}")
+    assert sorted(os.path.basename(r["image_path"]) for r in got.collect()) == ["ann_1.jpg", "bob_2.png"]
+
+
+def test_five_points_onto_the_template(spark):
+    """Landmarks that are a turned, scaled and shifted template are put back onto it exactly."""
+    angle, scale, shift = 0.3, 1.7, (20.0, -5.0)
+    turn = scale * np.array([[np.cos(angle), -np.sin(angle)], [np.sin(angle), np.cos(angle)]])
+    template = np.array(geometry.TEMPLATE)
+    points = (template @ turn.T + shift).tolist()
+    df = spark.createDataFrame([(points,), ([[1.0, 1.0]] * 5,), (None,)], "p array<array<double>>")
+    got = [r["m"] for r in df.select(geometry.similarity(F.col("p")).alias("m")).collect()]
+    m = np.array(got[0]).reshape(2, 3)
+    assert np.abs(np.array(points) @ m[:, :2].T + m[:, 2] - template).max() < 1e-9 and got[1:] == [None, None]
+
+
+def test_aligners_by_model(spark):
+    t = {r["model"]: (r["size"], r["alignment"], r["margin"]) for r in slots.input_specs(spark).collect()}
+    assert len(t) == 4 and t["arcface"][0] == 112 and t["siglip2"][2] == 0.4
+    images = spark.createDataFrame([("p", bytearray(b"abcdef"), [0.0, 0.0, 2.0, 1.0], [[0.0, 0.0]])], "path string, content binary, bbox array<float>, landmarks array<array<float>>")
+    out = slots.align(images, lambda: lambda raw, box, points: raw[: int(box[2])] + bytes(len(points)))
+    assert bytes(out.head()["crop"]) == b"ab\0"
+
+
 def test_length_check(spark):
     f = spark.createDataFrame([(1,), (2,)], "id long")
     ok = spark.createDataFrame([(1, 0), (2, 0)], "face_id long, cluster_label int")
@@ -170,6 +242,72 @@ def test_stream_equals_the_ordered_fold(spark, sf, tmp_path):
     assert store.read("decisions").count() == before
 
 
+class Failing(Store):
+    """Fails after a given number of writes, commits included."""
+
+    def __init__(self, spark, path, left):
+        super().__init__(spark, path)
+        self.left = left
+
+    def _count(self):
+        self.left -= 1
+        if not self.left:
+            raise OSError("lost")
+
+    def _put(self, *args, **kwargs):
+        out = super()._put(*args, **kwargs)
+        self._count()
+        return out
+
+    def commit(self, *args):
+        super().commit(*args)
+        self._count()
+
+
+def test_a_batch_delivered_again_after_any_failure_counts_once(spark, sf, tmp_path):
+    from vecloom.operators import centroids as cen
+    from vecloom.streaming import arrivals as arr
+
+    m = schema.labelled(spark, sf).where("face_id < 120").cache()
+    c = cen.centroids(m)
+    queue = m.where("cluster_label = -1").selectExpr("run_label", "face_id AS seq", "face_id + 1000 AS face_id", "vector")
+    batches = [queue.where("seq < 60"), queue.where("seq >= 60")]
+    tables = ("members", "centroids", "pending_reviews", "decisions")
+
+    def state(store):
+        return {t: sorted(str([round(x, 9) if isinstance(x, float) else x for x in r if not isinstance(x, list)]) for r in store.read(t).collect()) for t in tables}
+
+    plain = Store(spark, f"file://{tmp_path}/plain")
+    arr.prepare(plain, m, c)
+    arr.apply_batch(plain, batches[0], 0)
+    for writes in range(1, 7):
+        shutil.copytree(tmp_path / "plain", tmp_path / f"fails{writes}")
+    arr.apply_batch(plain, batches[1], 1)
+    want = state(plain)
+    assert len(want["members"]) > m.count() and {e for e in (r[0] for r in plain.read("decisions").select("epoch").collect())} == {0, 1}
+    for writes in range(1, 7):
+        store = Failing(spark, f"file://{tmp_path}/fails{writes}", writes)
+        with pytest.raises(OSError):
+            arr.apply_batch(store, batches[1], 1)
+        again = Store(spark, store.path)  # a new driver
+        if writes < 6:
+            assert {e for e in (r[0] for r in again.read("decisions").select("epoch").collect())} == {0}
+        arr.apply_batch(again, batches[1], 1)
+        assert state(again) == want
+
+
+def test_appending_writes_only_what_is_new(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/appended")
+    for i in range(3):
+        s.append("t", spark.createDataFrame([(i,)], "x int"))
+    assert [kind for _, kind in s._versions("t")] == ["v", "a", "a"]
+    assert sorted(r[0] for r in s.read("t").collect()) == [0, 1, 2] and s.read("t", 1).count() == 2
+    assert spark.read.parquet(f"{s.path}/t/a2").count() == 1
+    s.compact("t")
+    s.append("t", spark.createDataFrame([(9,)], "x int"))
+    assert sorted(r[0] for r in s.read("t").collect()) == [0, 1, 2, 9]
+
+
 def test_intermediate_tables_go_when_told(spark):
     from vecloom.sources import scratch
 

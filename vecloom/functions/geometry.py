@@ -70,6 +70,27 @@ def eye_alignment(left: Column, right: Column, eye_distance: float = 35.0, to: t
     return F.struct(F.degrees(F.atan2(dy, dx)).alias("angle"), scale.alias("scale"), F.when(distance > 0, matrix).alias("matrix"))
 
 
+#: Where eyes, nose and corners of the mouth lie in an aligned crop of 112 x 112 pixels.
+TEMPLATE = ((38.2946, 51.6963), (73.5318, 51.5014), (56.0252, 71.7366), (41.5493, 92.3655), (70.7299, 92.2041))
+
+
+def similarity(points: Column, template: tuple[tuple[float, float], ...] = TEMPLATE) -> Column:
+    """The 2x3 matrix, by rows, that turns, scales and shifts landmarks onto a template with the least squared error.
+
+    Null where there are fewer landmarks than the template has, or where they coincide.
+    """
+    n = len(template)
+    tx, ty = (sum(p[i] for p in template) / n for i in (0, 1))
+    total = lambda terms: sum(terms, F.lit(0.0))
+    x, y = ([F.get(F.get(points, F.lit(k)), F.lit(i)) for k in range(n)] for i in (0, 1))
+    cx, cy = total(x) / n, total(y) / n
+    spread = total((x[k] - cx) * (x[k] - cx) + (y[k] - cy) * (y[k] - cy) for k in range(n))
+    a = total((x[k] - cx) * (template[k][0] - tx) + (y[k] - cy) * (template[k][1] - ty) for k in range(n)) / spread
+    b = total((x[k] - cx) * (template[k][1] - ty) - (y[k] - cy) * (template[k][0] - tx) for k in range(n)) / spread
+    matrix = F.array(a, -b, tx - a * cx + b * cy, b, a, ty - b * cx - a * cy)
+    return F.when(spread > 0, matrix)
+
+
 def usable_eyes(left: Column, right: Column, least: float) -> Column:
     """Whether the eyes are at least `least` apart (0: not at one point)."""
     d = F.hypot(right[0] - left[0], right[1] - left[1])

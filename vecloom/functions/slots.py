@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Extractor = Callable[[bytes], np.ndarray]
@@ -14,6 +14,16 @@ Detector = Callable[[bytes], list[dict]]
 #: name -> a function without arguments that loads a model and returns its extractor; called once per worker.
 EXTRACTORS: dict[str, Callable[[], Extractor]] = {}
 
+#: Model, side of its input in pixels, how a face is brought to it, share of the box added on each side.
+INPUT_SPECS = (
+    ("arcface", 112, "insightface_norm_crop", None),
+    ("dlib_resnet", 150, "dlib_chip", None),
+    ("facenet", 160, "bbox_margin_crop", 0.25),
+    ("siglip2", 224, "bbox_margin_crop", 0.4),
+)
+
+Aligner = Callable[[bytes, list, list], bytes]
+
 DETECTION = "path string, face_index int, bbox array<float>, landmarks array<array<float>>, det_score float"
 
 
@@ -37,6 +47,23 @@ def extract(crops: DataFrame, load: Callable[[], Extractor], column: str = "cont
     return crops.withColumn("vector", udf(F.col(column)))
 
 
+def input_specs(spark: SparkSession) -> DataFrame:
+    """model, size, alignment, margin: which alignment feeds which model.  Join it to say what crops a run needs."""
+    return spark.createDataFrame(list(INPUT_SPECS), "model string, size int, alignment string, margin double")
+
+
+def align(faces: DataFrame, load: Callable[[], Aligner]) -> DataFrame:
+    """faces(content, bbox, landmarks, ...) with `crop`: `load` runs once per worker, its aligner on every face."""
+
+    @F.pandas_udf("binary")
+    def udf(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        aligner = load()
+        for content, boxes, points in batches:
+            yield pd.Series([aligner(c, b, p) for c, b, p in zip(content, boxes, points, strict=True)])
+
+    return faces.withColumn("crop", udf("content", "bbox", "landmarks"))
+
+
 def detect(images: DataFrame, load: Callable[[], Detector]) -> DataFrame:
     """DETECTION rows of images(path, content): one image gives any number of rows."""
 

@@ -73,6 +73,11 @@ def result_document(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(kinds).json(path, multiLine=True).withColumn("all_results", F.coalesce("all_results", F.array()))
 
 
+def latency(spark: SparkSession, path: str) -> DataFrame:
+    """file, faces_aligned, latency_ms of a latency document."""
+    return spark.read.schema("file STRING, faces_aligned INT, latency_ms DOUBLE").json(path, multiLine=True)
+
+
 def registry(spark: SparkSession, path: str) -> DataFrame:
     """filename, total_faces_found, box_index, crop_filename, x, y, width, height of a detection registry document."""
     doc = spark.read.text(path, wholetext=True).select(F.from_json("value", schema.REGISTRY).alias("m"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecloom.operators.ranks import numbered
+from vecloom.sources.scratch import delete
 
 
 def upsert(table: DataFrame, rows: DataFrame, keys: tuple[str, ...], keep_old: tuple[str, ...] = (), order: str | None = None) -> DataFrame:
@@ -72,40 +73,82 @@ def delete_centroids(cents: DataFrame, run: str, label: int | None = None) -> Da
 
 
 class Store:
-    """Numbered versions of tables under one path; the last complete one counts."""
+    """Numbered versions of tables under one path.
+
+    A version is a whole table or an addition to the version before, so appending writes only what is new.  Without a
+    commit the last complete version of a table counts; commit() names the versions of several tables that count
+    together, by one write, and versions above them are the leavings of a failed attempt.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _versions(self, name: str) -> list[int]:
+    def _versions(self, name: str) -> list[tuple[int, str]]:
+        """(version, 'v' for a whole table or 'a' for an addition), complete ones only."""
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         if not fs.exists(p):
             return []
         found = [s.getPath() for s in fs.listStatus(p)]
-        return sorted(int(q.getName()[1:]) for q in found if q.getName()[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(q, "_SUCCESS")))
+        return sorted((int(q.getName()[1:]), q.getName()[0]) for q in found if q.getName()[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(q, "_SUCCESS")))
 
     def create(self, name: str, schema: str) -> None:
         """An empty first version, unless there is one."""
         if not self._versions(name):
             self.write(name, self.spark.createDataFrame([], schema))
 
+    def version(self, name: str) -> int:
+        """The version that counts; -1 without any."""
+        named = self.committed()[1]
+        return named[name] if name in named else max([v for v, _ in self._versions(name)], default=-1)
+
     def read(self, name: str, version: int | None = None) -> DataFrame:
-        known = self._versions(name)
+        upto = self.version(name) if version is None else version
+        known = [(v, kind) for v, kind in self._versions(name) if v <= upto]
         if not known:
             raise FileNotFoundError(f"{self.path}/{name} has no version")
-        return self.spark.read.parquet(f"{self.path}/{name}/v{version if version is not None else known[-1]}")
+        whole = max([i for i, (_, kind) in enumerate(known) if kind == "v"], default=0)
+        paths = [f"{self.path}/{name}/{kind}{v}" for v, kind in known[whole:]]
+        return self.spark.read.schema(self.spark.read.parquet(paths[0]).schema).parquet(*paths)
 
     def write(self, name: str, df: DataFrame, *partition_by: str) -> int:
         """Adds a version; readers of older ones are not disturbed."""
-        version = ([-1, *self._versions(name)])[-1] + 1
-        w = df.write.partitionBy(*partition_by) if partition_by else df.write
-        w.parquet(f"{self.path}/{name}/v{version}")
-        return version
+        return self._put(name, df, "v", partition_by)
 
     def append(self, name: str, df: DataFrame) -> int:
-        return self.write(name, self.read(name).unionByName(df) if self._versions(name) else df)
+        """A version that adds rows to the one before; only these rows are written."""
+        return self._put(name, df, "a" if self.version(name) >= 0 else "v")
+
+    def compact(self, name: str) -> int:
+        """The table as one whole version again: for now and then, since every addition is a folder to list."""
+        return self.write(name, self.read(name))
+
+    def _put(self, name: str, df: DataFrame, kind: str, partition_by: tuple[str, ...] = ()) -> int:
+        version = self.version(name) + 1
+        self._forget(name, version)
+        w = df.write.mode("overwrite")
+        (w.partitionBy(*partition_by) if partition_by else w).parquet(f"{self.path}/{name}/{kind}{version}")
+        return version
+
+    def _forget(self, name: str, version: int) -> None:
+        """Deletes what a failed attempt left at a version that is about to be written."""
+        for v, kind in self._versions(name):
+            if v >= version:
+                delete(self.spark, f"{self.path}/{name}/{kind}{v}")
+
+    def commit(self, epoch: int, versions: dict[str, int]) -> None:
+        """From now on these versions count, all at once."""
+        row = self.spark.createDataFrame([(epoch, versions)], "epoch long, versions map<string,int>")
+        row.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/v{epoch + 1}")
+
+    def committed(self) -> tuple[int, dict[str, int]]:
+        """Epoch and versions of the last commit; -1 and none without any."""
+        known = self._versions("commits")
+        if not known:
+            return -1, {}
+        r = self.spark.read.parquet(f"{self.path}/commits/v{known[-1][0]}").head()
+        return r["epoch"], dict(r["versions"])
 
     def truncate(self, name: str) -> int:
         return self.write(name, self.read(name).limit(0))

@@ -19,32 +19,43 @@ def arrivals(spark: SparkSession, path: str, files_per_trigger: int = 1) -> Data
 
 
 def apply_batch(store: Store, batch: DataFrame, epoch: int, t: Thresholds = Thresholds()) -> None:
-    """Decides one micro-batch and writes decisions, members, centroids and pending reviews.
+    """Decides one micro-batch and publishes decisions, members, centroids and pending reviews together.
 
-    The epoch is the version of the decisions table: a batch that is delivered again after a failure overwrites
-    nothing and is skipped once its decisions are complete.
+    A commit, written last, names the new versions.  A batch that is delivered again after a failure starts from the
+    last commit: what the failed attempt wrote is above it, counts for nothing and is written over.  A batch whose epoch
+    is committed is skipped.
     """
-    done = store.read("decisions")
-    if done.where(F.col("epoch") == epoch).head(1):
+    last, versions = store.committed()
+    if epoch <= last:
         return
     members, cents = store.read("members"), store.read("centroids")
     out = sequential(batch, members, cents, t, grow=True).withColumn("epoch", F.lit(epoch).cast("long"))
-    store.write("decided", out)
-    out = store.read("decided")
+    decided = store.write("decided", out)
+    out = store.read("decided", decided)
     taken = out.where(F.col("status") != "ask_user")
-    last = taken.groupBy("run_label", "cluster_label").agg(F.max_by(F.struct("centroid", "n_members", "representative_face_id"), "seq").alias("s")).select("run_label", "cluster_label", "s.*")
-    store.write("centroids", upsert(cents, last, ("run_label", "cluster_label")))
+    newest = taken.groupBy("run_label", "cluster_label").agg(F.max_by(F.struct("centroid", "n_members", "representative_face_id"), "seq").alias("s")).select("run_label", "cluster_label", "s.*")
     joined = batch.join(taken.select("run_label", "face_id", "cluster_label"), ["run_label", "face_id"])
-    store.append("members", joined.select("run_label", "face_id", "cluster_label", "vector"))
-    store.append("pending_reviews", out.where(F.col("status") == "ask_user").select("run_label", "seq", "face_id", "cluster_label", "distance"))
-    store.append("decisions", out.select("epoch", "run_label", "seq", "face_id", "status", "cluster_label", "distance"))
+    versions |= {
+        "decided": decided,
+        "centroids": store.write("centroids", upsert(cents, newest, ("run_label", "cluster_label"))),
+        "members": store.append("members", joined.select("run_label", "face_id", "cluster_label", "vector")),
+        "pending_reviews": store.append("pending_reviews", out.where(F.col("status") == "ask_user").select("run_label", "seq", "face_id", "cluster_label", "distance")),
+        "decisions": store.append("decisions", out.select("epoch", "run_label", "seq", "face_id", "status", "cluster_label", "distance")),
+    }
+    store.commit(epoch, versions)
 
 
 def prepare(store: Store, members: DataFrame, cents: DataFrame) -> None:
-    store.write("members", members.select("run_label", "face_id", "cluster_label", "vector"))
-    store.write("centroids", cents.select("run_label", "cluster_label", "centroid", "n_members", "representative_face_id"))
+    """First versions of the tables, committed as epoch -1; a store that has them is left as it is."""
+    if store.committed()[1]:
+        return
+    versions = {
+        "members": store.write("members", members.select("run_label", "face_id", "cluster_label", "vector")),
+        "centroids": store.write("centroids", cents.select("run_label", "cluster_label", "centroid", "n_members", "representative_face_id")),
+    }
     store.create("pending_reviews", "run_label string, seq long, face_id long, cluster_label int, distance double")
     store.create("decisions", "epoch long, run_label string, seq long, face_id long, status string, cluster_label int, distance double")
+    store.commit(-1, {**versions, "pending_reviews": 0, "decisions": 0, "decided": -1})
 
 
 def start(stream: DataFrame, store: Store, checkpoint: str, t: Thresholds = Thresholds(), available_now: bool = False) -> StreamingQuery:
