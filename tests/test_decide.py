@@ -152,6 +152,31 @@ def test_label_after_zero(spark):
     assert cen.next_label(df).head()[0] == 1 and cen.next_label(df.where("cluster_label = -1")).head()[0] == 0
 
 
+def test_suspicious_pairs_equal_brute_force(spark):
+    """Clusters close by centroid only, by members only, and one whose members are all capped away into noise."""
+    from vecloom.operators.pairs import minima_of
+
+    rng = np.random.default_rng(8)
+    rows = [(i, int(k), v.tolist()) for i, (k, v) in enumerate((i % 12, rng.normal(size=3) * 0.5 + np.eye(3)[i % 3] * (1 + i % 4)) for i in range(240))]
+    rows = [(i, k, (np.array(v) / np.linalg.norm(v)).tolist()) for i, k, v in rows]
+    m = spark.createDataFrame(rows, "face_id long, cluster_label int, vector array<double>").selectExpr("'r' AS run_label", "*")
+    c = cen.centroids(m)
+    faces = m.selectExpr("face_id AS id", "'p' AS image_path", "'w' AS identity")
+    got = {(r["cluster_a"], r["cluster_b"]): (r["centroid_distance"], r["min_member_distance"]) for r in dec.suspicious_pairs(m, c, faces, cap=None).collect()}
+    x = {k: np.array([v for _, l, v in rows if l == k]) for k in range(12)}
+    mean = {k: v.mean(0) / np.linalg.norm(v.mean(0)) for k, v in x.items()}
+    want = {}
+    for a in range(12):
+        for b in range(a + 1, 12):
+            d = (1 - mean[a] @ mean[b], (1 - x[a] @ x[b].T).min())
+            if min(d) < 0.45:
+                want[a, b] = pytest.approx(d, abs=1e-9)
+    assert got == want and len(want) < 66
+    pairs = spark.createDataFrame([(0, 1), (2, 7)], "ga long, gb long")
+    few = {(r["ga"], r["gb"]): r["d"] for r in minima_of(pairs, m, "cluster_label", rows=6).collect()}
+    assert few == {(a, b): pytest.approx((1 - x[a] @ x[b].T).min()) for a, b in ((0, 1), (2, 7))}
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "face_id long, identity string, vector array<double>")
 

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from vecloom.functions import vec
 from vecloom.operators.centroids import centroids, mean_vector, nearest_centroid, spreads
-from vecloom.operators.pairs import group_minima
+from vecloom.operators.pairs import group_minima, minima_of, pairs_within
 from vecloom.schema import NOISE
+from vecloom.sources.scratch import settled
 
 
 @dataclass(frozen=True)
@@ -85,17 +86,24 @@ def capped_members(members: DataFrame, cap: int | None = MEMBER_CAP, seed: int =
 
 
 def suspicious_pairs(members: DataFrame, cents: DataFrame, faces: DataFrame, t: Thresholds = Thresholds(), cap: int | None = MEMBER_CAP, seed: int = MEMBER_SEED) -> DataFrame:
-    """Pairs of clusters whose centroids or nearest members are closer than t2, closest first; 10 fields."""
+    """Pairs of clusters whose centroids or nearest members are closer than t2, closest first; 10 fields.
+
+    Only such pairs leave the tasks: blocks of centroids meet, and blocks of members, and no list of all pairs is made.
+    """
     paths = faces.select(F.col("id").alias("representative_face_id"), F.col("image_path").alias("path"), F.col("identity").alias("who"))
-    c = cents.join(paths, "representative_face_id").select("cluster_label", "centroid", "path", "who")
+    c = settled(cents.join(paths, "representative_face_id").select("cluster_label", vec.l2_normalize(F.col("centroid")).alias("centroid"), "path", "who"), "suspects")
+    real = settled(capped_members(members.where(F.col("cluster_label") != NOISE), cap, seed).select("face_id", "vector", "cluster_label"), "capped")
+    # Pairs that are close by centroid, and pairs that are close by members; the latter bring their distance.
+    close = pairs_within(c.select(F.col("cluster_label").cast("long").alias("face_id"), F.col("centroid").alias("vector")), t.t2, euclidean=False).select(F.col("a").alias("ga"), F.col("b").alias("gb"))
+    near = settled(group_minima(real, "cluster_label", t.t2), "near-members")
+    other = minima_of(close.join(near, ["ga", "gb"], "left_anti"), real, "cluster_label")
+    alone = close.join(near, ["ga", "gb"], "left_anti").join(other, ["ga", "gb"], "left").select("ga", "gb", "d")  # without members to compare
+    found = near.unionByName(alone).select(F.col("ga").cast("int").alias("cluster_label_a"), F.col("gb").cast("int").alias("cluster_label_b"), F.col("d").alias("min_member_distance"))
     a = c.select(*[F.col(x).alias(f"{x}_a") for x in c.columns])
     b = c.select(*[F.col(x).alias(f"{x}_b") for x in c.columns])
-    pairs = a.join(b, F.col("cluster_label_a") < F.col("cluster_label_b"))
-    pairs = pairs.withColumn("centroid_distance", vec.cosine_distance(F.col("centroid_a"), F.col("centroid_b")))
-    real = capped_members(members.where(F.col("cluster_label") != NOISE), cap, seed)
-    near = group_minima(real.select("face_id", "vector", "cluster_label"), "cluster_label").select(F.col("ga").cast("int").alias("cluster_label_a"), F.col("gb").cast("int").alias("cluster_label_b"), F.col("d").alias("min_member_distance"))
+    pairs = found.join(a, "cluster_label_a").join(b, "cluster_label_b").withColumn("centroid_distance", vec.cosine_distance(F.col("centroid_a"), F.col("centroid_b")))
     best = F.least("centroid_distance", "min_member_distance")
-    out = pairs.join(near, ["cluster_label_a", "cluster_label_b"], "left").withColumn("distance", best).where(F.col("distance") < t.t2)
+    out = pairs.withColumn("distance", best).where(F.col("distance") < t.t2)
     return out.select(
         F.col("cluster_label_a").alias("cluster_a"),
         F.col("cluster_label_b").alias("cluster_b"),

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecloom.sources.scratch import settled
+
 BLOCK_ROWS = 2048
 
 
@@ -211,8 +213,8 @@ def drawn_pairs(vectors: DataFrame, group: str, count: int, seed: int) -> DataFr
     return found.orderBy("draw", "a", "b").limit(count).select("d", "is_diff")
 
 
-def group_minima(vectors: DataFrame, group: str) -> DataFrame:
-    """ga < gb, d: the smallest cosine distance between members of two groups."""
+def group_minima(vectors: DataFrame, group: str, limit: float = np.inf) -> DataFrame:
+    """ga < gb, d: the smallest cosine distance between members of two groups, where it is below a limit."""
 
     def use(_ia, ga, x, _ib, gb, y):
         d = 1.0 - x @ y.T
@@ -220,13 +222,34 @@ def group_minima(vectors: DataFrame, group: str) -> DataFrame:
         ub, sb = np.unique(gb, return_inverse=True)
         best = np.full((len(ua), len(ub)), np.inf)
         np.minimum.at(best, (sa[:, None], sb[None, :]), d)
-        i, j = np.nonzero(ua[:, None] != ub[None, :])
+        i, j = np.nonzero((ua[:, None] != ub[None, :]) & (best < limit))
         yield {"ga": np.minimum(ua[i], ub[j]), "gb": np.maximum(ua[i], ub[j]), "d": best[i, j]}
 
     out = block_pairs(vectors, use, "ga long, gb long, d double", group=group)
     return out.groupBy("ga", "gb").agg(F.min("d").alias("d"))
 
 
+def minima_of(pairs: DataFrame, vectors: DataFrame, group: str, rows: int = BLOCK_ROWS) -> DataFrame:
+    """ga, gb, d: the smallest cosine distance between members, for the groups that pairs(ga, gb) names only.
+
+    Groups are packed into blocks of their own, so a pair of large groups is many rows of work.
+    """
+    sizes = vectors.groupBy(F.col(group).cast("long").alias("group")).agg(F.ceil(F.count(F.lit(1)) / rows).alias("pieces"))
+    dealt = vectors.select(F.col(group).cast("long").alias("group"), "face_id", F.col("vector").alias("v")).join(sizes, "group").withColumn("piece", F.pmod(F.xxhash64("face_id"), "pieces"))
+    packed = settled(dealt.groupBy("group", "piece").agg(F.flatten(F.collect_list("v")).alias("data"), F.count(F.lit(1)).cast("int").alias("n")), "groups")
+    a, b = (packed.select(F.col("group").alias(g), F.col("data").alias(f"data_{g}"), F.col("n").alias(f"n_{g}")) for g in ("ga", "gb"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best = []
+            for k in range(batch.num_rows):
+                x, y = (batch.column(f"data_{g}")[k].values.to_numpy().reshape(batch.column(f"n_{g}")[k].as_py(), -1) for g in ("ga", "gb"))
+                best.append(float((1.0 - x @ y.T).min()))
+            yield pa.RecordBatch.from_arrays([batch.column("ga"), batch.column("gb"), pa.array(best, type=pa.float64())], names=["ga", "gb", "d"])
+
+    return pairs.join(a, "ga").join(b, "gb").mapInArrow(run, "ga long, gb long, d double").groupBy("ga", "gb").agg(F.min("d").alias("d"))
+
+
 def group_sums(vectors: DataFrame, group: str) -> DataFrame:
     """face_id, grp, total, n: for every vector the sum of euclidean distances to the members of each group, itself out."""
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecloom import schema
-from vecloom.functions import geometry, text, vec
+from vecloom.functions import geometry, slots, text, vec
 from vecloom.functions.vec import rounded
 from vecloom.operators import calibrate as cal
 from vecloom.operators import centroids as cen
@@ -471,6 +471,25 @@ def eye_alignment_matrix(spark, d):
     return m.select("face_id", "usable", rounded(F.col("m.angle")).alias("angle"), rounded(F.col("m.scale")).alias("scale"), *[rounded(F.col("m.matrix")[i]).alias(f"m{i}") for i in range(6)])
 
 
+@query
+def landmark_similarity(spark, d):
+    """The matrix that puts five landmarks onto the template of a crop."""
+    v = F.col("face_id")
+    e = schema.table(spark, d, "embeddings").select(F.col("vec_id").alias("face_id"))
+    points = F.array(*[F.array((20 + 30 * (k % 2) + v % (5 + k)).cast("double"), (30 + 18 * (k // 2) + v % (3 + 2 * k)).cast("double")) for k in range(5)])
+    m = e.select("face_id", geometry.similarity(points).alias("m"))
+    return m.select("face_id", *[rounded(F.col("m")[i]).alias(f"m{i}") for i in range(6)])
+
+
+@query
+def model_inputs(spark, d):
+    """Crops that each model needs of each alignment, for the detections at hand."""
+    specs = slots.input_specs(spark)
+    models = F.array(*[F.lit(m) for m, *_ in slots.INPUT_SPECS])
+    det = schema.detections(spark, d).withColumn("model", F.get(models, (F.col("face_id") % 4).cast("int")))
+    return det.join(specs, "model").groupBy("model", "alignment", "size").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def filename_identity(spark, d):
     f = schema.faces(spark, d)
@@ -654,7 +673,8 @@ def first_images(spark, d):
 
 @query
 def vectors_by_cluster(spark, d):
-    return passes.vectors_by_cluster(schema.labelled(spark, d)).select("cluster_label", F.size("vectors").alias("n"))
+    lists = passes.vectors_by_cluster(schema.labelled(spark, d))
+    return lists.groupBy("cluster_label").agg(F.sum(F.size("vectors")).cast("int").alias("n"))
 
 
 @query

@@ -81,6 +81,16 @@ def _sweep(configs: tuple[tuple[float, int], ...]) -> str:
     return f"WITH x AS ({rows}) SELECT * EXCLUDE (ord), ord = (SELECT ord FROM x ORDER BY ari DESC, ord LIMIT 1) AS best FROM x"
 
 
+def _similarity() -> str:
+    """Least squares by sums over the five points."""
+    template = "(0, 38.2946, 51.6963), (1, 73.5318, 51.5014), (2, 56.0252, 71.7366), (3, 41.5493, 92.3655), (4, 70.7299, 92.2041)"
+    return f"""WITH t(k, u, w) AS (SELECT k, u::DOUBLE, w::DOUBLE FROM (VALUES {template}) x(k, u, w)),
+q AS (SELECT vec_id AS face_id, CAST(20 + 30 * (k % 2) + vec_id % (5 + k) AS DOUBLE) AS x, CAST(30 + 18 * (k // 2) + vec_id % (3 + 2 * k) AS DOUBLE) AS y, u, w FROM embeddings, t),
+c AS (SELECT face_id, avg(x) AS cx, avg(y) AS cy, avg(u) AS cu, avg(w) AS cw FROM q GROUP BY face_id),
+s AS (SELECT face_id, any_value(cx) AS cx, any_value(cy) AS cy, any_value(cu) AS cu, any_value(cw) AS cw, sum((x - cx) * (u - cu) + (y - cy) * (w - cw)) / sum((x - cx) ** 2 + (y - cy) ** 2) AS a, sum((x - cx) * (w - cw) - (y - cy) * (u - cu)) / sum((x - cx) ** 2 + (y - cy) ** 2) AS b FROM q JOIN c USING (face_id) GROUP BY face_id)
+SELECT face_id, round(a, 6) + 0.0 AS m0, round(-b, 6) + 0.0 AS m1, round(cu - a * cx + b * cy, 6) + 0.0 AS m2, round(b, 6) + 0.0 AS m3, round(a, 6) + 0.0 AS m4, round(cw - b * cx - a * cy, 6) + 0.0 AS m5 FROM s"""
+
+
 def _all_models() -> str:
     """Scores of DBSCAN over all vectors and over the even ones."""
     even = P.replace("FROM embeddings)", "FROM embeddings WHERE vec_id % 2 = 0)")
@@ -170,5 +180,8 @@ ORACLES: dict[str, str] = {
     "vectors_by_cluster": f"WITH {CR} SELECT cluster_label, CAST(count(*) AS INTEGER) AS n FROM cr GROUP BY 1",
     "batch_apply": f"WITH {C}, b AS (SELECT list(a ORDER BY pos) AS w FROM (SELECT pos, avg(v) AS a FROM (SELECT unnest(vector) AS v, generate_subscripts(vector, 1) AS pos FROM l WHERE label = 4) GROUP BY pos)), x AS (SELECT cluster_label, 1 - list_inner_product(centroid, w) / sqrt(list_inner_product(w, w)) AS d FROM c, b ORDER BY d, cluster_label LIMIT 1), t AS (SELECT CASE WHEN d <= 0.40 THEN cluster_label ELSE (SELECT max(cluster_label) + 1 FROM l) END AS k FROM x), y AS (SELECT cluster_label FROM l UNION ALL SELECT k FROM t, range(0, (SELECT count(*) FROM l WHERE label = 4))) SELECT CAST(cluster_label AS INTEGER) AS cluster_label, count(*) AS n FROM y GROUP BY 1",
     "cluster_all_models": _all_models(),
+    "landmark_similarity": _similarity(),
+    "model_inputs": f"""WITH {DET}, m(i, model, size, alignment) AS (VALUES (0, 'arcface', 112, 'insightface_norm_crop'), (1, 'dlib_resnet', 150, 'dlib_chip'), (2, 'facenet', 160, 'bbox_margin_crop'), (3, 'siglip2', 224, 'bbox_margin_crop'))
+SELECT model, alignment, size, count(*) AS n FROM det JOIN m ON i = face_id % 4 GROUP BY ALL""",
     "dbscan_sweep": _sweep(tuple((e, m) for e in (0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0) for m in (1, 2, 3))),
 }
