@@ -635,6 +635,142 @@ def test_blocks_out_of_reach_hold_no_candidates():
     assert met.sum() < fit.need and all((np.abs(far - y[i]) <= r[i]).sum(1).max() < fit.need for i in range(5))
 
 
+def test_sharding_equals_a_plain_deal(spark):
+    """The same draws and hashes, dealt out by plain lists."""
+    rows = [(i % 90, f"text {i % 7}") for i in range(200)] + [(None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    n, shards, seed = int(spark.conf.get("spark.sql.shuffle.partitions")), 5, 11
+    keyed = df.selectExpr("doc_id", "octet_length(coalesce(text, '')) + 1L AS size", "crc32(coalesce(text, '')) AS text_crc32")
+    hashed = keyed.selectExpr("*", *[f"xxhash64('{x}/{seed}', doc_id, text_crc32, size) AS {x}" for x in ("block", "local", "final")]).collect()
+    key = lambda r: ((r["doc_id"] is not None, r["doc_id"] or 0), r["text_crc32"], r["size"])
+    blocks = {}
+    for r in hashed:
+        blocks.setdefault(r["block"] % n, []).append(r)
+    rng = np.random.default_rng(seed)
+    extra = set(rng.permutation(shards)[: len(rows) % shards].tolist())
+    matrix = sharding.communication_matrix(rng, [len(blocks[b]) for b in sorted(blocks)], [len(rows) // shards + (j in extra) for j in range(shards)])
+    got = [[] for _ in range(shards)]
+    for b, share in zip(sorted(blocks), matrix, strict=True):
+        deck = sorted(blocks[b], key=lambda r: (r["local"], key(r)))
+        for j, k in enumerate(share):
+            got[j] += deck[:k]
+            deck = deck[k:]
+    want = []
+    for j, hand in enumerate(got):
+        hand.sort(key=lambda r: ((r["final"] % 2**64) >> 33, r["final"], key(r)))
+        want += [(r["doc_id"], r["size"], r["text_crc32"], j, at) for at, r in enumerate(hand)]
+    out = [(r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in sharding.shard(df, shards, seed).collect()]
+    assert sorted(map(str, out)) == sorted(map(str, want))
+
+
+def battery_by_hand(text, letters):
+    """The statistic of secrets, letter by letter."""
+    codes, n, size = [letters.index(c) for c in text], len(text), len(letters)
+
+    def chi(cells):
+        held, share = [0] * cells, [0] * cells
+        for c in codes:
+            held[c * cells // size] += 1
+        for c in range(size):
+            share[c * cells // size] += 1
+        x = sum((h - n * s / size) ** 2 / (n * s / size) for h, s in zip(held, share, strict=True)) / (cells - 1)
+        v = 2 / (9 * (cells - 1))
+        return (x ** (1 / 3) - (1 - v)) / v**0.5
+
+    high = [c >= size / 2 for c in codes]
+    a, b = high.count(True), high.count(False)
+    mean = 2 * a * b / n + 1
+    runs = 1 + sum(x != y for x, y in itertools.pairwise(high))
+    z = (runs - mean) / max((mean - 1) * (mean - 2) / (n - 1), 0.25) ** 0.5
+    x = [c - sum(codes) / n for c in codes]
+    serial = sum(p * q for p, q in itertools.pairwise(x)) / max(sum(p * p for p in x), 1e-9) * n**0.5
+    return max(chi(8), 0) ** 2 + max(chi(size), 0) ** 2 + z * z + serial * serial
+
+
+def test_all_spans_of_secrets_equal_brute_force(spark):
+    rng = random.Random(16)
+    words = "the of and water house people through because little another between country should school never".split()
+    mixed, lower = string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/", string.ascii_lowercase + string.digits
+    rows = []
+    for i in range(40):
+        w = rng.choices(words, k=250)
+        if i % 3 == 0:
+            w.insert(rng.randrange(len(w)), "".join(rng.choices(mixed, k=rng.randint(20, 70))))
+        if i % 4 == 0:
+            w.insert(rng.randrange(len(w)), "".join(rng.choices(lower, k=rng.randint(20, 40))))
+        if i % 5 == 0:
+            w += ["password: " + "".join(rng.choices(mixed, k=30)), "é", "12345678901234567890123", "abcdefghijklmnopqrstuvwxyzabcdefghij"]
+        rows.append((i, " ".join(w)))
+    bin_of = lambda t: min(int(np.log2(1 + t) * 10), secrets.BINS - 1)
+    class_of = lambda n: max(k for k, x in enumerate(secrets.CLASSES) if x <= n)
+    base, cands, decoys = {}, [], {}
+    for i, t in rows:
+        found = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 6]
+        found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        base[i] = found
+        runs = [(m.start(), m.end()) for m in re.finditer("[A-Za-z0-9+/_-]+", t) if m.end() - m.start() >= secrets.MIN_RUN]
+        for a, b in runs:
+            run = t[a:b]
+            if any(x < b and y > a for x, _, y in found) or run.isdigit():
+                continue
+            for e, letters in enumerate(secrets.ALPHABETS):
+                same = run if e == 3 else run.lower()
+                if (e == 3 or not (any(c.isupper() for c in run) and any(c.islower() for c in run))) and all(c in letters for c in same.replace("-", "+").replace("_", "/")):
+                    cands.append((i, a, b, (e, class_of(b - a)), bin_of(battery_by_hand(same.replace("-", "+").replace("_", "/"), letters))))
+                    break
+        plain = "".join(c for k, c in enumerate(t) if not any(a <= k < b for a, b in runs))
+        for e, letters in enumerate(secrets.ALPHABETS):
+            flat = plain if e == 3 else plain.lower()
+            flat = "".join(c for c in (flat.replace("-", "+").replace("_", "/") if e == 3 else flat) if c in letters)
+            for k, n in enumerate(secrets.CLASSES):
+                for j in range(len(flat) // n):
+                    decoys.setdefault((e, k), []).append(bin_of(battery_by_hand(flat[j * n : (j + 1) * n], letters)))
+    p = [(1 + sum(x <= b for x in decoys.get(c, []))) / (1 + len(decoys.get(c, []))) for *_, c, b in cands]
+    limit = max([x for x in p if x * len(p) <= 0.01 * sum(y <= x for y in p)], default=0.0)
+    want = {i: sorted(found + [(a, 3, b) for (j, a, b, _, _), x in zip(cands, p, strict=True) if j == i and x <= limit]) for i, found in base.items()}
+    got = {r["doc_id"]: r["spans"] for r in secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in w) for i, w in want.items()}
+    assert sum(k == 3 for w in want.values() for _, k, _ in w) >= 10
+
+
+def test_all_spans_of_personal_data_equal_brute_force(spark):
+    """iban and ssn with their checksums and context, next to the base kinds."""
+    rng = random.Random(17)
+
+    def iban(country, n):
+        body = "".join(rng.choices(string.digits + "ABCDEF", k=n - 4))
+        value = lambda x: int("".join(str(int(c, 36)) for c in x))
+        good = f"{country}{98 - value(body + country + '00') % 97:02d}{body}"
+        return good if rng.random() < 0.7 else good[:-1] + ("1" if good[-1] != "1" else "2")
+
+    texts = []
+    for _ in range(250):
+        bits = rng.choices(["my iban is", "konto", "see", "Please Pay", "ssn", "social security", "part", "number", "é\U0001f642", "call", "x" * 50], k=6)
+        a = iban(*rng.choice([("DE", 22), ("GB", 22), ("FR", 27), ("NO", 15)]))
+        bits.insert(2, a if rng.random() < 0.5 else " ".join(a[k : k + 4] for k in range(0, len(a), 4)))
+        bits.insert(4, f"{rng.choice([0, 123, 666, 912]):03d}-{rng.choice([0, 45]):02d}-{rng.choice([0, 6789]):04d}")
+        texts.append(" ".join(bits))
+
+    def spans(t):
+        found = [(int(x.split(":")[1]), list(PATTERNS).index(x.split(":")[0]), int(x.split(":")[2])) for x in spans_by_hand(t).split(",") if x]
+        near = lambda m, kind: f"{t[: m.start()][-40:]} {t[m.end() :][:40]}".lower()
+        for m in re.finditer(PATTERNS["iban"], t):
+            x = m[0].replace(" ", "")
+            if int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1:
+                found.append((m.start(), 4, m.end()))  # 0.7 and the checksum pass by themselves
+        for m in re.finditer(PATTERNS["ssn"], t):
+            x = m[0]
+            gap = near(m, "ssn")
+            if not (x.startswith(("000", "666", "9")) or x[4:6] == "00" or x[7:] == "0000") and re.search("(?<![a-z])(?:ssn|social|security)", gap):
+                found.append((m.start(), 5, m.end()))
+        return ",".join(f"{list(PATTERNS)[k]}:{a}:{b}" for a, k, b in sorted(found))
+
+    got = {r["doc_id"]: r for r in pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i]["spans"] == spans(t), t
+    assert sum(r["n_iban"] for r in got.values()) > 30 and sum(r["n_ssn"] for r in got.values()) > 5
+
+
 def test_equal_texts_have_equal_checksums(spark):
     rows = sharding.shard(spark.createDataFrame([(1, "é"), (2, "é")], "doc_id long, text string")).collect()
     assert {(r["size"], r["text_crc32"]) for r in rows} == {(3, zlib.crc32("é".encode()))}
