@@ -8,7 +8,7 @@ import pytest
 from vecloom.plans import catalogue
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"kmeans_sweep", "hdbscan_reduced", "dbscan_sweep", "hdbscan_sweep"}
+SLOW = {"kmeans_sweep", "hdbscan_reduced", "hdbscan_sweep"}  # test_golden.py runs these
 
 
 @pytest.fixture(scope="module")

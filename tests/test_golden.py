@@ -1,0 +1,189 @@
+"""Registered queries without SQL against plain NumPy versions, on the tables that the queries read."""
+
+import numpy as np
+import pytest
+
+from vecloom import schema
+from vecloom.operators import centroids as cen
+from vecloom.plans import catalogue
+
+
+@pytest.fixture(scope="module")
+def planted(spark, sf):
+    rows = schema.planted(spark, sf).orderBy("face_id").select("face_id", "identity", "vector").collect()
+    return [r["face_id"] for r in rows], np.array([r["vector"] for r in rows], dtype=float), [r["identity"] for r in rows]
+
+
+def groups(ids, labels):
+    """The partition without noise, and the noise."""
+    out = {}
+    for i, c in zip(ids, labels, strict=True):
+        out.setdefault(c, set()).add(i)
+    noise = out.pop(-1, set())
+    return {frozenset(g) for g in out.values()}, noise
+
+
+def labels_of(df):
+    rows = df.orderBy("face_id").collect()
+    return groups([r["face_id"] for r in rows], [r["cluster_label"] for r in rows])
+
+
+def plain_hdbscan(x, min_size, min_samples):
+    """By levels: the parts of the mutual-reachability graph as its longest edges go, one length after another."""
+    n = len(x)
+    d = np.sqrt(np.maximum(2 - 2 * x @ x.T, 0))
+    core = np.sort(d + np.diag(np.full(n, np.inf)), axis=1)[:, min_samples - 1]
+    m = np.maximum(d, np.maximum(core[:, None], core[None, :]))
+    up = list(range(n))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    lengths = set()
+    i, j = np.triu_indices(n, 1)
+    for e in np.argsort(m[i, j], kind="stable"):
+        a, b = find(i[e]), find(j[e])
+        if a != b:
+            up[a] = b
+            lengths.add(float(m[i[e], j[e]]))
+    lengths = sorted(lengths, reverse=True)
+
+    def parts(some, w):
+        left, out = set(some), []
+        while left:
+            seen, todo = set(), [left.pop()]
+            while todo:
+                a = todo.pop()
+                seen.add(a)
+                near = [b for b in left if m[a, b] < w]
+                left.difference_update(near)
+                todo += near
+            out.append(seen)
+        return out
+
+    def walk(some, birth, at):
+        """Stability of the chosen clusters below, and what they are."""
+        first, own = set(some), 0.0
+        for k in range(at, len(lengths)):
+            lam = 1 / lengths[k]
+            found = parts(some, lengths[k])
+            big = [p for p in found if len(p) >= min_size]
+            own += (len(some) - (len(big[0]) if len(big) == 1 else 0)) * (lam - birth)
+            if len(big) == 1:
+                some = big[0]
+                continue
+            below = [walk(p, lam, k + 1) for p in big]
+            total = sum(s for s, _ in below)
+            return (own, [first]) if not big or total <= own and at else (total, [c for _, cs in below for c in cs])
+        return own, [first]
+
+    return walk(set(range(n)), 0.0, 0)[1]
+
+
+def test_hdbscan(spark, sf, planted):
+    ids, x, _ = planted
+    got, noise = labels_of(catalogue.queries()["hdbscan"](spark, sf))
+    want = {frozenset(ids[i] for i in c) for c in plain_hdbscan(x, 5, 3)}
+    assert got == want and noise == set(ids) - set().union(*want) and len(want) > 3
+
+
+def merged(x, k, method):
+    n = len(x)
+    size, alive, group = np.ones(n), np.ones(n, dtype=bool), [{i} for i in range(n)]
+    sums, mean = 1 - x @ x.T, x.copy()
+    for _ in range(n - k):
+        if method == "average":
+            d = sums / (size[:, None] * size[None, :])
+        else:
+            d = ((mean[:, None] - mean[None, :]) ** 2).sum(2) if n < 200 else (mean**2).sum(1)[:, None] + (mean**2).sum(1)[None] - 2 * mean @ mean.T
+            d = d * (size[:, None] * size[None, :]) / (size[:, None] + size[None, :])
+        d = np.where(alive[:, None] & alive[None, :] & ~np.eye(n, dtype=bool), d, np.inf)
+        i, j = sorted(np.unravel_index(np.argmin(d), d.shape))
+        mean[i] = (size[i] * mean[i] + size[j] * mean[j]) / (size[i] + size[j])
+        sums[i] += sums[j]
+        sums[:, i] += sums[:, j]
+        size[i] += size[j]
+        group[i] |= group[j]
+        alive[j] = False
+    return {frozenset(group[i]) for i in np.flatnonzero(alive)}
+
+
+@pytest.mark.parametrize("name,k,method", [("agglomerative_avg", 8, "average"), ("agglomerative_ward", 10, "ward")])
+def test_agglomerative(spark, sf, planted, name, k, method):
+    ids, x, _ = planted
+    got, noise = labels_of(catalogue.queries()[name](spark, sf))
+    assert not noise and got == {frozenset(ids[i] for i in g) for g in merged(x, k, method)}
+
+
+def lloyd(x, k, rng):
+    c = x[[rng.integers(len(x))]]
+    while len(c) < k:  # k-means++
+        d = ((x[:, None] - c[None]) ** 2).sum(2).min(1)
+        c = np.vstack((c, x[rng.choice(len(x), p=d / d.sum())]))
+    for _ in range(100):
+        near = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+        c = np.array([x[near == j].mean(0) if (near == j).any() else c[j] for j in range(k)])
+    return ((x[:, None] - c[None]) ** 2).sum(2).min(1).sum()
+
+
+def test_kmeans_costs_no_more_than_plain_runs(spark, sf, planted):
+    ids, x, _ = planted
+    rows = catalogue.queries()["kmeans_best_of_seeds"](spark, sf).orderBy("face_id").collect()
+    label = np.array([r["cluster_label"] for r in rows])
+    cost = sum(((x[label == c] - x[label == c].mean(0)) ** 2).sum() for c in set(label.tolist()))
+    rng = np.random.default_rng(1)
+    assert len(rows) == len(ids) and cost <= 1.01 * min(lloyd(x, 10, rng) for _ in range(20))
+
+
+def test_pca(spark, sf, planted):
+    _, x, _ = planted
+    rows = catalogue.queries()["pca_projection"](spark, sf).orderBy("face_id").collect()
+    got = np.array([[r["x"], r["y"]] for r in rows])
+    _, _, axes = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    want = x @ axes[:2].T
+    assert np.abs(np.abs(got) - np.abs(want)).max() < 1e-6
+
+
+def test_reclaim_sequential(spark, sf):
+    m = schema.labelled(spark, sf).orderBy("face_id").collect()
+    c = cen.centroids(schema.labelled(spark, sf)).orderBy("cluster_label").collect()
+    mean = {r["cluster_label"]: (np.array(r["centroid"]), r["n_members"]) for r in c}
+    held = {k: [np.array(r["vector"]) for r in m if r["cluster_label"] == k] for k in mean}
+    cos = lambda a, b: 1 - a @ b / (np.linalg.norm(a) * np.linalg.norm(b))
+    want = {}
+    for r in m:
+        if r["cluster_label"] != -1:
+            continue
+        v = np.array(r["vector"])
+        d, k = min((round(cos(v, a), 12), k) for k, (a, _) in mean.items())
+        spread = max(cos(u, mean[k][0]) for u in held[k])
+        status = "new_cluster" if d >= 0.45 else "ask_user" if d >= 0.30 or d > spread * 1.15 else "auto_merge"
+        if status == "auto_merge":
+            a, n = mean[k]
+            a = (a * n + v) / (n + 1)
+            mean[k] = (a / np.linalg.norm(a), n + 1)
+            held[k].append(v)
+        want[r["face_id"]] = (status, k, round(d, 6), mean[k][1])
+    rows = catalogue.queries()["reclaim_sequential"](spark, sf).collect()
+    assert {r["face_id"]: (r["status"], r["cluster_label"], round(r["distance"], 6), r["n_members"]) for r in rows} == want
+    assert len({s for s, *_ in want.values()}) > 1
+
+
+@pytest.mark.parametrize("name,rows", [("hdbscan_sweep", 11), ("kmeans_sweep", 5)])
+def test_sweeps_score_every_configuration(spark, sf, name, rows):
+    got = catalogue.queries()[name](spark, sf).collect()
+    assert len(got) == rows and sum(r["best"] for r in got) == 1
+    assert max(got, key=lambda r: (r["ari"], -r["ord"]))["best"]
+
+
+def test_reduced_hdbscan(spark, sf, planted):
+    """Reduction by plain SVD and the level-by-level version agree on which vectors cluster together, but for merges below epsilon."""
+    ids, x, _ = planted
+    got, noise = labels_of(catalogue.queries()["hdbscan_reduced"](spark, sf))
+    _, _, axes = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    y = x @ axes[:30].T
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    want = [frozenset(ids[i] for i in c) for c in plain_hdbscan(y, 10, 6)]
+    assert sum(map(len, got)) + len(noise) == len(ids) and all(any(w <= g for g in got) for w in want)
