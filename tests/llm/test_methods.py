@@ -55,6 +55,15 @@ def test_token_ids(encoder, texts):
     assert [ids[a:b].tolist() for a, b in zip(border[:-1], border[1:], strict=True)] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_other_tokenizers_see_whole_texts():
+    other = Encoder("word_bpe_49k.json")
+    assert not other.splittable and Encoder(packing.TOKENIZER).splittable
+    texts = ["Hello, World.  It's  fine", "", "e\u0301 caf\u00e9. x,y"]
+    w = words_of(texts)
+    ids, border = other.encode(w.data, w.offs)
+    assert [ids[a:b].tolist() for a, b in zip(border[:-1], border[1:], strict=True)] == [other.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_tokens_of_all_documents(spark, sf, encoder):
     for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
         w = words_of([r["text"]])
