@@ -146,16 +146,15 @@ def test_pca(spark, sf, planted):
     assert np.abs(np.abs(got) - np.abs(want)).max() < 1e-6
 
 
-def test_reclaim_sequential(spark, sf):
+def plain_fold(spark, sf, order, grow):
+    """face_id: (status, cluster, distance, members afterwards), one vector after another."""
     m = schema.labelled(spark, sf).orderBy("face_id").collect()
     c = cen.centroids(schema.labelled(spark, sf)).orderBy("cluster_label").collect()
     mean = {r["cluster_label"]: (np.array(r["centroid"]), r["n_members"]) for r in c}
     held = {k: [np.array(r["vector"]) for r in m if r["cluster_label"] == k] for k in mean}
     cos = lambda a, b: 1 - a @ b / (np.linalg.norm(a) * np.linalg.norm(b))
-    want = {}
-    for r in m:
-        if r["cluster_label"] != -1:
-            continue
+    out = {}
+    for r in sorted((r for r in m if r["cluster_label"] == -1), key=order):
         v = np.array(r["vector"])
         d, k = min((round(cos(v, a), 12), k) for k, (a, _) in mean.items())
         spread = max(cos(u, mean[k][0]) for u in held[k])
@@ -165,12 +164,26 @@ def test_reclaim_sequential(spark, sf):
             a = (a * n + v) / (n + 1)
             mean[k] = (a / np.linalg.norm(a), n + 1)
             held[k].append(v)
-        want[r["face_id"]] = (status, k, round(d, 6), mean[k][1])
+        elif status == "new_cluster" and grow:
+            k = max(mean) + 1
+            mean[k], held[k] = (v, 1), [v]
+        out[r["face_id"]] = (status, k, round(d, 6), mean[k][1])
+    return out
+
+
+def test_reclaim_sequential(spark, sf):
+    want = plain_fold(spark, sf, lambda r: r["face_id"], False)
     rows = catalogue.queries()["reclaim_sequential"](spark, sf).collect()
     assert {r["face_id"]: (r["status"], r["cluster_label"], round(r["distance"], 6), r["n_members"]) for r in rows} == want
     assert len({s for s, *_ in want.values()}) > 1
 
 
+def test_stream_of_arrivals(spark, sf):
+    want = plain_fold(spark, sf, lambda r: (r["face_id"] % 8, r["face_id"]), True)
+    rows = catalogue.queries()["stream_flow1"](spark, sf).collect()
+    assert {r["face_id"]: (r["status"], r["cluster_label"], round(r["distance"], 6)) for r in rows} == {k: v[:3] for k, v in want.items()}
+
+
 @pytest.mark.parametrize("name,rows", [("hdbscan_sweep", 11), ("kmeans_sweep", 5)])
 def test_sweeps_score_every_configuration(spark, sf, name, rows):
     got = catalogue.queries()[name](spark, sf).collect()
