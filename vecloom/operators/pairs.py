@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecloom.sources.scratch import settled
+from vecloom.sources.ship import ship
 
 BLOCK_ROWS = 2048
 
@@ -42,6 +43,7 @@ def block_pairs(vectors: DataFrame, use: Callable[..., Iterator[dict]], result:
     Unordered: every pair of blocks once, a block with itself included.  Ordered: both ways.  With `other`, blocks of
     vectors against blocks of other.
     """
+    ship(vectors.sparkSession)
     packed, count = blocks(vectors, rows, group)
     packed_b, count_b = (packed, count) if other is None else blocks(other, rows, group)
     every = lambda n: F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))

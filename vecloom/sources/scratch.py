@@ -9,6 +9,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vecloom.sources.ship import ship
+
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[int, str] = {}
 _made: list[str] = []
@@ -47,7 +49,11 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df as a Parquet table: lineage ends there, and a lost executor loses nothing of it."""
+    """The rows of df as a Parquet table: lineage ends there, and a lost executor loses nothing of it.
+
+    Operators start here, so this is also where the package is shipped to the workers, whoever calls them.
+    """
+    ship(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/vecloom-{name}-{uuid.uuid4().hex}"
     _made.append(path)
     with shuffles_dropped(df.sparkSession):
