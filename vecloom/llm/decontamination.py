@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.llm import _text as T
+from vecloom.llm._common import ship
 
 RESULT = "doc_id long, row_hash long, item_id long, score double"
 _SEPARATOR = np.ones(256, dtype=bool)
@@ -210,6 +211,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, threshold: f
     items of fewer than `n` words are found whole; items are compared by text, so repeated items give a row each.  Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
+    ship(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("row_hash"), F.col("text").cast("string").alias("text"))
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
     size = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]

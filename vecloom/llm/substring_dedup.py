@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.llm import _text as T
-from vecloom.llm._common import fs_delete, partitions, shuffles_dropped, written
+from vecloom.llm._common import fs_delete, partitions, ship, shuffles_dropped, written
 
 COMBINE_BYTES, CHUNK_BYTES = 4 << 20, 1 << 20
 ROW_WINDOWS = 4 << 20
@@ -273,6 +273,7 @@ class FingerprintIndex:
     """
 
     def __init__(self, spark: SparkSession, width: int = 13, fan: int = 4, buckets: int | None = None):
+        ship(spark)
         self.spark, self.width, self.fan = spark, width, fan
         self.buckets = buckets or partitions(spark)
         self.keys = partition_keys(self.buckets)
