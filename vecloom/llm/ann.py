@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecloom.llm import _text as T
-from vecloom.llm._common import written
+from vecloom.llm._common import ship, written
 
 RESULT = "query_id long, vec_id long, score double, n long"
 GROWTH = 1.1  # of the radius from one step of the sequence to the next
@@ -222,6 +222,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, projections_: int
     that repeats is returned as often.  With fewer than k other vectors all are returned.  Other columns are ignored,
     whatever their names.
     """
+    ship(vectors.sparkSession)
     v = F.col("embedding").cast("array<double>")
     clean = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(
         F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.llm import _text as T
-from vecloom.llm._common import partitions, written
+from vecloom.llm._common import partitions, ship, written
 
 _DIGIT = np.zeros(256, dtype=bool)
 _DIGIT[48:58] = True
@@ -158,6 +158,7 @@ def _rounds(rest: DataFrame, similarity: float, leaf_lines: int, leaf_bytes: int
 
 def recurring_lines(docs: DataFrame, min_docs: int = 5, min_tokens: int = 3, depth: int = 3, similarity: float = 0.7, leaf_lines: int = 1000, leaf_bytes: int = 16 << 20) -> DataFrame:
     """(doc_id, row_hash, lines): the numbers of the lines to drop of each row of docs(doc_id, text) that has any."""
+    ship(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("row_hash"), F.col("text").cast("string").alias("text"))
     lines = written(texts.mapInArrow(_parser(depth, min_tokens), LINES), "lines")
     per_doc = lines.groupBy("leaf", "mask", "doc_id").agg(F.count(F.lit(1)).alias("c"))

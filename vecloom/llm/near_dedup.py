@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.llm import _text as T
-from vecloom.llm._common import written
+from vecloom.llm._common import ship, written
 from vecloom.operators.graph import components
 
 BITMAP_BITS = 10
@@ -134,6 +134,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, permutat
     more than 19 shingles is missed by all bands with probability below 1e-5 at the default 64 permutations and 4 rows;
     between smaller sets none is missed.
     """
+    ship(docs.sparkSession)
     sig = written(signatures(docs, words, percent, permutations, rows, seed), "sig")
     full = sig.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     key = ["h1", "h2", "n_shingles"]

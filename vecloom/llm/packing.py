@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.llm import _text as T
-from vecloom.llm._common import partitions, written
+from vecloom.llm._common import partitions, ship, written
 from vecloom.llm._tokens import Encoder
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -139,6 +139,7 @@ def pack(docs: DataFrame, capacity: int = 1024, tokenizer: str = TOKENIZER, end_
     all others, row by row.  An empty table gives no rows.  Other columns of docs are ignored, whatever their names.
     The pieces are written once, so that a lost executor cannot see another grouping.
     """
+    ship(docs.sparkSession)
     spark = docs.sparkSession
     kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + (", ids binary" if with_ids else "")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

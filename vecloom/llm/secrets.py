@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.llm import _text as T
-from vecloom.llm._common import written
+from vecloom.llm._common import ship, written
 
 # The base kinds, in the order in which equal starts are listed; the method's own kind comes last.
 KINDS = ("assign", "access", "hex", "rand")
@@ -216,6 +216,7 @@ def secrets(docs: DataFrame, rate: float = 0.01) -> DataFrame:
     smallest p-value of a class is one by its decoys and one, so below about 1 / rate decoys, or more where candidates
     are many, nothing of that class is reported.  Other columns of docs are ignored, whatever their names.
     """
+    ship(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kinds = "doc_id long, spans array<struct<start:int,kind:int,end:int>>, cands array<struct<start:int,end:int,cls:int,bin:int>>, hist array<struct<cls:int,bin:int,n:bigint>>"
     seen = written(texts.mapInArrow(_find, kinds), "secrets")

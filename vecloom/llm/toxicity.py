@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.llm import _text as T
-from vecloom.llm._common import written
+from vecloom.llm._common import ship, written
 
 # Common insults of four languages, lower case.
 LEXICON = (
@@ -348,6 +348,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, max
     alone; a table in which none of them votes toxic has low scores only.  Other columns are ignored,
     whatever their names.
     """
+    ship(docs.sparkSession)
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
