@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from vecloom.functions import vec
 from vecloom.operators.decide import Thresholds
 from vecloom.schema import NOISE
+from vecloom.sources.ship import ship
 
 #: Vectors of clusters that one ordered fold may hold (centroids and members' spread state of one run).
 FOLD_STATE_LIMIT = 200_000
@@ -112,6 +113,7 @@ def sequential(queue: DataFrame, members: DataFrame, cents: DataFrame, t: Thresh
     grow: vectors that are due a new cluster start one (arrivals); else they stay as they are (noise reclamation).
     A run is one fold and so one task; it holds the run's members, and refuses runs with more than FOLD_STATE_LIMIT.
     """
+    ship(queue.sparkSession)
     state = members.where(F.col("cluster_label") != NOISE)
     largest = state.groupBy("run_label").count().agg(F.max("count")).head()[0] or 0
     if largest > FOLD_STATE_LIMIT:
