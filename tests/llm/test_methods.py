@@ -555,6 +555,15 @@ def test_tree_links_what_gains_most():
     assert toxicity._tree(gain) == [-1, 2, 0, -1]
 
 
+def test_rows_of_the_smallest_hashes(spark):
+    from vecloom.llm._common import smallest
+
+    df = spark.range(20_000).toDF("x")
+    for n in (0, 10, 500, 30_000):
+        want = sorted(r["x"] for r in sorted(df.selectExpr("x", "xxhash64(x) AS h").collect(), key=lambda r: (r["h"], r["x"]))[:n])
+        assert sorted(r["x"] for r in smallest(df, n, 20_000, "x").collect()) == want
+
+
 def test_pattern_voters():
     lexicon = toxicity.Lexicon([], {})
     texts = ["you are an idiot", "an idiot " + "and more " * 5 + "you", "just shut up now", "shut it up", "THIS IS ALL SHOUTING, DO LISTEN", "no!! no!! no!!", "what a f*ck", "stars*** here", ""]

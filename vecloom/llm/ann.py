@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecloom.llm import _text as T
-from vecloom.llm._common import ship, written
+from vecloom.llm._common import ship, smallest, written
 
 RESULT = "query_id long, vec_id long, score double, n long"
 GROWTH = 1.1  # of the radius from one step of the sequence to the next
@@ -179,7 +179,7 @@ def _gather(fit: Fit, k: int):
 
 def _search(rows: DataFrame, queries: DataFrame, n: int, n_q: int, wanted: int, k: int, m: int, threshold: float, share: float, least: int, block_rows: int, query_rows: int, sample_rows: int, seed: int) -> DataFrame:
     """RESULT rows among vectors of one dimension; the k best of each query are among them."""
-    drawn = rows.select("vec_id", "v").orderBy(F.xxhash64("vec_id", "v"), "vec_id", "v").limit(sample_rows).select("v").toArrow()
+    drawn = smallest(rows.select("vec_id", "v"), sample_rows, n, "vec_id", "v").select("v").toArrow()
     depth = max(0, int(np.ceil(np.log2(n / block_rows))))
     fit = Fit(_matrix(drawn.column("v").combine_chunks(), drawn.num_rows), m, threshold, max(share, min(1.0, least / n)), min(depth, 12), seed)
 

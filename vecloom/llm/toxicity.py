@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.llm import _text as T
-from vecloom.llm._common import ship, written
+from vecloom.llm._common import ship, smallest, written
 
 # Common insults of four languages, lower case.
 LEXICON = (
@@ -356,7 +356,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, max
     totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     positive = min(totals.get(1, 0), max(max_labelled // 2, max_labelled - totals.get(0, 0)))
     negative = min(totals.get(0, 0), max_labelled - positive)
-    first = lambda y, n: known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    first = lambda y, n: smallest(known.where(F.col("toxic") == y), n, totals.get(y, 0), "doc_id")
     sample = written(first(1, positive).unionByName(first(0, negative)), "toxic-sample")
     labelled = texts.join(F.broadcast(sample), "doc_id")  # at most max_labelled rows of two numbers
     # A word votes only if it says the same in two halves of the sample: one that came in by chance does not.
@@ -388,9 +388,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, max
         rows, weight = [], []
         for side in (F.col("target") >= 0.5, F.col("target") < 0.5):
             part = open_.where(side)
-            got = part.orderBy(F.xxhash64("doc_id", "items", "dense"), "doc_id", "items", "dense").limit(max_train // 2).select("items", "dense", "target").collect()
+            there = part.count()
+            got = smallest(part, max_train // 2, there, "doc_id", "items", "dense").select("items", "dense", "target").collect()
             rows += got
-            weight += [part.count() / len(got)] * len(got) if got else []
+            weight += [there / len(got)] * len(got) if got else []
         if rows:
             items, dense = [np.frombuffer(r["items"], dtype="<u2") for r in rows], _matrix([r["dense"] for r in rows])
             weights = _train(items, dense, np.array([r["target"] for r in rows]), lexicon.size, np.array(weight))
