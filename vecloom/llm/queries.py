@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from vecloom.llm._common import table
 from vecloom.llm.ann import nearest
+from vecloom.llm.byte_bpe import digests
 from vecloom.llm.decontamination import contaminated
 from vecloom.llm.line_dedup import line_dedup
+from vecloom.llm.merkle import audited
 from vecloom.llm.near_dedup import near_duplicates
 from vecloom.llm.packing import pack
 from vecloom.llm.pii import pii
@@ -18,6 +20,7 @@ from vecloom.llm.secrets import secrets
 from vecloom.llm.sharding import shard
 from vecloom.llm.substring_dedup import substring_dedup
 from vecloom.llm.toxicity import toxicity
+from vecloom.llm.whitening import whiten
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +64,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii(table(spark, sf_dir, "documents"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audited(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_packing": op2_packing,
@@ -72,4 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_ann_search": op9_ann_search,
     "op10_pii": op10_pii,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_whitening": op13_whitening,
 }
