@@ -3,6 +3,10 @@
 Vectors are packed into blocks of a bounded number of rows; every pair of blocks is one row of work, so no side is
 broadcast and nothing grows with the table but the number of rows of work.  Within a row the distances are one matrix
 product.
+
+Where only pairs up to some distance count, near vectors are put into blocks together and every block knows the ball that
+holds it; by the triangle inequality, pairs of blocks whose balls are farther apart are never met.  That leaves out work,
+not pairs.
 """
 
 from __future__ import annotations
@@ -18,41 +22,165 @@ from vecloom.sources.scratch import settled
 from vecloom.sources.ship import ship
 
 BLOCK_ROWS = 2048
+#: Vectors that the cuts between blocks of near vectors are fitted on, and the depth of the cuts.
+CUT_ROWS, CUT_DEPTH = 16_384, 11
+#: Rounding that a bound on distances allows for.
+SLACK = 1e-9
+PACKED = "block long, ids binary, groups binary, data binary, centre array<double>, radius double"
+
+
+def _one_block(block: int, parts: list[pa.RecordBatch], extra: int) -> pa.RecordBatch:
+    t = pa.Table.from_batches(parts).combine_chunks()
+    x = t.column("v").combine_chunks().flatten().to_numpy().astype("<f8")
+    rows = x.reshape(t.num_rows, -1)
+    place = rows[:, : rows.shape[1] - extra]
+    centre = place.mean(0)
+    raw = [t.column(c).to_numpy().astype("<i8").tobytes() for c in ("id", "group")]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([block]), *(pa.array([r]) for r in raw), pa.array([x.tobytes()]), pa.array([centre.tolist()], type=pa.list_(pa.float64())), pa.array([float(np.sqrt(((place - centre) ** 2).sum(1).max()))])],
+        names=["block", "ids", "groups", "data", "centre", "radius"],
+    )
+
+
+def _packer(extra: int = 0):
+    """One row for each block; rows come by block, and a block may lie in several batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        at = -1
+        for batch in batches:
+            block = batch.column("block").to_numpy()
+            border = np.flatnonzero(np.diff(block)) + 1
+            for lo, hi in zip([0, *border], [*border, len(block)], strict=True):
+                if hi > lo:
+                    if held and block[lo] != at:
+                        yield _one_block(at, held, extra)
+                        held = []
+                    at = int(block[lo])
+                    held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield _one_block(at, held, extra)
+
+    return run
+
+
+class Cuts:
+    """A tree of cuts that keeps near vectors together, from a sample of them; which leaf a vector falls in is no more
+    than a way to place it."""
+
+    def __init__(self, x: np.ndarray, depth: int):
+        self.depth = depth
+        self.axis, self.at = np.zeros((1 << depth, x.shape[1])), np.full(1 << depth, np.inf)
+        rows = {1: np.arange(len(x))}
+        for node in range(1, 1 << depth):
+            r = rows.pop(node)
+            if len(r) > 1:
+                one = x[r[np.argmax(((x[r] - x[r].mean(0)) ** 2).sum(1))]]
+                other = x[r[np.argmax(((x[r] - one) ** 2).sum(1))]]
+                self.axis[node] = other - one  # from one end to the other
+                self.at[node] = np.median(x[r] @ self.axis[node])
+            right = x[r] @ self.axis[node] > self.at[node]
+            rows[2 * node], rows[2 * node + 1] = r[~right], r[right]
+
+    def leaf(self, x: np.ndarray) -> np.ndarray:
+        node = np.ones(len(x), dtype=np.int64)
+        for _ in range(self.depth):
+            node = 2 * node + (np.einsum("ij,ij->i", x, self.axis[node]) > self.at[node])
+        return node
+
+
+def _placed(keyed: DataFrame, count: int, rows: int, extra: int) -> DataFrame:
+    """keyed(id, v, ...) with block: leaves of cuts, a leaf of more than `rows` vectors dealt over several blocks."""
+    drawn = keyed.select("v").orderBy(F.xxhash64("id", "v")).limit(CUT_ROWS).toArrow()
+    matrix = lambda t: t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+    place = lambda x: x[:, : x.shape[1] - extra]
+    cuts = Cuts(place(matrix(drawn)), min(CUT_DEPTH, max(1, int(np.ceil(np.log2(2 * count))))))
+
+    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.append_column("leaf", pa.array(cuts.leaf(place(matrix(pa.Table.from_batches([batch]))))))
 
+    found = settled(keyed.mapInArrow(leaves, "id long, group long, v array<double>, leaf long"), "leaves")
+    pieces = found.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / rows).alias("pieces"))  # at most 2**CUT_DEPTH rows
+    return found.join(F.broadcast(pieces), "leaf").select("id", "group", "v", (F.col("leaf") * (1 << 40) + F.pmod(F.xxhash64("id"), "pieces")).alias("block"))
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        block = batch.column("block").to_numpy()
-        for s in np.split(np.arange(len(block)), np.flatnonzero(np.diff(block)) + 1):
-            if len(s):
-                part = batch.slice(s[0], len(s))
-                cols = [pa.array([int(block[s[0]])], type=pa.int64()), pa.array([part.column("id").to_numpy().astype("<i8").tobytes()]), pa.array([part.column("group").to_numpy().astype("<i8").tobytes()]), pa.array([part.column("v").flatten().to_numpy().astype("<f8").tobytes()])]
-                yield pa.RecordBatch.from_arrays(cols, names=["block", "ids", "groups", "data"])
 
+def blocks(vectors: DataFrame, rows: int | None = None, group: str | None = None, near: bool = False, extra: int = 0) -> tuple[DataFrame, int]:
+    """PACKED rows of vectors(face_id, vector), and how many blocks hashing makes of them; near: near vectors together.
 
-def blocks(vectors: DataFrame, rows: int = BLOCK_ROWS, group: str | None = None) -> tuple[DataFrame, int]:
-    """block, ids, groups, data: vectors(face_id, vector) packed, and how many blocks there are."""
+    The last `extra` entries of a vector are no coordinates and go with it.
+    """
+    rows = rows or BLOCK_ROWS
     count = max(1, -(-vectors.count() // rows))
-    keyed = vectors.select(F.col("face_id").alias("id"), (F.col(group) if group else F.lit(0)).cast("long").alias("group"), F.col("vector").alias("v"), F.pmod(F.xxhash64("face_id"), F.lit(count)).cast("long").alias("block"))
-    return keyed.repartition(count, "block").sortWithinPartitions("block", "id").mapInArrow(_pack, "block long, ids binary, groups binary, data binary"), count
+    keyed = vectors.select(F.col("face_id").alias("id"), (F.col(group) if group else F.lit(0)).cast("long").alias("group"), F.col("vector").cast("array<double>").alias("v"))
+    if near and count > 1:
+        keyed = _placed(keyed, count, rows, extra)
+    else:
+        keyed = keyed.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(count)).cast("long"))
+    return keyed.repartition(count, "block").sortWithinPartitions("block", "id").mapInArrow(_packer(extra), PACKED), count
+
+
+def visits(a: DataFrame, b: DataFrame, within: float | None, one_way: bool = False) -> DataFrame:
+    """i, j of the blocks of a and b whose balls come as near as `within`; None: as near as the block of a says in reach.
+
+    one_way: a and b are the same blocks, and each pair comes once.
+    """
+    balls = lambda p: p.select(F.col("block").alias("face_id"), F.concat("centre", F.array("radius", F.col("reach") if "reach" in p.columns else F.lit(0.0))).alias("vector"))
+
+    def use(ids_a, _ga, x, ids_b, _gb, y):
+        ca, cb = x[:, :-2], y[:, :-2]
+        gap = np.sqrt(np.maximum((ca * ca).sum(1)[:, None] + (cb * cb).sum(1)[None, :] - 2 * ca @ cb.T, 0.0)) - x[:, -2][:, None] - y[:, -2][None, :]
+        met = gap <= (x[:, -1][:, None] if within is None else within) + SLACK * (1 + np.abs(gap)) + 1e-7
+        if one_way:
+            met &= ids_a[:, None] <= ids_b[None, :]
+        i, j = np.nonzero(met)
+        yield {"i": ids_a[i], "j": ids_b[j]}
+
+    return block_pairs(balls(a), use, "i long, j long", other=balls(b))
+
 
+def _ends(packed: DataFrame, key: str, side: str) -> DataFrame:
+    return packed.select(F.col("block").alias(key), *[F.col(c).alias(f"{c}_{side}") for c in ("ids", "groups", "data")])
 
-def block_pairs(vectors: DataFrame, use: Callable[..., Iterator[dict]], result: str, ordered: bool = False, rows: int = BLOCK_ROWS, group: str | None = None, other: DataFrame | None = None) -> DataFrame:
+
+def share_visited(vectors: DataFrame, within: float, rows: int | None = None) -> float:
+    """The share of all pairs of blocks that a search for pairs up to a distance meets."""
+    packed = settled(blocks(vectors, rows, near=True)[0], "blocks")
+    n = packed.count()
+    return visits(packed, packed, within, one_way=True).count() / max(1, n * (n + 1) // 2)
+
+
+def near_work(a: DataFrame, b: DataFrame, met: DataFrame) -> DataFrame:
+    """The pairs of blocks that met(i, j) names, as rows of work."""
+    return met.join(_ends(a, "i", "a"), "i").join(_ends(b, "j", "b"), "j")
+
+
+def block_pairs(vectors: DataFrame, use: Callable[..., Iterator[dict]], result: str, ordered: bool = False, rows: int | None = None, group: str | None = None, other: DataFrame | None = None, within: float | None = None, extra: int = 0) -> DataFrame:
     """Rows of use(ids_a, groups_a, a, ids_b, groups_b, b) over pairs of blocks.
 
     Unordered: every pair of blocks once, a block with itself included.  Ordered: both ways.  With `other`, blocks of
-    vectors against blocks of other.
+    vectors against blocks of other.  within: pairs at a larger euclidean distance need not be seen.
+    extra: so many entries at the end of the vectors of `other` are no coordinates.
     """
     ship(vectors.sparkSession)
-    packed, count = blocks(vectors, rows, group)
-    packed_b, count_b = (packed, count) if other is None else blocks(other, rows, group)
-    every = lambda n: F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+    packed, count = blocks(vectors, rows, group, near=within is not None)
+    packed_b, count_b = (packed, count) if other is None else blocks(other, rows, group, near=within is not None, extra=extra)
     one_way = not ordered and other is None
-    js = F.filter(every(count_b), lambda j: j >= F.col("block")) if one_way else every(count_b)
-    is_ = F.filter(every(count), lambda i: i <= F.col("block")) if one_way else every(count)
-    a = packed.select(F.col("block").alias("i"), F.col("ids").alias("ids_a"), F.col("groups").alias("groups_a"), F.col("data").alias("data_a"), F.explode(js).alias("j"))
-    b = packed_b.select(F.col("block").alias("j"), F.col("ids").alias("ids_b"), F.col("groups").alias("groups_b"), F.col("data").alias("data_b"), F.explode(is_).alias("i"))
-    work = a.join(b, ["i", "j"])
+    if within is not None and max(count, count_b) > 1:
+        packed = settled(packed, "blocks")
+        packed_b = packed if other is None else settled(packed_b, "blocks")
+        return worked(near_work(packed, packed_b, visits(packed, packed_b, within, one_way)), use, result)
+    every = lambda n: F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+    js = F.filter(every(count_b), lambda j: j >= F.col("i")) if one_way else every(count_b)
+    is_ = F.filter(every(count), lambda i: i <= F.col("j")) if one_way else every(count)
+    a = _ends(packed, "i", "a").withColumn("j", F.explode(js))
+    b = _ends(packed_b, "j", "b").withColumn("i", F.explode(is_))
+    return worked(a.join(b, ["i", "j"]), use, result)
+
+
+def worked(work: DataFrame, use: Callable[..., Iterator[dict]], result: str) -> DataFrame:
+    """Rows of use() over rows of work."""
     schema = work.sparkSession.createDataFrame([], result).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,6 +202,11 @@ def _unordered(ids_a: np.ndarray, ids_b: np.ndarray) -> np.ndarray:
     return (ids_a[:, None] < ids_b[None, :]) if np.array_equal(ids_a, ids_b) else np.ones((len(ids_a), len(ids_b)), dtype=bool)
 
 
+def chord(cosine_distance: float) -> float:
+    """The euclidean distance of unit vectors at a cosine distance."""
+    return float(np.sqrt(2.0 * max(cosine_distance, 0.0)))
+
+
 def pairs_within(vectors: DataFrame, limit: float, euclidean: bool = True) -> DataFrame:
     """a < b, d of all pairs of unit vectors at distance at most `limit`."""
 
@@ -85,7 +218,7 @@ def pairs_within(vectors: DataFrame, limit: float, euclidean: bool = True) -> Da
         lo, hi = np.minimum(ids_a[i], ids_b[j]), np.maximum(ids_a[i], ids_b[j])
         yield {"a": lo, "b": hi, "d": d[i, j]}
 
-    return block_pairs(vectors, use, "a long, b long, d double")
+    return block_pairs(vectors, use, "a long, b long, d double", within=float(limit) if euclidean else chord(limit))
 
 
 def closest_pairs(vectors: DataFrame, k: int) -> DataFrame:
@@ -107,19 +240,45 @@ def _smallest(d: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: int) -> np.ndarr
     return near[np.lexsort((hi[near], lo[near], d[near]))[:k]]
 
 
-def neighbours(vectors: DataFrame, k: int, euclidean: bool = True) -> DataFrame:
-    """face_id, rank, neighbour, d: the k nearest others of every vector."""
+def neighbours(vectors: DataFrame, k: int, euclidean: bool = True, rows: int | None = None) -> DataFrame:
+    """face_id, rank, neighbour, d: the k nearest others of every unit vector.
 
-    def use(ids_a, _ga, x, ids_b, _gb, y):
+    A block is first held against itself; the largest k-th distance that its vectors find there is how far neighbours of
+    the block can be, and no block beyond that is met.
+    """
+
+    def distances(ids_a, x, ids_b, y):
         d = 1.0 - x @ y.T
         if euclidean:
             d = np.sqrt(2.0 * np.maximum(d, 0.0))
-        d = np.where(ids_a[:, None] == ids_b[None, :], np.inf, d)
+        return np.where(ids_a[:, None] == ids_b[None, :], np.inf, d)
+
+    def use(ids_a, _ga, x, ids_b, _gb, y):
+        d = distances(ids_a, x, ids_b, y)
         cut = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
         i, j = np.nonzero((d <= cut[:, None]) & np.isfinite(d))
         yield {"face_id": ids_a[i], "neighbour": ids_b[j], "d": d[i, j]}
 
-    found = block_pairs(vectors, use, "face_id long, neighbour long, d double", ordered=True)
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            far = []
+            for raw_ids, raw in zip(batch.column("ids").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                ids = np.frombuffer(raw_ids, dtype="<i8")
+                x = np.frombuffer(raw, dtype="<f8").reshape(len(ids), -1)
+                d = distances(ids, x, ids, x)
+                own = float(np.partition(d, k - 1, axis=1)[:, k - 1].max()) if len(ids) >= k else np.inf
+                far.append(own if euclidean or np.isinf(own) else chord(own))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("block", "centre", "radius")), pa.array(far, type=pa.float64())], names=["block", "centre", "radius", "reach"])
+
+    result = "face_id long, neighbour long, d double"
+    ship(vectors.sparkSession)
+    packed, count = blocks(vectors, rows, near=True)
+    if count > 1:
+        packed = settled(packed, "blocks")
+        ends = settled(packed.select("block", "ids", "data", "centre", "radius").mapInArrow(reach, "block long, centre array<double>, radius double, reach double"), "reaches")
+        found = worked(near_work(packed, packed, visits(ends, packed, None)), use, result)
+    else:
+        found = block_pairs(vectors, use, result, ordered=True, rows=rows)
     w = Window.partitionBy("face_id").orderBy("d", "neighbour")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("face_id", "rank", "neighbour", "d")
 
@@ -227,16 +386,16 @@ def group_minima(vectors: DataFrame, group: str, limit: float = np.inf) -> DataF
         i, j = np.nonzero((ua[:, None] != ub[None, :]) & (best < limit))
         yield {"ga": np.minimum(ua[i], ub[j]), "gb": np.maximum(ua[i], ub[j]), "d": best[i, j]}
 
-    out = block_pairs(vectors, use, "ga long, gb long, d double", group=group)
+    out = block_pairs(vectors, use, "ga long, gb long, d double", group=group, within=None if np.isinf(limit) else chord(limit))
     return out.groupBy("ga", "gb").agg(F.min("d").alias("d"))
 
 
-def minima_of(pairs: DataFrame, vectors: DataFrame, group: str, rows: int = BLOCK_ROWS) -> DataFrame:
+def minima_of(pairs: DataFrame, vectors: DataFrame, group: str, rows: int | None = None) -> DataFrame:
     """ga, gb, d: the smallest cosine distance between members, for the groups that pairs(ga, gb) names only.
 
     Groups are packed into blocks of their own, so a pair of large groups is many rows of work.
     """
-    sizes = vectors.groupBy(F.col(group).cast("long").alias("group")).agg(F.ceil(F.count(F.lit(1)) / rows).alias("pieces"))
+    sizes = vectors.groupBy(F.col(group).cast("long").alias("group")).agg(F.ceil(F.count(F.lit(1)) / (rows or BLOCK_ROWS)).alias("pieces"))
     dealt = vectors.select(F.col(group).cast("long").alias("group"), "face_id", F.col("vector").alias("v")).join(sizes, "group").withColumn("piece", F.pmod(F.xxhash64("face_id"), "pieces"))
     packed = settled(dealt.groupBy("group", "piece").agg(F.flatten(F.collect_list("v")).alias("data"), F.count(F.lit(1)).cast("int").alias("n")), "groups")
     a, b = (packed.select(F.col("group").alias(g), F.col("data").alias(f"data_{g}"), F.col("n").alias(f"n_{g}")) for g in ("ga", "gb"))
