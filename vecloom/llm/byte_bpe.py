@@ -38,17 +38,52 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+NEVER = 1 << 40  # the rank of a pair that is no token
+
+
+class Trace:
+    """What merging makes of some bytes, the pair of the lowest rank first, of equals the leftmost: the rank of each
+    merge, and the outer parts before it.  For short strings."""
+
+    def __init__(self, raw: bytes, ranks: dict[bytes, int]):
+        parts = [raw[i : i + 1] for i in range(len(raw))]
+        self.next: list[int] = []
+        self.left: list[bytes] = []
+        self.right: list[bytes] = []
+        while True:
+            found = [ranks.get(a + b, NEVER) for a, b in zip(parts, parts[1:])]
+            low = min(found, default=NEVER)
+            self.next.append(low)
+            self.left.append(parts[0])
+            self.right.append(parts[-1])
+            if low == NEVER:
+                break
+            i = found.index(low)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        self.parts = parts
+
+
 def merged(raw: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Merging as it is defined: of all neighbours, the pair of the lowest rank, the leftmost first.  For short strings."""
-    parts = [raw[i : i + 1] for i in range(len(raw))]
-    while len(parts) > 1:
-        found = [ranks.get(a + b, 1 << 40) for a, b in zip(parts, parts[1:])]
-        low = min(found)
-        if low == 1 << 40:
-            break
-        i = found.index(low)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-    return [ranks[p] for p in parts]
+    """Merging as it is defined."""
+    return [ranks[p] for p in Trace(raw, ranks).parts] if raw else []
+
+
+def stay_apart(a: Trace, b: Trace, ranks: dict[bytes, int]) -> bool:
+    """Whether merging the bytes of two tokens together gives the two: their own merges, in the order of their ranks,
+    come before any merge of the parts at the border between them."""
+    i = j = 0
+    cross = ranks.get(a.right[0] + b.left[0], NEVER)
+    while True:
+        x, y = a.next[i], b.next[j]
+        if x <= y and x <= cross:  # of equals the leftmost
+            if x == NEVER:
+                return True
+            i += 1
+        elif cross <= y:
+            return False
+        else:
+            j += 1
+        cross = ranks.get(a.right[i] + b.left[j], NEVER)
 
 
 @lru_cache(maxsize=1)
@@ -110,8 +145,15 @@ class BytePairs:
             self.shorter[rank] = next((self.ranks[raw[:n]] for n in range(len(raw) - 1, 0, -1) if raw[:n] in self.ranks), -1)
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
+        self.traces: dict[int, Trace] = {}
         self.pieces: dict[str, bytes] = {}
 
+    def trace(self, token: int) -> Trace:
+        found = self.traces.get(token)
+        if found is None:
+            found = self.traces[token] = Trace(self.bytes_of[token], self.ranks)
+        return found
+
     def fits(self, a: int, b: int) -> bool:
         """Whether b may follow a; a = -1: whether b is what merging makes of its bytes."""
         key = (a + 1) << 32 | b
@@ -119,8 +161,8 @@ class BytePairs:
         if known is None:
             if len(self.pairs) >= CACHE_PAIRS:
                 self.pairs.clear()
-            raw = self.bytes_of[b] if a < 0 else self.bytes_of[a] + self.bytes_of[b]
-            known = self.pairs[key] = merged(raw, self.ranks) == ([b] if a < 0 else [a, b])
+            known = len(self.trace(b).parts) == 1 and (a < 0 or stay_apart(self.trace(a), self.trace(b), self.ranks))
+            self.pairs[key] = known
         return known
 
     def cover(self, raw: bytes) -> list[int]:
