@@ -7,9 +7,10 @@ positions in which they differ are its variable fields.  Templates that recur in
 dropped everywhere but in the document with the smallest doc_id.
 
 Lines travel as hashes.  Equal lines fold in each map task; only leaves with several different lines are clustered.
-A crowded leaf takes rounds: the first lines of its order meet in one task, and the leaders they leave are compared with
-all its other lines, dealt over tasks; what none of them takes goes on to the next round.  Later leaders come later in
-the order, so templates are the same whatever the size of a round.
+A crowded leaf takes rounds: leaders are found among the first lines of its order, and compared with all its other
+lines, block by block; what none of them takes goes on to the next round, which looks at twice as many.  Later leaders
+come later in the order, so templates are the same whatever the size of a round, and the rounds grow with the logarithm
+of a leaf's lines.
 """
 
 from __future__ import annotations
@@ -71,13 +72,18 @@ def _parser(depth: int, min_tokens: int):
     return run
 
 
+def _fits(lines: np.ndarray, x: np.ndarray, similarity: float) -> np.ndarray:
+    """Which lines agree with a line.  Variable tokens agree with any other."""
+    equal = lines == x
+    fits = (equal | (lines == 0) | (x == 0)).sum(1) >= similarity * len(x)
+    return fits & (equal.sum(1) * 2 >= similarity * len(x))
+
+
 def _first(leaders: np.ndarray, x: np.ndarray, similarity: float) -> int:
-    """Number of the first leader that takes a line, -1 if none does.  Variable tokens agree with any other."""
+    """Number of the first leader that takes a line, -1 if none does."""
     if not len(leaders):
         return -1
-    equal = leaders == x
-    fits = (equal | (leaders == 0) | (x == 0)).sum(1) >= similarity * len(x)
-    fits &= equal.sum(1) * 2 >= similarity * len(x)
+    fits = _fits(leaders, x, similarity)
     at = int(np.argmax(fits))
     return at if fits[at] else -1
 
@@ -105,54 +111,163 @@ def _templates(similarity: float):
 
     def leaf(t: pa.Table) -> pa.Table:
         t = t.sort_by("mask")
-        return t.append_column("template", t.column("mask").take(pa.array(cluster(_rows(t), similarity)))).select(["leaf", "mask", "tokens", "template"])
+        return t.append_column("template", t.column("mask").take(pa.array(cluster(_rows(t), similarity)))).select(["leaf", "mask", "tokens", "firsts", "deals", "template"])
 
     return leaf
 
 
+TAKEN = "leaf long, mask long, tokens binary, firsts long, deals long, template long"
+PACKED = "leaf long, block long, firsts long, deals long, masks binary, rows binary"
+#: Edges up to which one task picks the leaders among lines that fit each other: 16 bytes each.
+SMALL = 200_000
+
+
+def _pack(t: pa.Table) -> pa.Table:
+    """A block of lines of one leaf as one row, in the order of their masks."""
+    t = t.sort_by("mask")
+    same = ["leaf", "block", "firsts", "deals"]
+    cols = [*(t.column(c)[:1] for c in same), pa.array([t.column("mask").to_numpy().astype("<i8").tobytes()]), pa.array([b"".join(t.column("tokens").to_pylist())])]
+    return pa.table(cols, names=[*same, "masks", "rows"])
+
+
+def _packed(lines: DataFrame, width: int) -> DataFrame:
+    """Lines by block; how many blocks of first lines and of other lines their leaf has goes with them."""
+    return lines.select("leaf", "block", "firsts", "deals", "mask", "tokens").repartition(width, "leaf", "block").groupBy("leaf", "block").applyInArrow(_pack, PACKED)
+
+
+def _met(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Every block of a with the blocks of b that `with` names, as one row: masks and rows of both.
+
+    a(leaf, block, with) and b(leaf, block, with) hold the blocks of the other side that each meets, so the pairs of a
+    crowded leaf are dealt like those of any other.
+    """
+    left = a.select("leaf", F.col("block").alias("i"), F.col("masks").alias("masks_a"), F.col("rows").alias("rows_a"), F.explode("with").alias("j"))
+    right = b.select("leaf", F.col("block").alias("j"), F.col("masks").alias("masks_b"), F.col("rows").alias("rows_b"), F.explode("with").alias("i"))
+    return left.join(right, ["leaf", "i", "j"]).select("leaf", "masks_a", "rows_a", "masks_b", "rows_b")
+
+
+def _sides(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    for r in batch.to_pylist():
+        side = []
+        for s in "ab":
+            masks = np.frombuffer(r[f"masks_{s}"], dtype="<i8")
+            side += [masks, np.frombuffer(r[f"rows_{s}"], dtype="<u4").reshape(len(masks), -1)]
+        yield (r["leaf"], *side)
+
+
+def _edges(similarity: float):
+    """low < high: the lines of two blocks that fit each other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, ma, xa, mb, xb in _sides(batch):
+                found = [mb[_fits(xb, x, similarity)] for x in xa]
+                one, other = np.repeat(ma, [len(f) for f in found]), np.concatenate(found)
+                if np.array_equal(ma, mb):
+                    one, other = one[other < one], other[other < one]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, other)), pa.array(np.maximum(one, other))], names=["low", "high"])
+
+    return run
+
+
 def _matcher(similarity: float):
-    """The leader, of those at hand, that takes each line, or null."""
+    """The first leader of a block that takes each line of another, where one does."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for leaf, ma, xa, mb, xb in _sides(batch):
+                best = np.array([_first(xb, x, similarity) for x in xa])
+                hit = np.flatnonzero(best >= 0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), leaf)), pa.array(ma[hit]), pa.array(mb[best[hit]])], names=["leaf", "mask", "template"])
+
+    return run
+
+
+def first_leaders(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, its leader) of the lines that are taken, when lines come in order and take all later ones that fit them."""
+    order = np.lexsort((low, high))
+    taken: dict[int, int] = {}
+    for a, b in zip(low[order].tolist(), high[order].tolist(), strict=True):
+        if b not in taken and a not in taken:  # all that can take a came before, and so has the lowest that takes b
+            taken[b] = a
+    return np.array(list(taken), dtype=np.int64), np.array(list(taken.values()), dtype=np.int64)
 
-    def deal(t: pa.Table, leaders: pa.Table) -> pa.Table:
-        leaders = leaders.sort_by("mask")
-        held, names = _rows(leaders), leaders.column("mask").to_pylist()
-        held = np.stack(held) if held else np.zeros((0, 0), dtype=np.uint32)
-        best = [_first(held, x, similarity) for x in _rows(t)]
-        return t.select(["leaf", "mask", "tokens"]).append_column("template", pa.array([names[i] if i >= 0 else None for i in best], type=pa.int64()))
 
-    return deal
+def _in_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [(b.column("low").to_numpy(), b.column("high").to_numpy()) for b in batches]
+    if held:
+        mask, template = first_leaders(*(np.concatenate([h[i] for h in held]) for i in (0, 1)))
+        yield pa.RecordBatch.from_arrays([pa.array(mask), pa.array(template)], names=["mask", "template"])
+
+
+def leaders_by_edges(edges: DataFrame, small: int = SMALL) -> DataFrame:
+    """(mask, template) of the lines that are taken, from written edges(low, high) of lines that fit each other.
+
+    Few edges go to one task.  Above, each round settles all lines that no undecided earlier line fits: they lead, and
+    take what fits them.  Orders are random, so the rounds grow with the logarithm of the number of lines.
+    """
+    if edges.count() <= small:
+        return edges.coalesce(1).mapInArrow(_in_one, "mask long, template long")
+    left, taken = edges, None
+    while not left.isEmpty():
+        heads = left.select("low").distinct().join(left.select(F.col("high").alias("low")).distinct(), "low", "left_anti")
+        now = written(left.join(heads, "low", "left_semi").select(F.col("high").alias("mask")).distinct(), "taken")
+        taken = now if taken is None else taken.unionByName(now)
+        for end in ("low", "high"):
+            left = left.join(now.select(F.col("mask").alias(end)), end, "left_anti")
+        left = written(left.select("low", "high"), "edges")
+    free = edges.join(taken.select(F.col("mask").alias("low")), "low", "left_anti")
+    return free.groupBy(F.col("high").alias("mask")).agg(F.min("low").alias("template"))
 
 
-TAKEN = "leaf long, mask long, tokens binary, template long"
+def _numbers(count: str) -> F.Column:
+    return F.sequence(F.lit(0).cast("long"), F.col(count) - 1)
 
 
 def _rounds(rest: DataFrame, similarity: float, leaf_lines: int, leaf_bytes: int) -> list[DataFrame]:
     """(mask, template) of the lines of rest(leaf, mask, tokens), a table for each step.
 
-    A round takes about `leaf_lines` lines of each leaf, or `leaf_bytes`, so the rounds grow with a leaf's templates.
+    The first round finds the leaders among the first `leaf_lines` lines (or `leaf_bytes`) of each leaf, and every round
+    twice as many as the one before, so the rounds grow with the logarithm of a leaf's lines, whatever its templates.
+    All other lines of the leaf are then compared with the new leaders, block by block; those that are not taken go on.
+    A line that no leader of the first s lines takes fits few of the next s, so their edges are few.
     """
-    out, width = [], partitions(rest.sparkSession)
+    out, width, grow = [], partitions(rest.sparkSession), 1
     while not rest.isEmpty():
-        share = F.least(F.lit(leaf_lines), F.greatest(F.lit(1), F.floor(leaf_bytes / F.max(F.octet_length("tokens"))))).cast("long")
-        sizes = rest.groupBy("leaf").agg(F.min("mask").alias("low"), F.count(F.lit(1)).alias("n"), share.alias("share"))
+        lines = F.least(F.lit(leaf_lines), F.greatest(F.lit(1), F.floor(leaf_bytes / F.max(F.octet_length("tokens"))))).cast("long")
+        sizes = rest.groupBy("leaf").agg(F.min("mask").alias("low"), F.count(F.lit(1)).alias("n"), lines.alias("lines"))
+        share = F.col("lines") * grow
         # Masks are hashes: of the n above the lowest, about `share` lie in this part of what is above it.
-        top = F.col("low") + (float(2**63 - 1) - F.col("low").cast("double")) * F.col("share") / F.col("n")
-        border = F.when(F.col("n") <= F.col("share"), F.lit(2**63 - 1)).otherwise(F.greatest("low", top.cast("long")))
-        dealt = rest.join(sizes.select("leaf", border.alias("border"), F.ceil(F.col("n") / F.col("share")).alias("deals")), "leaf")
-        first = dealt.where("mask <= border").select("leaf", "mask", "tokens").repartition(width, "leaf")
-        first = written(first.groupBy("leaf").applyInArrow(_templates(similarity), TAKEN), "leaders")
-        out.append(first.select("mask", "template"))
-        others = dealt.where("mask > border").withColumn("deal", F.pmod(F.xxhash64("mask"), "deals"))
-        others = written(others.select("leaf", "deal", "deals", "mask", "tokens"), "others")
+        top = F.col("low") + (float(2**63 - 1) - F.col("low").cast("double")) * share / F.col("n")
+        border = F.when(F.col("n") <= share, F.lit(2**63 - 1)).otherwise(F.greatest("low", top.cast("long")))
+        crowded = sizes.where("n > lines").select("leaf", border.alias("border"), F.ceil(F.least(share, "n") / F.col("lines")).alias("firsts"), F.when(F.col("n") <= share, F.lit(0)).otherwise(F.ceil(F.col("n") / F.col("lines"))).cast("long").alias("deals"))
+        # Leaves of many lines are met in as many places as there are tasks, so that no task reads such a leaf whole.
+        spread = F.pmod(F.xxhash64("mask"), F.lit(width)).alias("spread")
+        crowded = crowded.withColumn("spread", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))))
+        dealt = rest.select("*", spread).join(crowded, ["leaf", "spread"], "left")
+        dealt = dealt.select("leaf", "mask", "tokens", F.coalesce("border", F.lit(2**63 - 1)).alias("border"), F.coalesce("firsts", F.lit(1)).cast("long").alias("firsts"), F.coalesce("deals", F.lit(0)).cast("long").alias("deals"))
+        first, others = dealt.where("mask <= border"), dealt.where("mask > border")
+
+        alone = first.where("firsts = 1").drop("border").repartition(width, "leaf")
+        led = written(alone.groupBy("leaf").applyInArrow(_templates(similarity), TAKEN), "leaders")
+        if grow > 1:
+            many = written(first.where("firsts > 1").drop("border").withColumn("block", F.pmod(F.xxhash64("mask"), "firsts")), "firsts")
+            blocks = written(_packed(many, width), "blocks")
+            pairs = _met(blocks.withColumn("with", F.filter(_numbers("firsts"), lambda j: j >= F.col("block"))), blocks.withColumn("with", F.filter(_numbers("firsts"), lambda i: i <= F.col("block"))))
+            taken = leaders_by_edges(written(pairs.mapInArrow(_edges(similarity), "low long, high long"), "edges"))
+            more = many.join(taken, "mask", "left").select("leaf", "mask", "tokens", "firsts", "deals", F.coalesce("template", "mask").alias("template"))
+            led = led.unionByName(written(more, "leaders"))
+        out.append(led.select("mask", "template"))
+
+        others = written(others.drop("border").withColumn("block", F.pmod(F.xxhash64("mask"), "deals")), "others")
         if others.isEmpty():
             break
-        leaders = first.where("mask = template").join(others.select("leaf", "deals").distinct(), "leaf")
-        leaders = leaders.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1))).select("leaf", "deal", "mask", "tokens")
-        keys = ["leaf", "deal"]
-        both = others.drop("deals").repartition(width, *keys).groupBy(*keys).cogroup(leaders.repartition(width, *keys).groupBy(*keys))
-        matched = written(both.applyInArrow(_matcher(similarity), TAKEN), "matched")
-        out.append(matched.where(F.col("template").isNotNull()).select("mask", "template"))
-        rest = matched.where(F.col("template").isNull()).select("leaf", "mask", "tokens")
+        heads = led.where("mask = template AND deals > 0").withColumn("block", F.pmod(F.xxhash64("mask"), "firsts"))
+        a, b = _packed(others, width).withColumn("with", _numbers("firsts")), _packed(heads, width).withColumn("with", _numbers("deals"))
+        matched = written(_met(a, b).mapInArrow(_matcher(similarity), "leaf long, mask long, template long").groupBy("mask").agg(F.min("template").alias("template")), "matched")
+        out.append(matched)
+        rest = written(others.select("leaf", "mask", "tokens").join(matched.select("mask"), "mask", "left_anti"), "rest")
+        grow *= 2
     return out
 
 
