@@ -22,6 +22,23 @@ def test_path_conflict_keeps_the_old_identity(spark):
     assert got == {"a.jpg": (1, "ann", "a.jpg", 0.4), "b.jpg": (2, "cy", "b.jpg", 0.5)}
 
 
+def test_repeated_keys_leave_one_row(spark):
+    """In one batch and across batches, with and without an order; the first identity and the last values stay."""
+    old = spark.createDataFrame([(1, "ann", "a.jpg", 0.9)], "id long, identity string, image_path string, det_score double")
+    new = [("bob", "a.jpg", 0.4, 2), ("cy", "a.jpg", 0.3, 3), ("dan", "b.jpg", 0.8, 5), ("eve", "b.jpg", 0.5, 6), ("eve", "b.jpg", 0.5, 6), ("fay", None, 0.1, 7)]
+    rows = spark.createDataFrame(new, "identity string, image_path string, det_score double, seq int").repartition(3)
+    got = tables.upsert_faces(old, rows, order="seq")
+    assert sorted(map(tuple, got.collect())) == [(1, "ann", "a.jpg", 0.3), (2, "dan", "b.jpg", 0.5)]
+    assert sorted(map(tuple, tables.upsert_faces(got, rows, order="seq").collect())) == [(1, "ann", "a.jpg", 0.3), (2, "dan", "b.jpg", 0.5)]
+    plain = tables.upsert_faces(old, rows).collect()
+    assert sorted(map(tuple, plain)) == [(1, "ann", "a.jpg", 0.3), (2, "dan", "b.jpg", 0.5)]  # by value: eve is above dan, cy above bob
+    vectors = spark.createDataFrame([(1, [9.0], 1), (1, [2.0, 3.0], 2), (2, [5.0], 1), (2, [5.0], 1)], "face_id long, vector array<double>, seq int")
+    table = spark.createDataFrame([(1, 3, [0.0, 0.0, 0.0])], "face_id long, dim int, vector array<double>")
+    assert sorted((r["face_id"], r["dim"], r["vector"]) for r in tables.upsert_embeddings(table, vectors, order="seq").collect()) == [(1, 2, [2.0, 3.0]), (2, 1, [5.0])]
+    labels = spark.createDataFrame([("r", 1, 4), ("r", 1, 5), ("r", 1, 5)], schema.CLUSTER_RESULTS)
+    assert list(map(tuple, tables.upsert_labels(labels.limit(0), labels).collect())) == [("r", 1, 5)]
+
+
 def test_stale_labels_survive_a_new_run(spark):
     old = spark.createDataFrame([("r", 1, 4), ("r", 2, 5)], schema.CLUSTER_RESULTS)
     new = spark.createDataFrame([("r", 1, 9)], schema.CLUSTER_RESULTS)
@@ -253,6 +270,34 @@ def test_stream_equals_the_ordered_fold(spark, sf, tmp_path):
     assert store.read("decisions").count() == before
 
 
+def test_a_face_that_arrives_again_counts_once(spark, sf, tmp_path):
+    """Twice in one batch, again in a later one, and again while it waits for review."""
+    from vecloom.operators import centroids as cen
+    from vecloom.streaming import arrivals as arr
+
+    m = schema.labelled(spark, sf).where("face_id < 120").cache()
+    c = cen.centroids(m)
+    queue = m.where("cluster_label = -1").selectExpr("run_label", "face_id AS seq", "face_id + 1000 AS face_id", "vector").cache()
+    again = queue.unionByName(queue.withColumn("seq", F.col("seq") + 500))
+    stores = []
+    for name, batches in (("once", [queue]), ("often", [again, queue, again])):
+        store = Store(spark, f"file://{tmp_path}/{name}")
+        arr.prepare(store, m, c)
+        for epoch, batch in enumerate(batches):
+            arr.apply_batch(store, batch, epoch, compact_every=2)
+        stores.append(store)
+    one, many = stores
+    for store in stores:
+        for name in ("members", "pending_reviews"):
+            t = store.read(name)
+            assert t.select("run_label", "face_id").distinct().count() == t.count()
+        sizes = {r["cluster_label"]: r["n"] for r in store.read("members").where("cluster_label <> -1").groupBy("cluster_label").agg(F.count(F.lit(1)).alias("n")).collect()}
+        assert {r["cluster_label"]: r["n_members"] for r in store.read("centroids").collect()} == sizes
+    first = lambda s: sorted((r["face_id"], r["status"]) for r in s.read("decisions").where("epoch = 0").collect())
+    assert first(one) == first(many) and one.read("members").count() <= many.read("members").count()
+    assert [kind for _, kind in many._versions("members")][-1] in "va" and "v" in [kind for _, kind in many._versions("members")][1:]
+
+
 class Failing(Store):
     """Fails after a given number of writes, commits included."""
 

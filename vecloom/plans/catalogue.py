@@ -520,11 +520,13 @@ def missing_sources(spark, d):
 
 @query
 def upsert_faces(spark, d):
-    """Every face arrives again under another identity, and once under a path of its own."""
+    """Every face arrives twice more under another identity, and twice under a path of its own; later values count."""
     f = schema.faces(spark, d)
-    again = f.select("image_path", F.lit("someone").alias("identity"), F.lit(0.5).alias("det_score"))
-    fresh = f.select(F.concat(F.lit("new/"), "image_path").alias("image_path"), "identity", "det_score")
-    return tables.upsert_faces(f, again.unionByName(fresh)).select("id", "identity", "image_path", "det_score")
+    again = f.select("image_path", F.lit("someone").alias("identity"), F.lit(0.25).alias("det_score"), F.lit(1).alias("seq"))
+    fresh = f.select(F.concat(F.lit("new/"), "image_path").alias("image_path"), "identity", F.lit(0.75).alias("det_score"), F.lit(1).alias("seq"))
+    rows = again.unionByName(fresh)
+    later = rows.withColumns({"identity": F.lit("another"), "det_score": F.when(F.col("image_path").startswith("new/"), F.col("det_score") + 0.125).otherwise(F.lit(0.5)), "seq": F.lit(2)})
+    return tables.upsert_faces(f, rows.unionByName(later), order="seq").select("id", "identity", "image_path", "det_score")
 
 
 @query
@@ -538,8 +540,10 @@ def upsert_labels(spark, d):
 
 @query
 def upsert_embeddings(spark, d):
+    """Every vector arrives twice; the later one counts."""
     e = schema.raw(spark, d).select("face_id", F.size("vector").alias("dim"), "vector")
-    return tables.upsert_embeddings(e, e.select("face_id", F.slice("vector", 2, 8).alias("vector"))).select("face_id", "dim", rounded(F.col("vector")[0]).alias("first"))
+    rows = e.select("face_id", F.slice("vector", 1, 16).alias("vector"), F.lit(1).alias("seq")).unionByName(e.select("face_id", F.slice("vector", 2, 8).alias("vector"), F.lit(2).alias("seq")))
+    return tables.upsert_embeddings(e, rows, order="seq").select("face_id", "dim", rounded(F.col("vector")[0]).alias("first"))
 
 
 @query

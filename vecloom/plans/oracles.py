@@ -166,7 +166,7 @@ ORACLES: dict[str, str] = {
     "crop_names": f"WITH {FACES} SELECT id, identity || '__' || id || '__face' || id % 3 || '.jpg' AS crop, 'crop_' || id || '_' || id % 3 || '.jpg' AS detector_crop, CAST(id AS VARCHAR) AS stem, '.jpg' AS suffix FROM f",
     "folder_manifest": f"WITH {CR} SELECT CASE WHEN cluster_label = -1 THEN 'noise' ELSE 'cluster_' || cluster_label END AS cluster_folder, identity || '/' || face_id || '.jpg' AS src, 'default/arcface/' || CASE WHEN cluster_label = -1 THEN 'noise' ELSE 'cluster_' || cluster_label END || '/' || identity || '__' || face_id || '.jpg' AS dst FROM cr",
     "missing_sources": f"WITH {FACES} SELECT image_path AS src FROM f WHERE id % 4 = 1 ORDER BY src LIMIT 20",
-    "upsert_faces": f"WITH {FACES} SELECT id, identity, image_path, 0.5::DOUBLE AS det_score FROM f UNION ALL SELECT (SELECT max(id) FROM f) + row_number() OVER (ORDER BY 'new/' || image_path), identity, 'new/' || image_path, det_score FROM f",
+    "upsert_faces": f"WITH {FACES} SELECT id, identity, image_path, 0.5::DOUBLE AS det_score FROM f UNION ALL SELECT (SELECT max(id) FROM f) + row_number() OVER (ORDER BY 'new/' || image_path), identity, 'new/' || image_path, 0.875::DOUBLE FROM f",
     "upsert_labels": f"WITH {CR} SELECT run_label, face_id, cluster_label + 80 AS cluster_label FROM cr UNION ALL SELECT 'other', face_id, cluster_label FROM cr",
     "upsert_embeddings": f"WITH {R} SELECT face_id, 8 AS dim, round(vector[2], 6) + 0.0 AS first FROM r",
     "relabel": f"WITH {CR} SELECT CASE WHEN cluster_label = 5 THEN 2 ELSE cluster_label END AS cluster_label, count(*) AS n FROM cr GROUP BY 1",

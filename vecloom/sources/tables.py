@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.operators.ranks import numbered
@@ -12,12 +12,19 @@ from vecloom.sources.scratch import delete
 def upsert(table: DataFrame, rows: DataFrame, keys: tuple[str, ...], keep_old: tuple[str, ...] = (), order: str | None = None) -> DataFrame:
     """table with rows written over it by key: new values win, except in the columns of keep_old.
 
-    Several rows of one key: the last by `order` counts.  Rows of the table that are not named stay.
+    Several rows of one key count as if written one after the other by `order`, so the last one's values stay, and the
+    first one's in the columns of keep_old.  Rows that `order` does not tell apart, or all if it is not given, come in
+    the order of their values, column by column.  Rows without a key, a null in one of its columns, name nothing and are
+    left out.  Rows of the table that are not named stay.
     """
-    if order:
-        w = Window.partitionBy(*keys).orderBy(F.desc(order))
-        rows = rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
     values = [c for c in table.columns if c not in keys]
+    given = [c for c in values if c in rows.columns]
+    kept, set_ = [c for c in given if c in keep_old], [c for c in given if c not in keep_old]
+    turn = F.struct(*([order] if order else []), *given)
+    ends = [f(F.struct(*cols), turn).alias(name) for f, cols, name in ((F.min_by, kept, "_first"), (F.max_by, set_, "_last")) if cols]
+    named = rows.dropna(subset=list(keys))
+    one = named.groupBy(*keys).agg(*ends) if ends else named.select(*keys).distinct()
+    rows = one.select(*keys, *[F.col(f"_first.{c}") for c in kept], *[F.col(f"_last.{c}") for c in set_])
     new = rows.select(*keys, *[F.col(c).alias(f"_new_{c}") if c in rows.columns else F.lit(None).alias(f"_new_{c}") for c in values], F.lit(True).alias("_hit"))
     old = table.withColumn("_was", F.lit(True))
     both = old.join(new, [*keys], "full_outer")
@@ -32,13 +39,14 @@ def upsert(table: DataFrame, rows: DataFrame, keys: tuple[str, ...], keep_old: t
     return both.select(*[F.col(c) if c in keys else value(c).alias(c) for c in table.columns])
 
 
-def upsert_faces(faces: DataFrame, rows: DataFrame, keys: tuple[str, ...] = ("image_path",)) -> DataFrame:
+def upsert_faces(faces: DataFrame, rows: DataFrame, keys: tuple[str, ...] = ("image_path",), order: str | None = None) -> DataFrame:
     """Faces by path (or path and index): a path that is known keeps its identity, id and creation time.
 
-    Fresh paths get ids above the largest, in the order of their keys.
+    Fresh paths get ids above the largest, in the order of their keys; one that comes several times gets one id, and the
+    identity that came first.
     """
     kept = tuple(c for c in ("id", "identity", "created_at") if c in faces.columns)
-    out = upsert(faces, rows, keys, kept)
+    out = upsert(faces, rows, keys, kept, order)
     top = faces.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     fresh = out.where(F.col("id").isNull()).join(top, F.lit(True))  # top is one row
     fresh = numbered(fresh, "_fresh", *keys).withColumn("id", (F.col("top") + F.col("_fresh") + 1).cast("long"))
