@@ -358,7 +358,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, max
     negative = min(totals.get(0, 0), max_labelled - positive)
     first = lambda y, n: smallest(known.where(F.col("toxic") == y), n, totals.get(y, 0), "doc_id")
     sample = written(first(1, positive).unionByName(first(0, negative)), "toxic-sample")
-    labelled = texts.join(F.broadcast(sample), "doc_id")  # at most max_labelled rows of two numbers
+    labelled = written(texts.join(F.broadcast(sample), "doc_id"), "toxic-texts")  # sample: max_labelled rows of two numbers at most
     # A word votes only if it says the same in two halves of the sample: one that came in by chance does not.
     half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int")
     sizes = {(r["half"], r["toxic"]): r["n"] for r in sample.groupBy(half.alias("half"), "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
