@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import base64
 import re
+import sys
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,7 +30,7 @@ from vecloom.llm._tokens import tokenizer_path
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pieces and pairs of tokens that a worker remembers, and the longest piece that it does.
-CACHE_PIECES, CACHE_PAIRS, PIECE_CHARS = 200_000, 500_000, 64
+CACHE_PIECES, CACHE_PAIRS, PIECE_CHARS = 600_000, 500_000, 64
 ROWS_BYTES = 8 << 20
 
 
@@ -137,16 +139,17 @@ class BytePairs:
             raise ValueError(f"{path} lacks single bytes, so it cannot encode all texts")
         self.pattern, self.gap = regex.compile(pattern), _splitter_gap(pattern)
         self.bytes_of = {r: b for b, r in self.ranks.items()}
-        self.length = {r: len(b) for b, r in self.ranks.items()}
+        self.length, self.shorter = [0] * (max(self.bytes_of) + 1), [-1] * (max(self.bytes_of) + 1)
         self.automaton = ahocorasick.Automaton()
-        self.shorter: dict[int, int] = {}
         for raw, rank in self.ranks.items():
-            self.automaton.add_word(raw.decode("latin-1"), (rank, len(raw)))
+            self.automaton.add_word(raw.decode("latin-1"), rank)
+            self.length[rank] = len(raw)
             self.shorter[rank] = next((self.ranks[raw[:n]] for n in range(len(raw) - 1, 0, -1) if raw[:n] in self.ranks), -1)
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
         self.traces: dict[int, Trace] = {}
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def trace(self, token: int) -> Trace:
         found = self.traces.get(token)
@@ -172,30 +175,40 @@ class BytePairs:
         whole = self.ranks.get(raw)
         if whole is not None:
             return [whole]
-        longest = [-1] * len(raw)
-        for end, (rank, size) in self.automaton.iter(raw.decode("latin-1")):
-            longest[end - size + 1] = rank  # later ends are longer tokens
-        dead, out, at, t = bytearray(len(raw) + 1), [], 0, longest[0]
-        length, shorter, fits = self.length, self.shorter, self.fits
-        while at < len(raw):
-            while t >= 0 and (dead[at + length[t]] or not fits(out[-1] if out else -1, t)):
+        n, length, shorter, pairs = len(raw), self.length, self.shorter, self.pairs
+        longest = [-1] * n
+        for end, rank in self.automaton.iter(raw.decode("latin-1")):
+            longest[end - length[rank] + 1] = rank  # later ends are longer tokens
+        dead, out, at, before, t = bytearray(n + 1), [], 0, -1, longest[0]
+        while at < n:
+            while t >= 0:
+                if not dead[at + length[t]]:
+                    fits = pairs.get((before + 1) << 32 | t)
+                    if self.fits(before, t) if fits is None else fits:
+                        break
                 t = shorter[t]
             if t >= 0:
                 out.append(t)
                 at += length[t]
-                t = longest[at] if at < len(raw) else -1
+                before = t
+                if at < n:
+                    t = longest[at]
             else:  # nothing fits here: the token before must be a shorter one
                 dead[at] = 1
                 t = out.pop()
+                before = out[-1] if out else -1
                 at -= length[t]
                 t = shorter[t]
         return out
 
     def _piece(self, piece: str) -> bytes:
-        ids = np.array(self.cover(piece.encode()), dtype="<u4").tobytes()
+        """ids of a piece that the younger pieces do not have; when they are many, they become the older ones."""
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = array("I", self.cover(piece.encode())).tobytes()
         if len(piece) <= PIECE_CHARS:
-            if len(self.pieces) >= CACHE_PIECES:
-                self.pieces.clear()
+            if len(self.pieces) >= CACHE_PIECES // 2:
+                self.older, self.pieces = self.pieces, {}
             self.pieces[piece] = ids
         return ids
 
@@ -204,7 +217,8 @@ class BytePairs:
         known, out = self.pieces.get, []
         for piece in split(text, self.pattern, self.gap):
             out.append(known(piece) or self._piece(piece))
-        return b"".join(out)
+        joined = b"".join(out)
+        return joined if sys.byteorder == "little" else np.frombuffer(joined, dtype=">u4").astype("<u4").tobytes()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
