@@ -190,17 +190,6 @@ def test_aligners_by_model(spark):
     assert bytes(out.head()["crop"]) == b"ab\0"
 
 
-def test_broken_images_are_left_out(spark, tmp_path):
-    png = bytes.fromhex("89504E470D0A1A0A") + b"x" * 20 + bytes.fromhex("0000000049454E44AE426082")
-    files = {"a.png": png, "cut.png": png[:-6], "b.jpg": b"\xff\xd8\xff\xe0 data \xff\xd9", "text.jpg": b"<html>", "c.bmp": b"BM and more", "d.webp": b"RIFF1234WEBPVP8 "}
-    (tmp_path / "ann").mkdir()
-    for name, raw in files.items():
-        (tmp_path / "ann" / name).write_bytes(raw)
-    names = lambda df: sorted(os.path.basename(r["image_path"]) for r in df.collect())
-    assert names(scan.valid_images(spark, f"file://{tmp_path}", whole=True)) == ["a.png", "b.jpg", "c.bmp", "d.webp"]
-    assert len(names(scan.valid_images(spark, f"file://{tmp_path}"))) == 6
-
-
 def test_length_check(spark):
     f = spark.createDataFrame([(1,), (2,)], "id long")
     ok = spark.createDataFrame([(1, 0), (2, 0)], "face_id long, cluster_label int")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,6 +12,8 @@ from pyspark.sql import functions as F
 
 from vecloom import schema
 from vecloom.functions import text
+from vecloom.sources.images import image_fault
+from vecloom.sources.ship import ship
 
 # Suffixes that scans accept.
 SCAN = ("jpg", "jpeg", "png", "JPG", "JPEG", "PNG")
@@ -33,26 +34,16 @@ def labelled_tree(spark: SparkSession, root: str) -> DataFrame:
     return found.where(two).select(text.parent(F.col("path")).alias("identity"), F.col("path").alias("image_path")).distinct().orderBy("identity", "image_path")
 
 
-# How files of the accepted kinds begin (hexadecimal), and how they end where that is settled.
-SIGNATURES = {"jpeg": ("FFD8FF", "FFD9"), "png": ("89504E470D0A1A0A", "49454E44AE426082"), "bmp": ("424D", ""), "webp": ("52494646........57454250", "")}
-
-
-def looks_whole(content: Column) -> Column:
-    """Whether bytes begin as an image of a known kind does and, for JPEG and PNG, end as a complete one does."""
-    head, tail = F.hex(F.substring(content, 1, 12)), F.hex(F.substring(content, -8, 8))
-    kinds = [head.rlike(f"^{begin}") & tail.rlike(f"{end}(?:00)*$") for begin, end in SIGNATURES.values()]
-    return reduce(Column.__or__, kinds)
-
-
 def valid_images(spark: SparkSession, root: str, whole: bool = False) -> DataFrame:
     """identity, image_path, length of all files below root with a LOADER suffix and some content.
 
-    Files of a folder named like the root itself are outliers.  whole: contents are read, and files that do not look
-    like a complete image are left out; whether the pixels decode is for the detector to say.
+    Files of a folder named like the root itself are outliers.  whole: files in whose structure something is wrong
+    (images.fault) are left out.  That reads every byte, where a scan reads names, so it is off unless asked for.
     """
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(looks_whole(F.col("content"))).select("path", "length") if whole else _files(spark, root)
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(image_fault(F.col("content")).isNull()).select("path", "length") if whole else _files(spark, root)
     f = f.where(F.lower("path").rlike(r"\.(" + "|".join(LOADER) + ")$") & (F.col("length") > 0))
     f = f.where(~text.basename(F.col("path")).startswith("."))
+    ship(spark)
     name = root.rstrip("/").split("/")[-1].lower()
     return f.select(text.identity_of_folder(F.col("path"), name).alias("identity"), F.col("path").alias("image_path"), "length").orderBy("image_path")
 

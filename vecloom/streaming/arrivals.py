@@ -27,7 +27,7 @@ def once(batch: DataFrame, members: DataFrame) -> DataFrame:
     return fresh.withColumn("_n", F.row_number().over(turn)).where("_n = 1").select(batch.columns)
 
 
-def apply_batch(store: Store, batch: DataFrame, epoch: int, t: Thresholds = Thresholds(), compact_every: int = 100) -> None:
+def apply_batch(store: Store, batch: DataFrame, epoch: int, t: Thresholds = Thresholds(), compact_every: int = 100, also: dict[str, DataFrame] | None = None) -> None:
     """Decides one micro-batch and publishes decisions, members, centroids and pending reviews together.
 
     A commit, written last, names the new versions.  A batch that is delivered again after a failure starts from the
@@ -36,7 +36,8 @@ def apply_batch(store: Store, batch: DataFrame, epoch: int, t: Thresholds = Thre
 
     A face is decided once in a run: of arrivals that repeat it within a batch the first by seq counts, and one that is a
     member of a cluster already is passed over.  Noise that arrives and is taken is noise no more.  A face that waits for review may come again; it waits once.  Additions are folded
-    into whole versions every `compact_every` epochs, so the folders that a batch lists stay few.
+    into whole versions every `compact_every` epochs, so the folders that a batch lists stay few.  also: rows to add to
+    other tables, published by the same commit.
     """
     last, versions = store.committed()
     if epoch <= last:
@@ -62,9 +63,10 @@ def apply_batch(store: Store, batch: DataFrame, epoch: int, t: Thresholds = Thre
         "pending_reviews": store.append("pending_reviews", reviews.join(waiting.select("run_label", "face_id"), ["run_label", "face_id"], "left_anti").select(reviews.columns)),
         "decisions": store.append("decisions", out.select("epoch", "run_label", "seq", "face_id", "status", "cluster_label", "distance")),
     }
+    versions |= {name: store.append(name, rows) for name, rows in (also or {}).items()}
     store.commit(epoch, versions)
     if (epoch + 1) % compact_every == 0:
-        store.commit(epoch, versions | {name: store.compact(name) for name in ("members", "pending_reviews", "decisions")})
+        store.commit(epoch, versions | {name: store.compact(name) for name in ("members", "pending_reviews", "decisions", *(also or {}))})
 
 
 def prepare(store: Store, members: DataFrame, cents: DataFrame) -> None:
