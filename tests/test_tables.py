@@ -119,6 +119,34 @@ def test_manifest_overwrites_only_its_run(spark, tmp_path):
     assert {r["dst"] for r in sinks.manifest(m, "r", capital=True).collect()} == {"r/arcface/Noise/a__1.jpg", "r/arcface/Cluster_3/a__2.jpg"}
 
 
+def files_below(root):
+    return {os.path.relpath(os.path.join(d, n), root): open(os.path.join(d, n), "rb").read() for d, _, names in os.walk(root) for n in names if not n.endswith(".crc")}
+
+
+def test_export_of_cluster_folders(spark, tmp_path):
+    """Files are copied; missing ones are listed; another run stays; a failing task leaves the old export whole."""
+    src = tmp_path / "raw"
+    src.mkdir()
+    for i in range(4):
+        (src / f"{i}.jpg").write_bytes(bytes([i]) * (i + 1))
+    kinds = "face_id long, identity string, image_path string, cluster_label int"
+    faces = spark.createDataFrame([(i, "ann", f"file:{src}/{i}.jpg", i % 2 - 1) for i in range(5)], kinds)
+    root = f"{tmp_path}/out"
+    gone = sinks.export(sinks.manifest(faces, "one"), f"file://{root}")
+    assert [os.path.basename(r["src"]) for r in gone.collect()] == ["4.jpg"]
+    first = files_below(root)
+    assert first == {"one/arcface/noise/ann__0.jpg": b"\0", "one/arcface/noise/ann__2.jpg": b"\2" * 3, "one/arcface/cluster_0/ann__1.jpg": b"\1" * 2, "one/arcface/cluster_0/ann__3.jpg": b"\3" * 4}
+    sinks.export(sinks.manifest(faces.where("face_id = 1"), "two"), f"file://{root}")
+    assert files_below(root) == first | {"two/arcface/cluster_0/ann__1.jpg": b"\1" * 2}
+    before = files_below(root)
+    bad = sinks.manifest(faces.where("face_id < 3"), "one").withColumn("src", F.when(F.col("src").endswith("2.jpg"), "nosuchscheme://x/2.jpg").otherwise(F.col("src")))
+    with pytest.raises(Exception, match="(?i)scheme"):
+        sinks.export(bad, f"file://{root}")
+    assert files_below(root) == before and sorted(os.listdir(root)) == ["one", "two"]
+    sinks.export(sinks.manifest(faces.where("face_id = 2"), "one"), f"file://{root}")
+    assert files_below(root) == {"one/arcface/noise/ann__2.jpg": b"\2" * 3, "two/arcface/cluster_0/ann__1.jpg": b"\1" * 2}
+
+
 def test_registry_document_reads_back(spark, tmp_path):
     rows = [('a "b".jpg', 0, "a_0.jpg", 1, 2, 3, 4), ('a "b".jpg', 1, "a_1.jpg", 5, 6, 7, 8), ("z.jpg", 0, "z_0.jpg", 9, 9, 9, 9)]
     boxes = spark.createDataFrame(rows, "filename string, box_index int, crop_filename string, x int, y int, width int, height int")
