@@ -18,7 +18,7 @@ from vecloom.llm import ann, decontamination, line_dedup, packing, secrets, shar
 from vecloom.llm._tokens import Encoder
 from vecloom.llm.near_dedup import near_duplicates
 from vecloom.llm.pii import PATTERNS, pii
-from vecloom.llm.substring_dedup import FingerprintIndex, due, partition_keys, substring_dedup
+from vecloom.llm.substring_dedup import FingerprintIndex, due, part_numbers, partition_keys, substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TEXT = st.text(alphabet=st.sampled_from("ab é\n\t.,'’1  　ñÑ🙂<|>endoftx"), max_size=60)
@@ -128,6 +128,33 @@ def test_another_session_opens_the_index(spark):
     last.drop()
 
 
+def test_an_index_doubles_its_buckets_and_answers_the_same(spark):
+    ids = [0, 5, -7, 2**40, -(2**63), 2**63 - 1, *range(100, 200)]
+    want = [r["p"] for r in spark.createDataFrame([(i,) for i in ids], "i long").selectExpr("pmod(xxhash64(i), 7) AS p").collect()]
+    assert part_numbers(np.array(ids, dtype=np.int64), 7).tolist() == want
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[a : a + 60]) for a in (rng.randrange(330) for _ in range(24))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    three = [docs.where("doc_id < 8"), docs.where("doc_id >= 8 AND doc_id < 16"), docs.where("doc_id >= 16")]
+    answers = []
+    for at in (None, 1, 2, 3):
+        index = FingerprintIndex(spark, fan=2, buckets=4)
+        for i, part in enumerate(three):
+            index.ingest(part)
+            if at == i + 1:
+                index.double()
+        assert index.buckets == (4 if at is None else 8)
+        answers.append(sorted(map(tuple, index.cut(docs).collect())))
+        folder, runs = index.folder, index.runs
+        again = FingerprintIndex.open(spark, folder, fan=2)
+        assert (again.runs, again.buckets) == (runs, index.buckets)
+        assert sorted(map(tuple, again.cut(docs).collect())) == answers[-1]
+        index.drop()
+    assert all(a == answers[0] for a in answers) and sum(r[2] for r in answers[0]) > 100
+    assert answers[0] == sorted(map(tuple, substring_dedup(docs).collect()))
+
+
 def test_windows_are_rewritten_once_per_level():
     runs, rewritten = [], 0  # (level, size)
     for _ in range(64):

@@ -198,6 +198,47 @@ def _union(runs: pa.Table) -> pa.Table:
     return _table(_run(runs.column("bucket")[0].as_py(), h[order], c[order]))
 
 
+def part_numbers(ids: np.ndarray, parts: int) -> np.ndarray:
+    """pmod(xxhash64(id), parts) as Spark computes it (XXH64 of eight bytes, seed 42)."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda v, r: (v << np.uint64(r)) | (v >> np.uint64(64 - r))
+    h = (np.uint64(42) + p5 + np.uint64(8)) ^ (turn(ids.astype(np.int64).view(np.uint64) * p2, 31) * p1)
+    h = turn(h, 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return ((h ^ (h >> np.uint64(32))).view(np.int64) % parts).astype(np.int64)
+
+
+def _doubler(buckets: int, keys: np.ndarray):
+    """Rows of an index of half as many buckets: runs cut where buckets are, marks dealt to the parts of their documents."""
+
+    def halves(r: dict) -> Iterator[tuple]:
+        h = _unplanes(r["hashes"])
+        if r["kind"] == "run":
+            checks = np.frombuffer(r["checks"], dtype=np.uint16)
+            edge = np.searchsorted(_bucket(h, buckets), np.arange(buckets + 1))
+            for b in np.flatnonzero(np.diff(edge)):
+                s = slice(edge[b], edge[b + 1])
+                yield int(keys[b]), -1, None, _planes(h[s]), checks[s].tobytes()
+        else:
+            docs = np.frombuffer(r["docs"], dtype="<i8")
+            parts = part_numbers(docs, buckets)
+            for p in np.unique(parts):
+                m = parts == p
+                yield int(keys[p]), int(p), docs[m].tobytes(), _planes(h[m]), None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.string(), pa.string())
+        for batch in batches:
+            for i in range(batch.num_rows):  # a row may hold millions of windows
+                (r,) = batch.slice(i, 1).to_pylist()
+                rows = [(*x, r["step"], r["kind"]) for x in halves(r)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows], type=t) for c, t in enumerate(kinds)], names=["bucket", "part", "docs", "hashes", "checks", "step", "kind"])
+
+    return run
+
+
 def due(levels: list[int], fan: int) -> list[int]:
     """Numbers of the runs to merge next, of runs with these levels: the `fan` oldest of the lowest level that has so many."""
     for level in sorted(set(levels)):
@@ -352,6 +393,25 @@ class FingerprintIndex:
                 fs_delete(self.spark, f"{self.folder}/step={s}/kind=run")
             self.spark.catalog.refreshTable(self.name)
 
+    def double(self) -> None:
+        """Twice as many buckets, each half of one that was there: for an index whose buckets outgrow a task.
+
+        Buckets are hash ranges, so every task splits what it reads and nothing is shuffled or hashed again but the
+        documents of marks.  The index moves to a new folder; the old one counts until the new one's state is written.
+        """
+        wide = FingerprintIndex(self.spark, self.width, self.fan, 2 * self.buckets)
+        if self.runs or self.repeats:
+            t = self.spark.table(self.name)
+            live = (F.col("kind") == "run") & F.col("step").isin([s for s, _ in self.runs]) | (F.col("kind") == "repeat") & F.col("step").isin(self.repeats)
+            rows = t.where(live).select("bucket", "part", "docs", "hashes", "checks", "step", "kind")
+            rows = rows.mapInArrow(_doubler(wide.buckets, wide.keys), _OUT.replace("kind string", "step string, kind string"))
+            with shuffles_dropped(self.spark):
+                rows.write.partitionBy("step", "kind").bucketBy(wide.buckets, "bucket").option("compression", "zstd").saveAsTable(wide.name)
+            wide.runs, wide.repeats, wide.highest, wide.version = self.runs, self.repeats, self.highest, self.version
+            wide._commit()
+            self.drop()
+        self.__dict__.update(wide.__dict__)
+
     def drop(self) -> None:
         """Deletes the index.  What cut() returned is lazy and reads it, so first write that."""
         if self.spark.catalog.tableExists(self.name):
