@@ -147,6 +147,62 @@ def test_arrivals_start_clusters(spark):
     assert got == [("new_cluster", 1), ("auto_merge", 1)]
 
 
+def clustered(spark, seed, sizes, queued, noise=0.35):
+    """Members around random centres, and a queue of vectors around the same centres, some far from all."""
+    rng = np.random.default_rng(seed)
+    unit = lambda m: m / np.linalg.norm(m, axis=-1, keepdims=True)
+    centres = unit(rng.normal(size=(len(sizes), 12)))
+    rows, face = [], 0
+    for label, n in enumerate(sizes):
+        for v in unit(centres[label] + noise * unit(rng.normal(size=(n, 12))) * rng.random((n, 1))):
+            rows.append(("default", face, "x", label, v.tolist()))
+            face += 1
+    rows.append(("default", face, "x", len(sizes) + 3, [0.0] * 11 + [1.0]))  # a label that has no centroid
+    queue = []
+    for seq in range(queued):
+        v = centres[seq % len(sizes)] + (0.2 + 0.9 * rng.random()) * unit(rng.normal(size=12)) if seq % 9 else rng.normal(size=12)
+        queue.append(("default", seq, 10_000 + seq, (unit(v) * (0.5 + rng.random())).tolist()))
+    m = spark.createDataFrame(rows, MEMBER)
+    return spark.createDataFrame(queue, "run_label string, seq long, face_id long, vector array<double>"), m, cen.centroids(m.where(f"cluster_label < {len(sizes)}"))
+
+
+@pytest.mark.parametrize("grow", [False, True])
+def test_a_fold_needs_only_the_outermost_members(spark, grow):
+    t = dec.Thresholds()
+    seen = set()
+    for seed, sizes in ((1, [900, 300, 40, 3]), (2, [500, 500, 1])):
+        queue, m, c = clustered(spark, seed, sizes, 60)
+        outer = inc.outermost(queue, m, c, t)
+        whole = inc.sequential(queue, m, c, t, grow).orderBy("seq").collect()
+        part = inc.sequential(queue, m, c, t, grow, whole_up_to=0).orderBy("seq").collect()
+        assert [tuple(r)[:5] + tuple(r)[6:8] for r in whole] == [tuple(r)[:5] + tuple(r)[6:8] for r in part]
+        assert [r["distance"] for r in whole] == pytest.approx([r["distance"] for r in part])
+        assert outer.count() < m.count() / 3
+        seen |= {r["status"] for r in whole}
+    assert seen == {"auto_merge", "ask_user", "new_cluster"}
+
+
+def test_a_centroid_turns_no_more_than_said(spark):
+    queue, m, c = clustered(spark, 5, [400, 60, 2], 80)
+    bound = {r["cluster_label"]: (np.array(r["centroid"]), r["turn"]) for r in inc.turns(queue, c, dec.Thresholds()).collect()}
+    moved = [r for r in inc.sequential(queue, m, c).collect() if r["status"] == "auto_merge"]
+    assert moved and bound[0][1] < 0.3 and bound[2][1] == pytest.approx(math.pi)
+    for r in moved:
+        old, turn = bound[r["cluster_label"]]
+        new = np.array(r["centroid"])
+        assert math.acos(min(1.0, float(old @ new / np.linalg.norm(old) / np.linalg.norm(new)))) <= turn + 1e-7
+
+
+def test_a_fold_is_refused_by_what_it_needs(spark, monkeypatch):
+    queue, m, c = clustered(spark, 7, [600, 200], 20)
+    need = inc.outermost(queue, m, c, dec.Thresholds()).count()
+    monkeypatch.setattr(inc, "FOLD_STATE_LIMIT", need)
+    assert inc.sequential(queue, m, c, whole_up_to=0).count() == 20
+    monkeypatch.setattr(inc, "FOLD_STATE_LIMIT", need - 1)
+    with pytest.raises(ValueError, match="needs"):
+        inc.sequential(queue, m, c, whole_up_to=0)
+
+
 def test_label_after_zero(spark):
     df = spark.createDataFrame([(0,), (-1,)], "cluster_label int")
     assert cen.next_label(df).head()[0] == 1 and cen.next_label(df.where("cluster_label = -1")).head()[0] == 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import asdict
 
 import numpy as np
@@ -11,11 +12,18 @@ from pyspark.sql import functions as F
 
 from vecloom.functions import vec
 from vecloom.operators.decide import Thresholds
+from vecloom.operators.pairs import block_pairs
+from vecloom.operators.ranks import numbered
 from vecloom.schema import NOISE
+from vecloom.sources.scratch import settled
 from vecloom.sources.ship import ship
 
-#: Vectors of clusters that one ordered fold may hold (centroids and members' spread state of one run).
+#: Vectors of clusters that one ordered fold may hold (the members of one run that its spread checks can need).
 FOLD_STATE_LIMIT = 200_000
+#: Members of a run up to which a fold is simply given all of them.
+WHOLE_UP_TO = 20_000
+#: Angles by which a centroid may turn within a fold; the smallest that can be shown to hold is taken, else half a turn.
+TURNS = tuple(0.005 * 2**i for i in range(10))
 FOLD = "run_label string, seq long, face_id long, status string, cluster_label int, distance double, n_members long, representative_face_id long, centroid array<double>"
 
 
@@ -107,17 +115,72 @@ class Fold:
         return status, i, d
 
 
-def sequential(queue: DataFrame, members: DataFrame, cents: DataFrame, t: Thresholds = Thresholds(), grow: bool = False) -> DataFrame:
+def turns(queue: DataFrame, cents: DataFrame, t: Thresholds) -> DataFrame:
+    """run_label, cluster_label, centroid, turn: an angle by which the centroid turns at most while queue is folded.
+
+    A vector joins within the angle of t1, so the j-th join turns a centroid of n members by at most
+    atan(|v| sin(t1's angle) / (n + j)).  As long as it has turned by no more than some angle, only vectors within t1's
+    angle and that one of where it began can join.  Are they so few that all of them together turn it by no more, then
+    the angle holds to the end, by induction over the joins.  Vectors near a centroid are counted block by block.
+    """
+    about = settled(numbered(cents.select("run_label", "cluster_label", "centroid", "n_members"), "c", "run_label", "cluster_label"), "numbered")
+    if t.t1 >= 1.0:  # joins from behind: nothing is bounded
+        return about.select("run_label", "cluster_label", "centroid", F.lit(math.pi).alias("turn"))
+    reach = math.acos(1.0 - t.t1)
+
+    def near(_ids, _ga, x, cs, _gb, y):
+        unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), vec.EPS)
+        angle = np.arccos(np.clip(unit(y) @ unit(x).T, -1.0, 1.0))
+        for turn in TURNS:
+            k = (angle <= reach + turn + 1e-7).sum(axis=1)
+            some = np.flatnonzero(k)
+            yield {"c": cs[some], "turn": np.full(len(some), turn), "k": k[some]}
+
+    vectors = queue.select(F.xxhash64("run_label", "seq", "face_id").alias("face_id"), "vector")
+    other = about.select(F.col("c").cast("long").alias("face_id"), F.col("centroid").alias("vector"))
+    counted = block_pairs(vectors, near, "c long, turn double, k long", other=other).groupBy("c", "turn").agg(F.sum("k").alias("k"))
+    longest = queue.agg(F.max(vec.norm(F.col("vector")))).head()[0] or 0.0
+    tried = about.withColumn("turn", F.explode(F.array(*map(F.lit, TURNS)))).join(counted, ["c", "turn"], "left")
+    n = F.greatest(F.col("n_members").cast("double"), F.lit(1e-9))
+    first = 1.0 / (n * F.greatest(vec.norm(F.col("centroid")), F.lit(1e-9)))
+    turned = F.when(F.col("k").isNull(), 0.0).otherwise(longest * math.sin(reach) * (first + F.log((n + F.col("k") - 1.0) / n)))
+    held = tried.where(turned * (1 + 1e-9) <= F.col("turn")).groupBy("c").agg(F.min("turn").alias("turn"))
+    return about.join(held, "c", "left").select("run_label", "cluster_label", "centroid", F.coalesce("turn", F.lit(math.pi)).alias("turn"))
+
+
+def outermost(queue: DataFrame, members: DataFrame, cents: DataFrame, t: Thresholds) -> DataFrame:
+    """The members that a fold of queue can need: those that may be the farthest of their cluster at some time of it.
+
+    A centroid that turns by at most a brings no member nearer or farther by more than a, so whoever is more than 2a nearer
+    to it than the farthest stays behind the farthest throughout.  Representatives stay, and one member of every label, so
+    that labels of clusters without a centroid count as taken.
+    """
+    bound = turns(queue, cents, t)
+    cosine = 1.0 - vec.cosine_distance(F.col("centroid"), F.col("vector"))
+    angled = settled(members.join(bound, ["run_label", "cluster_label"], "left").select(*members.columns, "turn", F.acos(F.greatest(F.least(cosine, F.lit(1.0)), F.lit(-1.0))).alias("angle")), "angles")
+    edge = angled.groupBy("run_label", "cluster_label").agg(F.max("angle").alias("widest"), F.min("face_id").alias("least"))
+    reps = cents.select("run_label", F.col("representative_face_id").alias("face_id")).distinct().withColumn("rep", F.lit(True))
+    about = angled.join(edge, ["run_label", "cluster_label"]).join(reps, ["run_label", "face_id"], "left")
+    kept = (F.col("face_id") == F.col("least")) | F.col("rep") | (F.col("angle") >= F.col("widest") - 2 * F.col("turn") - 1e-7)
+    return about.where(F.coalesce(kept, F.lit(False))).select(members.columns)
+
+
+def sequential(queue: DataFrame, members: DataFrame, cents: DataFrame, t: Thresholds = Thresholds(), grow: bool = False, whole_up_to: int = WHOLE_UP_TO) -> DataFrame:
     """FOLD rows: each vector of queue(run_label, seq, face_id, vector) decided in order of seq, merges taking effect at once.
 
     grow: vectors that are due a new cluster start one (arrivals); else they stay as they are (noise reclamation).
-    A run is one fold and so one task; it holds the run's members, and refuses runs with more than FOLD_STATE_LIMIT.
+    A run is one fold and so one task: every decision may depend on the one before.  Of a run with more than `whole_up_to`
+    members the task is given only the outermost, with the same decisions; if those are more than FOLD_STATE_LIMIT, as
+    when a queue is large beside small clusters, the fold is refused.
     """
     ship(queue.sparkSession)
     state = members.where(F.col("cluster_label") != NOISE)
-    largest = state.groupBy("run_label").count().agg(F.max("count")).head()[0] or 0
-    if largest > FOLD_STATE_LIMIT:
-        raise ValueError(f"a run of {largest} members is too large for an ordered fold (limit {FOLD_STATE_LIMIT}); decide against frozen centroids instead")
+    largest = lambda: state.groupBy("run_label").count().agg(F.max("count")).head()[0] or 0
+    if largest() > whole_up_to:
+        state = settled(outermost(queue, state, cents, t), "outermost")
+        held = largest()
+        if held > FOLD_STATE_LIMIT:
+            raise ValueError(f"an ordered fold of this queue needs {held} members of a run (limit {FOLD_STATE_LIMIT}); fold shorter queues, or decide against frozen centroids")
     kinds = "run_label string, kind int, seq long, face_id long, cluster_label int, n long, vector array<double>"
     pick = lambda df, kind, seq, label, n, v: df.selectExpr("run_label", f"{kind} AS kind", f"CAST({seq} AS LONG) AS seq", "face_id", f"CAST({label} AS INT) AS cluster_label", f"CAST({n} AS LONG) AS n", f"{v} AS vector")
     rows = pick(cents.withColumnRenamed("representative_face_id", "face_id"), 0, "cluster_label", "cluster_label", "n_members", "centroid")
