@@ -13,6 +13,7 @@ from vecloom.functions.vec import rounded
 from vecloom.operators import calibrate as cal
 from vecloom.operators import centroids as cen
 from vecloom.operators import dbscan as dbs
+from vecloom.operators import embed as emb
 from vecloom.operators import decide as dec
 from vecloom.operators import hierarchy as hier
 from vecloom.operators import incremental as inc
@@ -629,6 +630,18 @@ def hdbscan_reduced(spark, d):
     return hier.reduced_hdbscan(schema.planted(spark, d))
 
 
+@query
+def hdbscan_embedded(spark, d):
+    """HDBSCAN after a neighbour embedding in 30 dimensions."""
+    return emb.embedded_hdbscan(schema.planted(spark, d))
+
+
+@query
+def neighbour_projection(spark, d):
+    """Two dimensions for a plot: a neighbour embedding of 40 neighbours."""
+    return emb.embed(schema.planted(spark, d), 2, 40).select("face_id", F.col("vector")[0].alias("x"), F.col("vector")[1].alias("y"))
+
+
 @query
 def agglomerative_avg(spark, d):
     return hier.agglomerative(schema.planted(spark, d), 8)

@@ -61,6 +61,18 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def rolled(df: DataFrame, name: str, held: list[str]) -> DataFrame:
+    """settled() for rounds that each need only the table before: once this one is written, those in `held` are deleted."""
+    out = settled(df, name)
+    now = _made[-1]
+    while held:
+        old = held.pop()
+        _made.remove(old)
+        delete(df.sparkSession, old)
+    held.append(now)
+    return out
+
+
 def cleanup(spark: SparkSession) -> int:
     """Deletes the intermediate tables that this process has made so far, and says how many they were.
 
