@@ -136,6 +136,18 @@ def test_packing_cases(spark, docs):
         assert x[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(x, x[1:], strict=False)) and sum(x[-1]) <= 64
 
 
+def test_equal_rows_do_not_share_a_packing_group(spark):
+    from vecloom.llm.packing import SEQUENCE_BITS
+
+    same = spark.range(2400).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same words").alias("text"))
+    rows = pack(same, capacity=64, group_pieces=200).select("sequence_id", "offset", "length").collect()
+    groups = {}
+    for r in rows:
+        groups[r["sequence_id"] >> SEQUENCE_BITS] = groups.get(r["sequence_id"] >> SEQUENCE_BITS, 0) + 1
+    assert len(rows) == 2400 and len(groups) == 12 and max(groups.values()) < 400
+    assert len({(r["sequence_id"], r["offset"]) for r in rows}) == 2400
+
+
 def test_sharding_cases(spark, docs):
     rows = shard(docs, shards=4, carry=("lang",)).collect()
     sizes = [sorted(r["slot"] for r in rows if r["shard"] == s) for s in range(4)]

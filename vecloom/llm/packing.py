@@ -137,7 +137,8 @@ def pack(docs: DataFrame, capacity: int = 1024, tokenizer: str = TOKENIZER, end_
 
     Defined cases: null and empty texts are one token, `end_id`.  Rows with a null or repeated doc_id are packed like
     all others, row by row.  An empty table gives no rows.  Other columns of docs are ignored, whatever their names.
-    The pieces are written once, so that a lost executor cannot see another grouping.
+    The pieces are written once, so that a lost executor cannot see another grouping.  Their places in that table are part
+    of what deals them to groups, so rows that share a doc_id, or are equal throughout, spread like all others.
     """
     ship(docs.sparkSession)
     spark = docs.sparkSession
@@ -145,6 +146,6 @@ def pack(docs: DataFrame, capacity: int = 1024, tokenizer: str = TOKENIZER, end_
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = written(texts.mapInArrow(_cut(capacity, tokenizer, end_id, with_ids), kinds), "pieces")
     groups = max(1, -(-pieces.count() // group_pieces))
-    keyed = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)).cast("long"))
+    keyed = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
     dealt = keyed.repartition(min(groups, 4 * partitions(spark)), "pack_group").sortWithinPartitions("pack_group", "doc_id", "start", "ids_crc32")
     return dealt.mapInArrow(_place(capacity), f"{kinds}, sequence_id long, offset long")
