@@ -13,7 +13,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+#: Kernels hold up to 100 bytes for each byte of a chunk, and a worker keeps what it once took.
+CHUNK_BYTES = 512 << 10
+#: Powers that a worker keeps: those for chunks of 1 MB.
+_KEPT = 2 << 20
 
 _GOLD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -67,7 +70,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             p[0] = 1
             out.append(np.multiply.accumulate(p))
         have = (out[0], out[1])
-        if m <= 2 * CHUNK_BYTES:
+        if m <= _KEPT:
             _powers[base] = have
     return have
 

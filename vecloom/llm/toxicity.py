@@ -18,7 +18,6 @@ driver come the mined features (at most `max_features`), the pattern counts (3 *
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +43,7 @@ LEVELS = (1, 2, 4)
 PATTERN_VOTERS = 4
 VOTERS = 1 + PATTERN_VOTERS + len(LENGTHS)
 DENSE = len(LENGTHS) + 3 + PATTERN_VOTERS
+CELLS = ("pos0", "neg0", "pos1", "neg1")  # toxic and clean documents of either half of the sample
 #: Words between a second person and the suspect word beside it, at most.
 REACH = 3
 
@@ -89,20 +89,19 @@ class _Chunk:
 
 
 def _mined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k, feature, level, half, toxic documents, clean documents) of each chunk of labelled texts."""
+    """(k, feature, level, toxic and clean documents of either half) of each chunk of labelled texts."""
     for batch in batches:
         toxic, half = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("toxic", "half"))
         for lo, hi, data, offs in T.chunks(batch, "text"):
-            chunk, y, part = _Chunk(data, offs), toxic[lo:hi], half[lo:hi]
+            chunk, cell = _Chunk(data, offs), (2 * half + 1 - toxic)[lo:hi]
             for k in range(len(LENGTHS)):
                 doc, f, n = chunk.counts(k, None)
-                for level, h in itertools.product(LEVELS, (0, 1)):
-                    m = (n >= level) & (part[doc] == h)
+                for level in LEVELS:
+                    m = n >= level
                     u, inv = np.unique(f[m], return_inverse=True)
-                    pos = np.bincount(inv, weights=y[doc[m]], minlength=len(u)).astype(np.int64)
-                    neg = np.bincount(inv, minlength=len(u)) - pos
-                    flat = [pa.array(np.full(len(u), x, dtype=np.int32)) for x in (k, level, h)]
-                    yield pa.RecordBatch.from_arrays([flat[0], pa.array(u.view(np.int64)), flat[1], flat[2], pa.array(pos), pa.array(neg)], names=["k", "feature", "level", "half", "pos", "neg"])
+                    count = np.bincount(4 * inv + cell[doc[m]], minlength=4 * len(u)).reshape(len(u), 4)
+                    flat = [pa.array(np.full(len(u), x, dtype=np.int32)) for x in (k, level)]
+                    yield pa.RecordBatch.from_arrays([flat[0], pa.array(u.view(np.int64)), flat[1], *(pa.array(x) for x in count.T.copy())], names=["k", "feature", "level", *CELLS])
 
 
 class Lexicon:
@@ -362,8 +361,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, max
     # A word votes only if it says the same in two halves of the sample: one that came in by chance does not.
     half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int")
     sizes = {(r["half"], r["toxic"]): r["n"] for r in sample.groupBy(half.alias("half"), "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    found = labelled.select("text", "toxic", half.alias("half")).mapInArrow(_mined, "k int, feature long, level int, half int, pos long, neg long")
-    found = found.groupBy("k", "feature", "level").agg(*[F.coalesce(F.sum(F.when(F.col("half") == h, F.col(c))), F.lit(0)).cast("long").alias(f"{c}{h}") for h in (0, 1) for c in ("pos", "neg")])
+    found = labelled.select("text", "toxic", half.alias("half")).mapInArrow(_mined, "k int, feature long, level int, " + ", ".join(f"{c} long" for c in CELLS))
+    found = found.groupBy("k", "feature", "level").agg(*[F.sum(c).alias(c) for c in CELLS])
     found = found.withColumns({"pos": F.col("pos0") + F.col("pos1"), "neg": F.col("neg0") + F.col("neg1")})
     total = positive + negative
     a, b, c, d = F.col("pos"), F.col("neg"), positive - F.col("pos"), negative - F.col("neg")
