@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from vecloom.llm import _text as T
-from vecloom.llm import ann, decontamination, line_dedup, packing, secrets, sharding, toxicity
+from vecloom.llm import _tokens, ann, decontamination, line_dedup, packing, secrets, sharding, toxicity
 from vecloom.llm._tokens import Encoder
 from vecloom.llm.near_dedup import near_duplicates
 from vecloom.llm.pii import PATTERNS, pii
@@ -70,6 +70,71 @@ def test_tokens_of_all_documents(spark, sf, encoder):
         assert encoder.encode(w.data, w.offs)[0].tolist() == encoder.tokenizer.encode(r["text"], add_special_tokens=False).ids
 
 
+def test_tasks_of_a_worker_share_an_encoder(monkeypatch, tmp_path):
+    """A task neither loads the tokenizer again nor encodes what another one of its job and worker has encoded."""
+    import tokenizers
+
+    load, texts, file = tokenizers.Tokenizer.from_file, [], tmp_path / "own.json"
+    load(_tokens.tokenizer_path(packing.TOKENIZER)).save(str(file))
+
+    class Counted:
+        def __init__(self, path):
+            self.real = load(path)
+
+        def __getattr__(self, name):
+            return getattr(self.real, name)
+
+        def encode_batch_fast(self, some, **kinds):
+            texts.append(sum(map(len, some)))
+            return self.real.encode_batch_fast(some, **kinds)
+
+        @staticmethod
+        def from_file(path):
+            texts.append("load")
+            return Counted(path)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counted)
+    words = [f"shared{i}" for i in range(300)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([1]), pa.array([" ".join([w, *words, w])])], names=["doc_id", "text"]) for w in ("one", "two")]
+    cut = packing._cut(1024, str(file), 0, True)
+    out = [list(cut(iter([b])))[0].to_pylist() for b in batches]
+    seen = texts.copy()
+    again = [list(cut(iter([b])))[0].to_pylist() for b in batches]
+    assert texts == seen and out == again and seen.count("load") == 1
+    list(packing._cut(1024, str(file), 0, True, "another")(iter(batches)))
+    assert texts.count("load") == 2
+    plain = load(str(file))
+    for b, rows in zip(batches, out, strict=True):
+        ids = plain.encode(b.column(1)[0].as_py(), add_special_tokens=False).ids
+        assert b"".join(r["ids"] for r in rows) == np.array([*ids, 0], dtype="<u4").tobytes()
+
+
+def test_token_ids_outlive_growth_and_forgetting(monkeypatch):
+    monkeypatch.setattr(_tokens, "FIRST_SLOTS", 8)
+    encoder, rng, sizes, forgotten = Encoder(packing.TOKENIZER, cache_units=256), random.Random(5), set(), 0
+    for _ in range(60):
+        texts = [" ".join(rng.choice(("word", "\u00e9t\u00e9", "Is,", "x<|endoftext|>")) + str(int(rng.paretovariate(0.3))) for _ in range(rng.randint(0, 40))) + rng.choice(("", ".", " ", "\n")) for _ in range(3)]
+        w, before = words_of(texts), len(encoder.flat)
+        ids, border = encoder.encode(w.data, w.offs)
+        sizes.add(len(encoder.known))
+        forgotten += len(encoder.flat) < before
+        assert [ids[a:b].tolist() for a, b in zip(border[:-1], border[1:], strict=True)] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert max(sizes) == 256 > min(sizes) and forgotten
+
+
+def test_token_ids_of_a_vocabulary_that_lacks_bytes(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    own = Tokenizer(models.BPE(vocab={c: i for i, c in enumerate("abcd\u0120")} | {"ab": 5}, merges=[("a", "b")]))
+    own.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    own.save(str(tmp_path / "few.json"))
+    encoder, texts = Encoder(str(tmp_path / "few.json")), ["ab cab xyz abx bad", " zz ab zz", "", "x"]
+    w = words_of(texts)
+    for _ in range(2):
+        ids, border = encoder.encode(w.data, w.offs)
+        assert encoder.splittable and [ids[a:b].tolist() for a, b in zip(border[:-1], border[1:], strict=True)] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def documents(seed, n=60):
     rng = random.Random(seed)
     base = [" ".join(rng.choice("abcdefghij") * rng.randint(1, 3) for _ in range(rng.randint(3, 60))) for _ in range(n // 3)]

@@ -8,6 +8,7 @@ groups there are, and no task holds more than a group.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from vecloom.llm import _text as T
 from vecloom.llm._common import partitions, ship, written
-from vecloom.llm._tokens import Encoder
+from vecloom.llm._tokens import encoder
 
 TOKENIZER = "byte_bpe_50k.json"
 SEQUENCE_BITS = 40
@@ -74,12 +75,12 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return window, offset, n
 
 
-def _cut(capacity: int, tokenizer: str, end_id: int, with_ids: bool):
+def _cut(capacity: int, tokenizer: str, end_id: int, with_ids: bool, job: str = ""):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        known = encoder(tokenizer, job)
         for batch in batches:
             for lo, hi, data, offs in T.chunks(batch, "text"):
-                ids, border = encoder.encode(data, offs)
+                ids, border = known.encode(data, offs)
                 ids = np.insert(ids.astype("<u4"), border[1:], end_id)
                 border = border + np.arange(hi - lo + 1)
                 tokens = np.diff(border)
@@ -144,7 +145,7 @@ def pack(docs: DataFrame, capacity: int = 1024, tokenizer: str = TOKENIZER, end_
     spark = docs.sparkSession
     kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + (", ids binary" if with_ids else "")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = written(texts.mapInArrow(_cut(capacity, tokenizer, end_id, with_ids), kinds), "pieces")
+    pieces = written(texts.mapInArrow(_cut(capacity, tokenizer, end_id, with_ids, uuid.uuid4().hex), kinds), "pieces")
     groups = max(1, -(-pieces.count() // group_pieces))
     keyed = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
     dealt = keyed.repartition(min(groups, 4 * partitions(spark)), "pack_group").sortWithinPartitions("pack_group", "doc_id", "start", "ids_crc32")
